@@ -85,9 +85,9 @@ ORACLE_SQL: dict[str, str] = {
         WITH d AS (SELECT page_id, encode(coalesce(html, '')) AS payload, sha1(coalesce(html, '')) AS digest FROM pages),
         tops AS (SELECT digest, max(page_id) AS top, count(*) AS n FROM d GROUP BY digest),
         b AS (
-            SELECT d.*, t.top, t.n, array_to_string(list_transform(generate_series(0, 31), i ->
+            SELECT d.*, t.top, t.n, array_to_string(list_transform(generate_series(0, 31), lambda i:
                 substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
-                       1 + CAST(list_sum(list_transform(generate_series(0, 4), b ->
+                       1 + CAST(list_sum(list_transform(generate_series(0, 4), lambda b:
                            CASE WHEN (instr('0123456789abcdef', substr(d.digest, 1 + CAST((5 * i + b) // 4 AS INTEGER), 1)) - 1) & (8 >> CAST((5 * i + b) % 4 AS INTEGER)) > 0
                                 THEN 16 >> CAST(b AS INTEGER) ELSE 0 END)) AS INTEGER), 1)), '') AS base32
             FROM d JOIN tops t ON d.digest = t.digest
