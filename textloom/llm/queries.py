@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import exact_topk, hnsw, url_filter, warc
+from textloom.llm import bpe, exact_topk, hnsw, packing, url_filter, warc
 from textloom.llm.shared import table
 
 # Fixed values of the contract: verdict, host, path.
@@ -20,6 +20,18 @@ URL_RULES = [
 ]
 
 
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers as P
+
+    return packing.pack(table(spark, sf_dir, "documents"), P.path("byte_bpe_50k.json"), P.PATTERN)
+
+
+def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers as P
+
+    return bpe.digests(table(spark, sf_dir, "documents"), P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
+
+
 def op4_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings")
     return hnsw.nearest(exact_topk.chosen(rows, "vec_id", 100), hnsw.index(rows, keep=11), 10)
@@ -40,6 +52,8 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_packing": op1_packing,
+    "op3_bpe": op3_bpe,
     "op4_hnsw": op4_hnsw,
     "op5_exact_topk": op5_exact_topk,
     "op9_url_filter": op9_url_filter,
