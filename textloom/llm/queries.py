@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import bpe, exact_topk, hnsw, packing, url_filter, warc
+from textloom.llm import bpe, exact_topk, hnsw, html_text, packing, quality, url_filter, warc
 from textloom.llm.shared import table
 
 # Fixed values of the contract: verdict, host, path.
@@ -42,6 +42,17 @@ def op5_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_topk.top_k(exact_topk.chosen(rows, "vec_id", 50), rows, 5, 256.0)
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    model = quality.train(documents, table(spark, sf_dir, "labels"))
+    found = quality.score(documents, model)
+    return found.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
+def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"), URL_RULES)
 
@@ -56,6 +67,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_bpe": op3_bpe,
     "op4_hnsw": op4_hnsw,
     "op5_exact_topk": op5_exact_topk,
+    "op6_quality": op6_quality,
+    "op8_html_text": op8_html_text,
     "op9_url_filter": op9_url_filter,
     "op10_warc": op10_warc,
 }
