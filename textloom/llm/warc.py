@@ -211,7 +211,7 @@ def write(pages: DataFrame, id_column: str = "page_id", payload_column: str = "h
     rows = pages.select(F.col(id_column).cast("long").alias("id"), F.coalesce(F.col(payload_column), F.lit("")).cast("binary").alias("payload"))
     rows = rows.withColumn("sha1", F.sha1("payload"))
     tops = rows.where(F.length("payload") >= least_bytes).groupBy("sha1").agg(F.max("id").alias("top"), F.count("*").alias("n")).where("n > 1").select("sha1", "top")
-    paired = rows.join(tops, "sha1", "left").select("id", "payload", "sha1", "top")
+    paired = rows.join(tops.hint("shuffle_hash"), "sha1", "left").select("id", "payload", "sha1", "top")
     folder = new_path(pages.sparkSession, "warc")
 
     def archives(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
