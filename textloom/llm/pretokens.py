@@ -9,18 +9,29 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from itertools import chain, islice
 
 import numpy as np
 import regex
 
-# A fixed value, the split pattern's ASCII case: white space, letters and digits as the full pattern has them there.
-ASCII = re.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^ \t\n\r\f\vA-Za-z0-9]+|[ \t\n\r\f\v]+(?![^ \t\n\r\f\v])|[ \t\n\r\f\v]+""")
+# A fixed value, the split pattern for texts of the first 256 code points: white space, letters and digits as the full pattern has them there.
+SPACE, LETTER, DIGIT = r" \t\n\r\f\v\x85\xa0", "A-Za-zªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼½¾"
+LATIN = re.compile(rf"""'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTER}]+| ?[{DIGIT}]+| ?[^{SPACE}{LETTER}{DIGIT}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+""")
 
 
 def splitter(pattern: str) -> Callable[[str], list[str]]:
     """Pre-tokens of a text by the pattern that has \\s, \\p{L} and \\p{N}; White_Space is spelled out, as \\s differs between libraries."""
     whole = regex.compile(pattern.replace(r"[^\s", r"[^\p{White_Space}").replace(r"(?!\S)", r"(?!\P{White_Space})").replace(r"\s", r"\p{White_Space}"))
-    return lambda text: ASCII.findall(text) if text.isascii() else whole.findall(text)
+
+    def split(text: str) -> list[str]:
+        if not text.isascii():
+            try:
+                text.encode("latin-1")
+            except UnicodeEncodeError:
+                return whole.findall(text)
+        return LATIN.findall(text)
+
+    return split
 
 
 class Slots(dict):
@@ -34,22 +45,22 @@ class Slots(dict):
 class Lexicon:
     """encode: ids of many pre-tokens at once. Call as lexicon(texts): a uint32 array per text."""
 
-    def __init__(self, split: Callable[[str], list[str]], encode: Callable[[list[str]], list[list[int]]], most: int = 400_000):
+    def __init__(self, split: Callable[[str], list[str]], encode: Callable[[list[str]], list[list[int]]], most: int = 800_000):
         self.split, self.encode, self.most = split, encode, most
         self._clear()
 
     def _clear(self) -> None:
         self.slots, self.known = Slots(), 0
-        self.starts, self.sizes, self.flat = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint32)
+        self.starts, self.sizes, self.flat = np.empty(0, np.int32), np.empty(0, np.int32), np.empty(0, np.uint32)
 
     def _learn(self) -> None:
         if self.known == len(self.slots):
             return
-        new = list(self.slots)[self.known :] if self.known else list(self.slots)
+        new = list(islice(reversed(self.slots), len(self.slots) - self.known))[::-1]
         ids = self.encode(new)
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter((x for y in ids for x in y), np.uint32, int(sizes.sum()))
-        self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(sizes) - sizes])
+        sizes = np.fromiter(map(len, ids), np.int32, len(ids))
+        flat = np.fromiter(chain.from_iterable(ids), np.uint32, int(sizes.sum()))
+        self.starts = np.concatenate([self.starts, (len(self.flat) + np.cumsum(sizes) - sizes).astype(np.int32)])
         self.sizes = np.concatenate([self.sizes, sizes])
         self.flat = np.concatenate([self.flat, flat])
         self.known = len(self.slots)
@@ -60,7 +71,7 @@ class Lexicon:
         size = 0
         for text in texts:
             parts = self.split(text)
-            held.append(np.fromiter(map(self.slots.__getitem__, parts), np.int64, len(parts)))
+            held.append(np.fromiter(map(self.slots.__getitem__, parts), np.int32, len(parts)))
             size += len(parts)
             if size >= 1 << 20 or len(self.slots) >= self.most:
                 yield from self._ids(held)
@@ -73,9 +84,10 @@ class Lexicon:
         self._learn()
         for codes in held:
             sizes = self.sizes[codes]
-            ends = np.cumsum(sizes)
+            ends = np.cumsum(sizes, dtype=np.int32)
             if not len(ends):
                 yield np.empty(0, np.uint32)
                 continue
-            at = np.repeat(self.starts[codes] - ends + sizes, sizes) + np.arange(ends[-1])
+            at = np.repeat(self.starts[codes] - ends + sizes, sizes)
+            at += np.arange(ends[-1], dtype=np.int32)
             yield self.flat[at]
