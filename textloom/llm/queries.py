@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import bpe, exact_topk, hnsw, html_text, packing, quality, suffix_dedup, url_filter, warc
+from textloom.llm import bpe, exact_topk, hnsw, html_text, near_dup, packing, quality, suffix_dedup, url_filter, warc
 from textloom.llm.shared import table
 
 # Fixed values of the contract: verdict, host, path.
@@ -53,6 +53,10 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
+def op7_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.classes(table(spark, sf_dir, "documents"))
+
+
 def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
@@ -73,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_hnsw": op4_hnsw,
     "op5_exact_topk": op5_exact_topk,
     "op6_quality": op6_quality,
+    "op7_near_dup": op7_near_dup,
     "op8_html_text": op8_html_text,
     "op9_url_filter": op9_url_filter,
     "op10_warc": op10_warc,
