@@ -16,8 +16,7 @@ from textloom.llm.shared import materialize, table
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go. It learns from the labelled documents among those that it is given."""
     model = quality.train(docs, table(spark, sf_dir, "labels"))
-    kept = quality.score(docs, model, keep=tuple(c for c in docs.columns if c != "doc_id")).where("predicted = 1")
-    return kept.select(*docs.columns)
+    return quality.accepted(docs, model)
 
 
 def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

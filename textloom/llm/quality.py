@@ -10,7 +10,7 @@ The fit sees at most `sample` labelled rows, those of smallest hash; scoring cov
 Cases: a null or empty text has no features, and gets the score of a zero vector; labels that are null or of documents
 without a row don't count; with no labels at all every score is 0.5, with one class only it is that class; an id with
 several labels counts with each; ties and repeated rows get equal scores; an empty table gives an empty result; clashing
-column names don't matter, as inputs are renamed.
+column names don't matter: columns that aren't needed aren't read, or are passed on by place.
 """
 
 from __future__ import annotations
@@ -183,20 +183,28 @@ def train(documents: DataFrame, labels: DataFrame, label: str = "quality", sampl
     return fit([np.frombuffer(p, "<u4").astype(np.int64) for _, _, p in found], np.array([y for _, y, _ in found], int), seed=seed)
 
 
-def score(documents: DataFrame, model: Model, id_column: str = "doc_id", text_column: str = "text", threshold: float = THRESHOLD, keep: tuple[str, ...] = ()) -> DataFrame:
-    """id, score, predicted of every row; keep: more of its columns."""
-    if {"score", "predicted"} & {id_column, *keep}:
-        raise ValueError("score and predicted are taken: rename these columns first")
-    kinds = dict(documents.dtypes)
-    kept = list(dict.fromkeys([id_column, *keep]))
+def score(documents: DataFrame, model: Model, id_column: str = "doc_id", text_column: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """id, score, predicted of every row."""
+    kind = dict(documents.dtypes)[id_column]
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = Features()
         for batch in batches:
-            for part in pieces(batch, " text"):
-                own = [model.score(features(t)) for t in part[" text"].to_pylist()]
-                arrays = [part[c] for c in kept]
-                yield pa.RecordBatch.from_arrays([*arrays, pa.array(own, pa.float64()), pa.array([int(s >= threshold) for s in own], pa.int32())], names=[*kept, "score", "predicted"])
+            for part in pieces(batch, "text"):
+                own = [model.score(features(t)) for t in part["text"].to_pylist()]
+                yield pa.RecordBatch.from_arrays([part["id"], pa.array(own, pa.float64()), pa.array([int(s >= threshold) for s in own], pa.int32())], names=["id", "score", "predicted"])
 
-    chosen = documents.select(*kept, F.coalesce(F.col(text_column), F.lit("")).alias(" text"))
-    return chosen.mapInArrow(rows, ", ".join(f"`{c}` {kinds[c]}" for c in kept) + ", score double, predicted int")
+    chosen = documents.select(F.col(id_column).alias("id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
+    return chosen.mapInArrow(rows, f"id {kind}, score double, predicted int").withColumnRenamed("id", id_column)
+
+
+def accepted(documents: DataFrame, model: Model, text_column: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The documents, with all their columns, whose score reaches the threshold."""
+    at = documents.columns.index(text_column)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        features = Features()
+        for batch in batches:
+            yield batch.filter(pa.array([model.score(features(t or "")) >= threshold for t in batch.column(at).to_pylist()], pa.bool_()))
+
+    return documents.mapInArrow(rows, documents.schema)

@@ -20,8 +20,8 @@ reads and writes them front to back in every round, as files would be.
 
 Cases: a null text is an empty one; texts of fewer than `width` bytes lose nothing; a null id counts as the largest, so
 null ids don't remove from each other; rows with one id don't remove from each other; equal rows have equal results; an
-empty table gives an empty result; other columns are kept as they are, and clashing names raise an error. Very long texts
-are whole blocks of their own.
+empty table gives an empty result; other columns are kept as they are, whatever their names. Very long texts are whole
+blocks of their own.
 """
 
 from __future__ import annotations
@@ -177,18 +177,19 @@ class Windows:
 
 
 class Block:
-    """Documents of a block: the Arrow rows, their bytes one after another, and the number that orders each."""
+    """Documents of a block: the Arrow rows, their bytes one after another, and the number that orders each.
+
+    The last two columns are the order and the bytes; the others are kept for the result.
+    """
 
     def __init__(self, blob: bytes):
         with pa.ipc.open_stream(blob) as reader:
             self.rows = pa.Table.from_batches(reader).combine_chunks()
-        text = self.rows[" text"].combine_chunks() if self.rows.num_rows else pa.array([], pa.binary())
-        if isinstance(text, pa.ChunkedArray):
-            text = text.chunk(0) if text.num_chunks else pa.array([], pa.binary())
+        text = one(self.rows.column(self.rows.num_columns - 1))
         self.sizes = byte_lengths(text).astype(np.int64)
         self.starts = np.cumsum(self.sizes) - self.sizes
         self.data = np.frombuffer(b"".join(text.to_pylist()), np.uint8)
-        self.order = self.rows[" order"].to_numpy()
+        self.order = one(self.rows.column(self.rows.num_columns - 2)).to_numpy()
 
     def windows(self, width: int) -> Windows:
         return Windows(self.data, self.starts, self.sizes, width)
@@ -232,7 +233,9 @@ def batch(columns: dict, kinds: list[tuple[str, pa.DataType]]) -> pa.RecordBatch
 
 
 def blocks_of(documents: DataFrame, id_column: str, text_column: str, keep: list[str]) -> DataFrame:
-    """block long, bytes long, data binary: Arrow streams of the kept columns, " order" and " text"."""
+    """block long, bytes long, data binary: Arrow streams of the kept columns, the order and the text's bytes."""
+    taken = {c.lower() for c in keep}
+    order, text = (next(x for x in (f"{base}{n or ''}" for n in range(len(taken) + 1)) if x not in taken) for base in ("order", "text"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -245,7 +248,7 @@ def blocks_of(documents: DataFrame, id_column: str, text_column: str, keep: list
 
         for rows in batches:
             start = 0
-            for i, n in enumerate(byte_lengths(rows[" text"]).tolist()):
+            for i, n in enumerate(byte_lengths(rows.column(rows.num_columns - 1)).tolist()):
                 if size and size + n > BLOCK:
                     if i > start:
                         held.append(rows.slice(start, i - start))
@@ -257,7 +260,7 @@ def blocks_of(documents: DataFrame, id_column: str, text_column: str, keep: list
         if held:
             yield closed()
 
-    chosen = documents.select(*keep, F.coalesce(F.col(id_column).cast("long"), F.lit(LAST)).alias(" order"), F.coalesce(F.col(text_column), F.lit("")).cast("binary").alias(" text"))
+    chosen = documents.select(*keep, F.coalesce(F.col(id_column).cast("long"), F.lit(LAST)).alias(order), F.coalesce(F.col(text_column), F.lit("")).cast("binary").alias(text))
     return chosen.mapInArrow(cut, "block long, bytes long, data binary")
 
 
@@ -274,8 +277,6 @@ def spans(documents: DataFrame, finish, schema: str, width: int = WIDTH, id_colu
     """Apply finish(block, mask of the bytes to remove) -> RecordBatch to every block."""
     spark = documents.sparkSession
     keep = keep or [id_column]
-    if {" order", " text"} & set(documents.columns):
-        raise ValueError("the columns ' order' and ' text' are taken")
     shuffle = int(spark.conf.get("spark.sql.shuffle.partitions"))
     name = f"textloom_blocks_{uuid.uuid4().hex}"
     (blocks_of(documents, id_column, text_column, keep).write.format("parquet").option("path", new_path(spark, "blocks"))
