@@ -1,0 +1,235 @@
+"""Scalar functions on code and paths, as column expressions."""
+
+from __future__ import annotations
+
+import re
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from textloom.schemas import EXTENSIONS, FENCES, lookup
+
+# ---- hashes and whitespace ----
+
+
+def code_hash(code: Column) -> Column:
+    return F.sha2(code, 256)
+
+
+def squashed(code: Column) -> Column:
+    """Runs of white space as one space, none at the ends."""
+    return F.trim(F.regexp_replace(code, r"(?U)\s+", " "))
+
+
+def normal_hash(code: Column) -> Column:
+    """Hash that doesn't see how white space is laid out."""
+    return F.sha2(squashed(code), 256)
+
+
+def words(code: Column) -> Column:
+    """Words between white space; none for an empty text."""
+    return F.filter(F.split(squashed(code), " "), lambda w: w != "")
+
+
+def long_enough(code: Column, least: int = 5) -> Column:
+    return F.size(words(code)) >= least
+
+
+def token_count(code: Column) -> Column:
+    """Token counts without a tokenizer: a third of the characters, at least 1. Callers with ids pass their own column."""
+    return F.greatest(F.lit(1), F.floor(F.length(code) / 3)).cast("int")
+
+
+def prefix(code: Column, n: int = 220) -> Column:
+    return F.substring(code, 1, n)
+
+
+def synthetic_id(name: str, code: Column) -> Column:
+    """The name and the first 12 characters of the code's hash."""
+    return F.concat(F.lit(f"{name}-"), F.substring(F.sha1(code), 1, 12))
+
+
+# ---- paths and ids ----
+
+
+def path_id(path: Column) -> Column:
+    """The four digits that begin a path's component, before a point; null without."""
+    return F.nullif(F.regexp_extract(path, r"(?:^|/)(\d{4})\.", 1), F.lit(""))
+
+
+def numeric_id(value: Column) -> Column:
+    """The digits of what follows the last slash; null without."""
+    return F.nullif(F.regexp_replace(F.substring_index(value, "/", -1), r"\D", ""), F.lit(""))
+
+
+def extension_language(path: Column, override: Column | None = None) -> Column:
+    found = lookup(F.lower(F.regexp_extract(path, r"(\.[^./]+)$", 1)), {e: language for language, all_ in EXTENSIONS.items() for e in all_})
+    return found if override is None else F.coalesce(F.nullif(override, F.lit("")), found)
+
+
+# Declared names of languages.
+DECLARED = {"python": "python", "py": "python", "python3": "python", "java": "java", "cpp": "cpp", "c++": "cpp", "cxx": "cpp", "c": "c"}
+
+
+def detected_language(code: Column, declared: Column | None = None) -> Column:
+    """The declared language, else what the code's wording gives away, else null."""
+    by_code = F.when(code.contains("public class ") | code.contains("import java."), "java").when(code.contains("def ") | code.rlike(r"^(?U)\s*import "), "python")
+    return by_code if declared is None else F.coalesce(lookup(F.lower(declared), DECLARED), by_code)
+
+
+# ---- markdown and headers ----
+
+BLOCK = r"(?is)<!--\s*solution:start\s*-->((?:(?!<!--\s*solution:(?:start|end)\s*-->).)*+)<!--\s*solution:end\s*-->"
+FENCE = r"(?ms)^ {0,3}(`{3,}|~{3,})[ \t]*([^\n`]*)\n(.*?)(?:^ {0,3}\1[`~]*[ \t]*$|\z)"
+# The sentence that states a complexity, strict and loose.
+STATED = r"(?i)time\s+complexity\s+is\s+\$?O\(([^$)]+)\)\$?"
+STATED_LOOSE = r"(?i)time[^.\n]{0,80}?\$O\(([^$)]+)\)\$"
+
+
+def blocks(document: Column) -> Column:
+    """What stands between each start mark and the next end mark; the whole document if no pair of marks is complete."""
+    found = F.regexp_extract_all(document, F.lit(BLOCK), F.lit(1))
+    return F.when(F.size(found) > 0, found).otherwise(F.array(document))
+
+
+def stated_complexity(block: Column) -> Column:
+    def first(pattern: str) -> Column:
+        return F.nullif(F.regexp_extract(block, pattern, 1), F.lit(""))
+
+    return F.trim(F.coalesce(first(STATED), first(STATED_LOOSE)))
+
+
+def fenced(df: DataFrame, document: str = "document", keep: tuple[str, ...] = ()) -> DataFrame:
+    """A row per block and language: the first fence of each language in the block. Columns: keep, solution_idx, language, code, raw_complexity."""
+    block = df.select(*keep, F.posexplode(blocks(F.col(document))).alias("solution_idx", "block"))
+    fences = F.regexp_extract_all("block", F.lit(FENCE), F.lit(2))
+    bodies = F.regexp_extract_all("block", F.lit(FENCE), F.lit(3))
+    each = block.withColumn("raw_complexity", stated_complexity(F.col("block"))).select(*keep, "solution_idx", "raw_complexity", F.posexplode(F.arrays_zip(fences.alias("info"), bodies.alias("code"))).alias("at", "fence"))
+    language = lookup(F.substring_index(F.trim(F.lower(F.col("fence.info"))), " ", 1), {n: x for x, names in FENCES.items() for n in names})
+    named = each.select(*keep, "solution_idx", "raw_complexity", "at", language.alias("language"), F.col("fence.code").alias("code")).where("language is not null")
+    # arrays are per block, so the first fence of a language is a partial aggregate rather than a window
+    first = named.groupBy(*keep, "solution_idx", "language").agg(F.min_by(F.struct("code", "raw_complexity"), "at").alias("first"))
+    return first.select(*keep, "solution_idx", "language", "first.code", "first.raw_complexity")
+
+
+# What begins a comment in each language.
+COMMENT_START = {"python": "#", "ruby": "#", "php": "(?://|#)"} | dict.fromkeys(("cpp", "csharp", "java", "go", "rust", "swift", "typescript"), "//")
+
+
+def header_complexity(code: Column, language: Column) -> Column:
+    """O(...) of a Time: comment in the first ten lines; it ends at the first closing bracket. Null without."""
+    head = F.array_join(F.slice(F.split(code, r"\r\n|\r|\n"), 1, 10), "\n")
+    found = F.lit(None).cast("string")
+    for name, start in COMMENT_START.items():
+        found = F.when(language == name, F.nullif(F.regexp_extract(head, rf"{start}\s*Time:\s*O\((.+?)\)", 1), F.lit(""))).otherwise(found)
+    return F.trim(found)
+
+
+def without_headers(code: Column) -> Column:
+    """Without the lines whose comment states time or space."""
+    return F.regexp_replace(code, r"(?m)^[ \t]*(?://|#)[ \t]*(?:Time|Space)[ \t]*:.*\n?", "")
+
+
+# ---- alias maps ----
+
+# Surface forms of labels, without spaces and in lower case.
+ALIASES = {
+    "O(1)": ("o(1)", "1", "constant"),
+    "O(log n)": ("o(logn)", "logn", "log(n)", "logarithmic"),
+    "O(n)": ("o(n)", "n", "linear"),
+    "O(n log n)": ("o(nlogn)", "o(n*logn)", "nlogn", "linearithmic"),
+    "O(n^2)": ("o(n^2)", "o(n_2)", "o(n**2)", "quadratic"),
+    "O(n^3)": ("o(n^3)", "o(n_3)", "o(n**3)", "cubic"),
+    "exponential": ("np", "np_hard", "np-hard", "nphard", "exponential", "factorial", "o(2^n)", "o(2**n)", "o(n!)"),
+}
+
+
+def alias_label(raw: Column) -> Column:
+    return lookup(F.replace(F.lower(F.trim(raw)), F.lit(" "), F.lit("")), {a: label for label, names in ALIASES.items() for a in names})
+
+
+# ---- features from text ----
+
+# Words that aren't variables, and what each language's code has when it uses a queue, a set, a map or a sort.
+NOT_NAMES = "let var const if while for fn func def return import from true false null None True False this self".split()
+QUEUE = {
+    "python": ("heapq", "heappush", "heappop", "heapify", "PriorityQueue"), "java": ("PriorityQueue", "Heap"), "cpp": ("priority_queue", "make_heap", "push_heap", "pop_heap"),
+    "c": ("heap_push", "heap_pop", "heapify"), "csharp": ("PriorityQueue", "Heap"), "go": ("heap.Push", "heap.Pop", "heap.Init", "container/heap"), "javascript": ("PriorityQueue", "MinHeap", "MaxHeap", "Heap"),
+    "typescript": ("PriorityQueue", "MinHeap", "MaxHeap", "Heap"), "php": ("SplPriorityQueue", "SplHeap"), "ruby": ("PriorityQueue", "Heap"), "rust": ("BinaryHeap",), "swift": ("Heap", "PriorityQueue"),
+}
+SETS = {
+    "python": ("set(", "frozenset(", "{ "), "java": ("HashSet", "TreeSet", "LinkedHashSet"), "cpp": ("unordered_set", "set<"), "c": ("hashset", "set_t"), "csharp": ("HashSet", "SortedSet"),
+    "go": ("map[", "set", "struct{}"), "javascript": ("new Set(",), "typescript": ("new Set(",), "php": ("array_unique", "SplObjectStorage"), "ruby": ("Set.new", "require 'set'"), "rust": ("HashSet", "BTreeSet"), "swift": ("Set<", "Set("),
+}
+MAPS = {
+    "python": ("dict(", "defaultdict", "OrderedDict", "Counter", "{}"), "java": ("HashMap", "TreeMap", "LinkedHashMap"), "cpp": ("unordered_map", "map<"), "c": ("hashmap", "map_t"), "csharp": ("Dictionary<", "Hashtable"),
+    "go": ("map[",), "javascript": ("new Map(", "Object.create", "{}"), "typescript": ("new Map(", "Record<"), "php": ("array(",), "ruby": ("{}", "Hash.new"), "rust": ("HashMap", "BTreeMap"), "swift": ("[", ":"),
+}
+SORTS = {
+    "python": ("sorted(", ".sort(", "sort("), "java": ("Collections.sort", "Arrays.sort", ".sort("), "cpp": ("std::sort", "sort("), "c": ("qsort",), "csharp": ("Array.Sort", "OrderBy", ".Sort("),
+    "go": ("sort.Sort", "sort.Slice", "sort.Ints", "sort.Strings"), "javascript": (".sort(",), "typescript": (".sort(",), "php": ("sort(", "asort(", "ksort(", "usort("), "ruby": (".sort", "sort_by"),
+    "rust": (".sort(", ".sort_by(", ".sort_unstable("), "swift": (".sort(", ".sorted(", "sorted("),
+}
+
+
+def _by_language(language: Column, table: dict, value) -> Column:
+    out = F.lit(0)
+    for name, tokens in table.items():
+        out = F.when(language == name, value(tokens)).otherwise(out)
+    return out.cast("int")
+
+
+def has_any(code: Column, language: Column, table: dict) -> Column:
+    """1 if the code has one of its language's marks, else 0."""
+
+    def any_(tokens: tuple[str, ...]) -> Column:
+        found = code.contains(tokens[0])
+        for t in tokens[1:]:
+            found = found | code.contains(t)
+        return F.when(found, 1).otherwise(0)
+
+    return _by_language(language, table, any_)
+
+
+def occurrences(code: Column, token: str) -> Column:
+    return (F.length(code) - F.length(F.replace(code, F.lit(token), F.lit("")))) / len(token)
+
+
+def count_marks(code: Column, language: Column, table: dict = SORTS) -> Column:
+    """Occurrences of its language's marks, summed: marks that overlap count each."""
+
+    def total(tokens: tuple[str, ...]) -> Column:
+        out = occurrences(code, tokens[0])
+        for t in tokens[1:]:
+            out = out + occurrences(code, t)
+        return out
+
+    return _by_language(language, table, total)
+
+
+def assigned_names(code: Column) -> Column:
+    """How many distinct names stand before a single equals sign."""
+    found = F.array_distinct(F.regexp_extract_all(code, F.lit(r"\b([A-Za-z_][A-Za-z_0-9]{0,30})\b\s*=(?!=)"), F.lit(1)))
+    return F.size(F.array_except(found, F.array(*map(F.lit, NOT_NAMES))))
+
+
+# ---- renames ----
+
+# Renames of identifiers, tried in this order, and words that a language reserves.
+RENAMES = (
+    {"i": "p", "j": "q"}, {"x": "u", "y": "v"}, {"res": "output", "out": "output"}, {"tmp": "buf", "temp": "buf"}, {"arr": "xs"},
+    {"dp": "table"}, {"dist": "distances"}, {"ans": "final"}, {"cnt": "count"}, {"curr": "current"},
+)
+RESERVED_TARGETS = {"java": ("final",), "php": ("final",)}
+
+
+def allowed(scheme: dict[str, str], language: str) -> dict[str, str]:
+    """A scheme without renames to words that the language reserves."""
+    return {old: new for old, new in scheme.items() if new not in RESERVED_TARGETS.get(language, ())}
+
+
+def renamed(code: Column, scheme: dict[str, str]) -> Column:
+    """Whole words, one rename after the other."""
+    for old, new in scheme.items():
+        code = F.regexp_replace(code, rf"\b{re.escape(old)}\b", new)
+    return code
