@@ -20,13 +20,16 @@ def _least(lcp: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
 
 
 def build(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, cap: int) -> tuple[np.ndarray, np.ndarray]:
-    """(symbols, common prefixes) of the strings data[start : start + size], as bytes of 0 to 255 held as value + 1 (0: the end mark).
+    """(symbols, common prefixes) of the strings data[start : start + size], as ranks of their byte values from 1 (0: the end mark).
 
     symbols[r] comes before the suffix of row r; common[r] is the length that rows r - 1 and r share, at most cap. The
     first len(starts) rows are the empty suffixes.
     """
     m = len(starts)
-    text = data.astype(np.uint16) + 1
+    values = np.flatnonzero(np.bincount(data, minlength=256))
+    rank_of = np.zeros(256, np.uint8 if len(values) < 256 else np.uint16)  # one byte sorts in one pass
+    rank_of[values] = np.arange(1, len(values) + 1)
+    text = rank_of[data]
     symbols = text[starts + sizes - 1]
     common = np.zeros(m, np.uint8)
     rows, active = np.arange(m), np.arange(m)
@@ -35,15 +38,14 @@ def build(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, cap: int) ->
         order = np.argsort(symbols, kind="stable")
         rank = np.empty(n, np.int64)
         rank[order] = np.arange(n)
-        ended = int((symbols == 0).sum())
+        ended = n - int(np.count_nonzero(symbols))
         at = rank[rows]
         own = symbols[rows]
-        ranked = symbols[order]
         padded = np.append(common, np.uint8(0))
         before = order[np.maximum(at - 1, 0)]
-        has_before = (at > 0) & (ranked[np.maximum(at - 1, 0)] == own)
+        has_before = (at > 0) & (symbols[before] == own)
         after = order[np.minimum(at + 1, n - 1)]
-        has_after = (at + 1 < n) & (ranked[np.minimum(at + 1, n - 1)] == own)
+        has_after = (at + 1 < n) & (symbols[after] == own)
         new = m + at - ended
         own_lcp, next_lcp = np.zeros(len(rows), np.uint8), np.zeros(len(rows), np.uint8)
         i = np.flatnonzero(has_before)
@@ -55,7 +57,7 @@ def build(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, cap: int) ->
         size = m + n - ended
         fresh = np.zeros(size, bool)
         fresh[new] = True
-        grown, prefixes = np.empty(size, np.uint16), np.empty(size, np.uint8)
+        grown, prefixes = np.empty(size, text.dtype), np.empty(size, np.uint8)
         kept = ~fresh
         grown[kept], prefixes[kept] = symbols, common
         last = sizes[active] - 1 - j

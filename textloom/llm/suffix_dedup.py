@@ -8,12 +8,13 @@ anchor: equal windows have equal anchors, so the windows of an anchor are a coll
    blocks without moving texts.
 2. Each block sends its distinct anchors. Those of one document only can't be in a repeated window; the others go back
    to the blocks that hold them. Anchors that are in many blocks are marked as hot.
-3. Each block sends the runs of windows that share a repeated anchor, each distinct run once with the smallest document
-   that holds it. Windows of a hot anchor are dealt out by a second anchor as well, so that a common line or passage
+3. Each block sends the runs of windows that share a repeated anchor, each distinct run once with the places and
+   documents that hold it. Windows of a hot anchor are dealt out by a second anchor as well, so that a common line or passage
    doesn't land in one task.
 4. Per anchor, equal runs of all blocks are merged, and the column-wise construction orders their suffixes. Rows that
-   share `width` symbols are equal windows; the least document of each is sent back to the blocks.
-5. Each block marks the windows that a smaller document holds too, and removes their bytes.
+   share `width` symbols are equal windows. Where a window's least document is smaller than a run's, the run's place in its
+   block goes back to the block.
+5. Each block removes the bytes of these places.
 
 The column-wise construction keeps its two streams in memory, as a collection here is at most COLLECTION bytes, but
 reads and writes them front to back in every round, as files would be.
@@ -37,15 +38,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textloom.llm import bwt
+from textloom.llm.hashing import Rolling, U, mixed
 from textloom.llm.shared import byte_lengths, materialize, new_path
 
 WIDTH, K = 50, 24
+#: Bits of an anchor's key. Two anchors with one key only cost the comparison of their windows.
+KEY_BITS = 48
 #: Bytes of text in a block, in what is hashed at once, and in a collection; windows in a run; blocks that make an anchor hot.
 BLOCK, CHUNK, COLLECTION, RUN, HOT = 6 << 20, 1 << 16, 1 << 18, 32, 24
 #: Bytes of text for each range of anchors that one task puts in order.
-RANGE = 8 << 20
+RANGE = 16 << 20
 LAST = np.iinfo(np.int64).max
-U = np.uint64
+ROLLING = Rolling(1), Rolling(2)
 
 
 def packed(x: np.ndarray) -> bytes:
@@ -69,11 +73,6 @@ def unpacked_keys(blob: bytes) -> np.ndarray:
     return np.cumsum(unpacked(blob, "<u8"), dtype=U)
 
 
-def mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> U(32))) * U(0xD6E8FEB86659FD93)
-    return x ^ (x >> U(29))
-
-
 def string_hashes(data: np.ndarray) -> np.ndarray:
     """A hash of each K-byte string of data."""
     n = len(data) - 7
@@ -83,12 +82,10 @@ def string_hashes(data: np.ndarray) -> np.ndarray:
         eight[o::8] = part[: len(eight[o::8])]
     n = len(data) - K + 1
     x = eight[:n] * U(0x9E3779B97F4A7C15)
-    x ^= x >> U(31)
-    x += eight[8 : 8 + n]
-    x *= U(0xBF58476D1CE4E5B9)
-    x ^= x >> U(30)
-    x += eight[16 : 16 + n]
-    x *= U(0x94D049BB133111EB)
+    for at in (*range(8, K - 8, 8), K - 8):
+        x ^= x >> U(31)
+        x += eight[at : at + n]
+        x *= U(0xBF58476D1CE4E5B9)
     return mixed(x)
 
 
@@ -126,7 +123,7 @@ class Windows:
             if high - low < self.width:
                 continue
             hashes = string_hashes(self.data[low:high])
-            keys = least_in_window(hashes, self.width - K + 1)
+            keys = mixed(least_in_window(hashes, self.width - K + 1)) >> U(64 - KEY_BITS)
             n = len(keys)
             valid = np.ones(n, bool)
             for d in range(i, j):
@@ -135,13 +132,13 @@ class Windows:
             document = np.searchsorted(self.starts[i:j], np.arange(low, low + n), side="right") + i - 1 if j - i > 1 else np.full(n, i)
             first = self._cut(keys, valid, document)
             if wanted is not None:
-                first = first[self._among(keys[first], wanted) >= 0]
                 at = self._among(keys[first], wanted)
+                first, at = first[at >= 0], at[at >= 0]
                 if hot is not None and hot[at].any():
                     second = least_in_window(mixed(hashes ^ U(0xA5A5A5A5A5A5A5A5)), self.width - K + 1)
                     all_at = self._among(keys, wanted)
                     split = (all_at >= 0) & hot[np.maximum(all_at, 0)] & valid
-                    keys = np.where(split, mixed(keys * U(31) + second), keys)
+                    keys = np.where(split, mixed(keys * U(31) + second) >> U(64 - KEY_BITS), keys)
                     valid &= all_at >= 0
                     first = self._cut(keys, valid, document)
             if not len(first):
@@ -195,36 +192,34 @@ class Block:
         return Windows(self.data, self.starts, self.sizes, width)
 
     def fragments(self, wanted: np.ndarray, hot: np.ndarray, width: int):
-        """Distinct runs by (key, content), ascending by key and then by first place, with the smallest order of each; and every
-        occurrence as (run, first window, document)."""
-        seen: dict[tuple[int, bytes], int] = {}
-        keys, contents, counts, least = [], [], [], []
-        run, place, owner = [], [], []
-        raw, order = self.data.tobytes(), self.order.tolist()
+        """Distinct runs by key and content, ascending by key: keys, contents, windows, and where each run's occurrences begin
+        (and the end); and the occurrences, run after run: first byte, and order of the document."""
+        found = []
         for first, count, key, document in self.windows(width).runs(wanted, hot):
-            for f, c, k, d in zip(first.tolist(), count.tolist(), key.tolist(), document.tolist()):
-                content = raw[f : f + c + width - 1]
-                n = seen.setdefault((k, content), len(seen))
-                if n == len(keys):
-                    keys.append(k)
-                    contents.append(content)
-                    counts.append(c)
-                    least.append(order[d])
-                elif order[d] < least[n]:
-                    least[n] = order[d]
-                run.append(n)
-                place.append(f)
-                owner.append(d)
-        keys = np.array(keys, U)
-        rank = np.argsort(keys, kind="stable")
-        back = np.empty(len(keys), np.int64)
-        back[rank] = np.arange(len(keys))
-        return keys[rank], [contents[i] for i in rank.tolist()], np.array(counts, np.int64)[rank], np.array(least, np.int64)[rank], back[np.array(run, np.int64)], np.array(place, np.int64), np.array(owner, np.int64)
+            low = int(self.starts[document[0]])
+            data = self.data[low : int(self.starts[document[-1]] + self.sizes[document[-1]])]
+            ends = first + count + width - 1 - low
+            found.append((first, count, key, document, *(r.substrings(r.prefix(data), first - low, ends) for r in ROLLING)))
+        if not found:
+            none = np.empty(0, np.int64)
+            return none.astype(U), [], none, np.zeros(1, np.int64), none, none
+        place, count, key, owner, *two = (np.concatenate(x) for x in zip(*found))
+        # Equal runs: equal keys, sizes and 128 bits of hash. lexsort is stable, so a run's first place leads its group.
+        rank = np.lexsort((place, *two, count, key))
+        new = np.ones(len(rank), bool)
+        new[1:] = False
+        for x in (key, count, *two):
+            new[1:] |= x[rank][1:] != x[rank][:-1]
+        heads = np.flatnonzero(new)
+        lead = rank[heads]
+        raw = self.data.tobytes()
+        contents = [raw[f : f + c + width - 1] for f, c in zip(place[lead].tolist(), count[lead].tolist())]
+        return key[lead], contents, count[lead], np.append(heads, len(rank)), place[rank], self.order[owner[rank]]
 
 
 def ranges_of(keys: np.ndarray, ranges: int) -> np.ndarray:
     """Where each range begins in ascending keys, and the end: ranges are equal parts of the key space."""
-    edges = np.array([((1 << 64) * i) // ranges for i in range(1, ranges)], U)
+    edges = np.array([((1 << KEY_BITS) * i) // ranges for i in range(1, ranges)], U)
     return np.concatenate([[0], np.searchsorted(keys, edges), [len(keys)]])
 
 
@@ -347,18 +342,20 @@ def spans(documents: DataFrame, finish, schema: str, width: int = WIDTH, id_colu
             marks.append(unpacked(blob[4 + n :], "u1"))
         return np.concatenate(keys), np.concatenate(marks).astype(bool)
 
+    columns = [("range", pa.int32()), ("block", pa.int64()), *[(c, pa.binary()) for c in ("keys", "contents", "counts", "times", "places", "orders")]]
+
     def fragments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
             for row in rows.to_pylist():
-                keys, contents, counts, least, *_ = Block(row["data"]).fragments(*wanted_of(row["answers"]), width)
+                keys, contents, counts, heads, places, orders = Block(row["data"]).fragments(*wanted_of(row["answers"]), width)
                 edges = ranges_of(keys, ranges)
                 for r in range(ranges):
                     a, b = int(edges[r]), int(edges[r + 1])
                     if a < b:
+                        own = slice(heads[a], heads[b])
                         yield batch(
-                            {"range": [r], "block": [row["block"]], "keys": [packed_keys(keys[a:b])], "contents": [zstandard.compress(b"".join(contents[a:b]), 1)], "counts": [packed(counts[a:b].astype(np.uint8))], "least": [packed(least[a:b])]},
-                            [("range", pa.int32()), ("block", pa.int64()), ("keys", pa.binary()), ("contents", pa.binary()), ("counts", pa.binary()), ("least", pa.binary())],
-                        )
+                            {"range": [r], "block": [row["block"]], "keys": [packed_keys(keys[a:b])], "contents": [zstandard.compress(b"".join(contents[a:b]), 1)], "counts": [packed(counts[a:b].astype(np.uint8))],
+                             "times": [packed(np.diff(heads[a : b + 1]).astype("<u4"))], "places": [packed(places[own].astype("<i8"))], "orders": [packed(orders[own].astype("<i8"))]}, columns)
 
     def ordered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for r, rows in by_range(batches):
@@ -366,8 +363,11 @@ def spans(documents: DataFrame, finish, schema: str, width: int = WIDTH, id_colu
             owners: list[int] = []
             members = []
             for x in rows:
-                contents, at, own = zstandard.decompress(x["contents"]), 0, []
-                for k, c, least in zip(unpacked_keys(x["keys"]).tolist(), unpacked(x["counts"], "u1").tolist(), unpacked(x["least"], "<i8").tolist()):
+                contents, at, own = zstandard.decompress(x.pop("contents")), 0, []
+                times = unpacked(x["times"], "<u4").astype(np.int64)
+                orders = unpacked(x["orders"], "<i8")
+                smallest = np.minimum.reduceat(orders, np.cumsum(times) - times)
+                for k, c, least in zip(unpacked_keys(x["keys"]).tolist(), unpacked(x["counts"], "u1").tolist(), smallest.tolist()):
                     content = contents[at : at + c + width - 1]
                     at += c + width - 1
                     n = seen.setdefault((k, content), len(seen))
@@ -379,24 +379,29 @@ def spans(documents: DataFrame, finish, schema: str, width: int = WIDTH, id_colu
                 members.append(np.array(own, np.int64))
             least, first, sizes = collected(list(seen), np.array(owners, np.int64), width)
             del seen
+            stretches = Stretches(least, first, sizes)
             for x, own in zip(rows, members):
-                yield batch({"block": [x["block"]], "range": [r], "blob": [run_lengths(least, first[own], sizes[own])]}, [("block", pa.int64()), ("range", pa.int32()), ("blob", pa.binary())])
+                times = unpacked(x["times"], "<u4").astype(np.int64)
+                begin, end = stretches.covered(np.repeat(own, times), unpacked(x["places"], "<i8"), unpacked(x["orders"], "<i8"), width)
+                if len(begin):
+                    rank = np.argsort(begin, kind="stable")
+                    blob = packed_keys(begin[rank].astype(U))
+                    yield batch({"block": [x["block"]], "range": [r], "blob": [len(blob).to_bytes(4, "little") + blob + packed((end - begin)[rank].astype("<u2"))]}, [("block", pa.int64()), ("range", pa.int32()), ("blob", pa.binary())])
 
     def finished(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
             for row in rows.to_pylist():
                 block = Block(row["data"])
-                _, _, counts, _, run, place, owner = block.fragments(*wanted_of(row["answers"]), width)
-                yield finish(block, removed(block, counts, run, place, owner, in_order(row["found"]), width))
+                yield finish(block, removed(block, in_order(row["found"])))
 
     sorted_by_range = lambda df: df.repartition(max(1, min(ranges, 4 * shuffle)), "range").sortWithinPartitions("range")
     sent = blocks.select("block", "data").mapInArrow(anchors, "range int, block long, keys binary, several binary")
     back = sorted_by_range(sent).mapInArrow(repeated, "block long, range int, blob binary")
-    wanted = materialize(answers_by_block(back), "anchors")
-    runs = blocks.select("block", "data").join(wanted.hint("shuffle_hash"), "block").mapInArrow(fragments, "range int, block long, keys binary, contents binary, counts binary, least binary")
-    least = sorted_by_range(runs).mapInArrow(ordered, "block long, range int, blob binary")
-    found = answers_by_block(least).withColumnRenamed("answers", "found")
-    whole = blocks.select("block", "data").join(wanted.join(found, "block").hint("shuffle_hash"), "block", "left")
+    wanted = answers_by_block(back)
+    runs = blocks.select("block", "data").join(wanted.hint("shuffle_hash"), "block").mapInArrow(fragments, "range int, block long, keys binary, contents binary, counts binary, times binary, places binary, orders binary")
+    covered = sorted_by_range(runs).mapInArrow(ordered, "block long, range int, blob binary")
+    found = materialize(answers_by_block(covered).withColumnRenamed("answers", "found"), "covered")
+    whole = blocks.select("block", "data").join(found.hint("shuffle_hash"), "block", "left")
     return whole.mapInArrow(finished, schema)
 
 
@@ -408,7 +413,11 @@ def collected(runs: list[tuple[int, bytes]], owners: np.ndarray, width: int) ->
     counts = np.array([len(c) - width + 1 for _, c in runs], np.int64)
     first = np.cumsum(counts) - counts
     out = np.empty(int(counts.sum()), np.int64)
-    rank = np.argsort(np.array([k for k, _ in runs], U), kind="stable").tolist()
+    keys, member = np.unique(np.array([k for k, _ in runs], U), return_inverse=True)
+    longest = np.zeros(len(keys), np.int64)
+    np.maximum.at(longest, member, counts)
+    # Anchors with runs of like length share a collection: a round costs the whole collection, and there are as many as its longest run.
+    rank = np.lexsort((member, longest[member])).tolist()
     a = 0
     while a < len(rank):
         b, size = a, 0
@@ -418,51 +427,46 @@ def collected(runs: list[tuple[int, bytes]], owners: np.ndarray, width: int) ->
         own = rank[a:b]
         contents = [runs[i][1] for i in own]
         sizes = np.array([len(c) for c in contents], np.int64)
-        least, starts = bwt.least_owner(np.frombuffer(b"".join(contents), np.uint8), np.cumsum(sizes) - sizes, sizes, owners[own], width)
+        least, _ = bwt.least_owner(np.frombuffer(b"".join(contents), np.uint8), np.cumsum(sizes) - sizes, sizes, owners[own], width)
         n = sizes - width + 1
         out[np.repeat(first[own] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))] = least
         a = b
     return out, first, counts
 
 
-def run_lengths(least: np.ndarray, first: np.ndarray, counts: np.ndarray) -> bytes:
-    """Per run, stretches of equal least owners: how many windows, and the owner. Packed as two arrays."""
-    at = np.repeat(first - (np.cumsum(counts) - counts), counts) + np.arange(int(counts.sum()))
-    values = least[at]
-    new = np.ones(len(values), bool)
-    new[1:] = values[1:] != values[:-1]
-    new[np.cumsum(counts) - counts] = True
-    starts = np.flatnonzero(new)
-    lengths = np.diff(np.append(starts, len(values))).astype(np.uint8)
-    a, b = packed(lengths), packed(values[starts])
-    return len(a).to_bytes(4, "little") + a + b
-
-
-def removed(block: Block, counts: np.ndarray, run: np.ndarray, place: np.ndarray, owner: np.ndarray, blobs: list[bytes], width: int) -> np.ndarray:
-    """Which bytes of a block go. counts: windows of each run; run, place, owner: every occurrence of a run, its first byte and its document."""
-    change = np.zeros(len(block.data) + 1, np.int64)
-    if len(run):
-        lengths, values = [], []
-        for blob in blobs:
-            n = int.from_bytes(blob[:4], "little")
-            lengths.append(unpacked(blob[4 : 4 + n], "u1"))
-            values.append(unpacked(blob[4 + n :], "<i8"))
-        lengths, values = np.concatenate(lengths).astype(np.int64), np.concatenate(values)
-        # Stretches come run after run, in the runs' order, and none crosses into the next run.
-        ends = np.cumsum(lengths)
-        if ends[-1] != counts.sum():
-            raise ValueError("the answers don't fit the block's runs")
-        window = np.cumsum(counts) - counts
-        low = np.searchsorted(ends - lengths, window)
-        many = np.append(low[1:], len(lengths)) - low
-        each = many[run]
+class Stretches:
+    """Of the windows of all runs, run after run: stretches of windows with equal least owners; none crosses into the next run."""
+
+    def __init__(self, least: np.ndarray, first: np.ndarray, counts: np.ndarray):
+        new = np.ones(len(least), bool)
+        new[1:] = least[1:] != least[:-1]
+        new[first] = True
+        self.starts = np.flatnonzero(new)
+        self.sizes = np.diff(np.append(self.starts, len(least)))
+        self.owners = least[self.starts]
+        self.first = first
+        self.low = np.searchsorted(self.starts, first)
+        self.many = np.diff(np.append(self.low, len(self.starts)))
+
+    def covered(self, run: np.ndarray, place: np.ndarray, order: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """Bytes (begin, end) that go, of occurrences of runs: where a stretch's least owner is smaller than the occurrence's document."""
+        each = self.many[run]
         occurrence = np.repeat(np.arange(len(run)), each)
-        stretch = np.repeat(low[run] - (np.cumsum(each) - each), each) + np.arange(int(each.sum()))
-        covers = values[stretch] < block.order[owner[occurrence]]
-        occurrence, stretch = occurrence[covers], stretch[covers]
-        begin = place[occurrence] + (ends - lengths)[stretch] - window[run[occurrence]]
+        stretch = np.repeat(self.low[run] - (np.cumsum(each) - each), each) + np.arange(int(each.sum()))
+        goes = self.owners[stretch] < order[occurrence]
+        occurrence, stretch = occurrence[goes], stretch[goes]
+        begin = place[occurrence] + self.starts[stretch] - self.first[run[occurrence]]
+        return begin, begin + self.sizes[stretch] + width - 1
+
+
+def removed(block: Block, blobs: list[bytes]) -> np.ndarray:
+    """Which bytes of a block go: those in the intervals (begin, size) that the ranges sent back."""
+    change = np.zeros(len(block.data) + 1, np.int32)
+    for blob in blobs:
+        n = int.from_bytes(blob[:4], "little")
+        begin, size = unpacked_keys(blob[4 : 4 + n]).astype(np.int64), unpacked(blob[4 + n :], "<u2")
         np.add.at(change, begin, 1)
-        np.add.at(change, begin + lengths[stretch] + width - 1, -1)
+        np.add.at(change, begin + size, -1)
     return np.cumsum(change[:-1]) > 0
 
 
