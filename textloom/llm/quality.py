@@ -28,7 +28,7 @@ from textloom.llm.shared import pieces
 
 BITS = 18
 LONGEST = 4
-SAMPLE = 6000
+SAMPLE = 4000
 THRESHOLD = 0.3
 
 
@@ -180,7 +180,7 @@ def train(documents: DataFrame, labels: DataFrame, label: str = "quality", sampl
 
     rows = texts.join(F.broadcast(chosen), "id").select("id", "y", "text").mapInArrow(places, "id long, y int, places binary")
     found = sorted(((r.id, r.y, bytes(r.places)) for r in rows.toLocalIterator(prefetchPartitions=True)))[: 2 * sample]
-    return fit([np.frombuffer(p, "<u4").astype(np.int64) for _, _, p in found], np.array([y for _, y, _ in found], int), seed=seed)
+    return fit([np.frombuffer(p, "<u4") for _, _, p in found], np.array([y for _, y, _ in found], int), seed=seed)
 
 
 def score(documents: DataFrame, model: Model, id_column: str = "doc_id", text_column: str = "text", threshold: float = THRESHOLD) -> DataFrame:
