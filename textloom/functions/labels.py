@@ -2,20 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from textloom.functions.text import let
 from textloom.schemas import LABELS
 
 SPACE = r"(?U)\s"
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body of a value that is evaluated once, however often body uses it; without this, nested uses multiply the plan."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
 # Words for variables, and letters that are never variables.
 WORD_VARIABLES = {r"rows?|height": "m", r"cols?|columns?|width|len": "n"}
 NOT_VARIABLES = ("o", "c", "k")

@@ -3,12 +3,20 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom.schemas import EXTENSIONS, FENCES, lookup
 
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is evaluated once, however often body uses it; without this, nested uses multiply the plan."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 # ---- hashes and whitespace ----
 
 
@@ -88,8 +96,7 @@ STATED_LOOSE = r"(?i)time[^.\n]{0,80}?\$O\(([^$)]+)\)\$"
 
 def blocks(document: Column) -> Column:
     """What stands between each start mark and the next end mark; the whole document if no pair of marks is complete."""
-    found = F.regexp_extract_all(document, F.lit(BLOCK), F.lit(1))
-    return F.when(F.size(found) > 0, found).otherwise(F.array(document))
+    return let(F.regexp_extract_all(document, F.lit(BLOCK), F.lit(1)), lambda found: F.when(F.size(found) > 0, found).otherwise(F.array(document)))
 
 
 def stated_complexity(block: Column) -> Column:

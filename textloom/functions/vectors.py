@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from textloom.functions.text import let
+
 
 def _sum(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda s, x: s + x)
@@ -54,8 +56,8 @@ def pair_block(a: Column, b: Column) -> Column:
 
 def joined_block(a: Column, b: Column) -> Column:
     """All of a, all of b, all differences, all their sizes."""
-    gap = F.zip_with(doubles(a), doubles(b), lambda x, y: y - x)
-    return F.concat(doubles(a), doubles(b), gap, F.transform(gap, F.abs))
+    differences = F.zip_with(doubles(a), doubles(b), lambda x, y: y - x)
+    return let(differences, lambda gap: F.concat(doubles(a), doubles(b), gap, F.transform(gap, lambda x: F.abs(x))))
 
 
 def log_count(x: Column) -> Column:
@@ -67,9 +69,8 @@ def signed_log(x: Column) -> Column:
 
 
 def softmax(v: Column) -> Column:
-    top = F.array_max(doubles(v))
-    powers = F.transform(doubles(v), lambda x: F.exp(x - top))
-    return F.transform(powers, lambda x: x / _sum(powers))
+    powers = let(F.array_max(doubles(v)), lambda top: F.transform(doubles(v), lambda x: F.exp(x - top)))
+    return let(powers, lambda p: let(_sum(p), lambda total: F.transform(p, lambda x: x / total)))
 
 
 def argmax(v: Column) -> Column:

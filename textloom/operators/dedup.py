@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textloom.functions.text import words
+from textloom.functions.text import let, words
 
 #: Words of a shingle, permutations, bands and rows. 4 x 15 has the least error at the threshold 0.85.
 SHINGLE, PERMUTATIONS, BANDS, ROWS = 5, 64, 4, 15
@@ -27,9 +27,12 @@ PRIME = (1 << 31) - 1
 
 def shingles(code: Column, n: int = SHINGLE) -> Column:
     """The distinct runs of n words; none for shorter texts."""
-    w = words(code)
-    runs = F.transform(F.sequence(F.lit(0), F.size(w) - n), lambda i: F.array_join(F.slice(w, i + 1, n), " "))
-    return F.when(F.size(w) >= n, F.array_distinct(runs)).otherwise(F.array().cast("array<string>"))
+
+    def runs(w: Column) -> Column:
+        each = F.transform(F.sequence(F.lit(0), F.size(w) - n), lambda i: F.array_join(F.slice(w, i + 1, n), " "))
+        return F.when(F.size(w) >= n, F.array_distinct(each)).otherwise(F.array().cast("array<string>"))
+
+    return let(words(code), runs)
 
 
 def exact(df: DataFrame, keys: list[str], order: str) -> DataFrame:

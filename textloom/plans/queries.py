@@ -227,10 +227,10 @@ def exact_dedup_cell(spark, sf):
 
 @query(r"""WITH d AS (SELECT min(doc_id) AS doc_id, text FROM documents GROUP BY text), w AS (SELECT doc_id, string_split(trim(regexp_replace(text, '\s+', ' ', 'g')), ' ') AS w FROM d),
     s AS (SELECT doc_id, list_distinct(list_transform(generate_series(1, len(w) - 4), lambda i: array_to_string(w[i:i + 4], ' '))) AS s FROM w WHERE len(w) >= 5), b AS (SELECT doc_id, s, list_min(s) AS block FROM s)
-    SELECT a, b, round(similarity, 6) AS similarity FROM (SELECT x.doc_id AS a, y.doc_id AS b, len(list_intersect(x.s, y.s)) / CAST(len(x.s) + len(y.s) - len(list_intersect(x.s, y.s)) AS DOUBLE) AS similarity FROM b x JOIN b y ON x.block = y.block AND x.doc_id < y.doc_id) WHERE similarity >= 0.85""")
+    SELECT a, b, round(similarity, 6) AS similarity FROM (SELECT x.doc_id AS a, y.doc_id AS b, len(list_intersect(x.s, y.s)) / CAST(len(x.s) + len(y.s) - len(list_intersect(x.s, y.s)) AS DOUBLE) AS similarity FROM b x JOIN b y ON x.block = y.block AND x.doc_id < y.doc_id) WHERE similarity >= 0.5""")
 def shingle_jaccard_verified(spark, sf):
     distinct = A.table(spark, sf, "documents").groupBy(F.col("text").alias("code")).agg(F.min("doc_id").alias("ord"))
-    return rounded(dedup.verified(distinct), "similarity")
+    return rounded(dedup.verified(distinct, 0.5), "similarity")
 
 
 @query()
