@@ -575,3 +575,67 @@ def loss_ema(spark, sf):
 def early_stop_step(spark, sf):
     rows = A.table(spark, sf, "events").where("value is not null")
     return metrics.early_stop(rows, "user_id", "event_id", "value", 3, 0.0)
+
+
+# ---- code, heads ----
+
+
+def _code(spark: SparkSession) -> DataFrame:
+    from textloom.plans.fixtures import SNIPPETS
+
+    return spark.createDataFrame([(i, x, c) for i, (x, c) in enumerate(SNIPPETS)], "ord long, language string, code string")
+
+
+@query()
+def ast_features(spark, sf):
+    return code_functions.structures(_code(spark))
+
+
+@query()
+def ast_pair_features(spark, sf):
+    rows = _code(spark)
+    a, b = rows.toDF("ord_a", "language", "code_a"), rows.toDF("ord_b", "language", "code_b")
+    both = a.join(b, "language").where("ord_a < ord_b").withColumn("pair_id", F.concat_ws("-", "ord_a", "ord_b"))
+    return code_functions.pair_structures(both, code_functions.structures(rows))
+
+
+@query()
+def leak_strip_comments(spark, sf):
+    return code_functions.strip_leakage(_code(spark))
+
+
+@query()
+def memory_line_offsets(spark, sf):
+    return _code(spark).select("ord", code_functions.memory_lines(F.col("code"), F.col("language")).alias("offsets"))
+
+
+@query("""SELECT vec_id, CAST(513 AS BIGINT) AS first_global, CAST(sum(g) AS BIGINT) AS n_global FROM (SELECT vec_id, 64 // 16 - 1 + 1 + 1 AS g FROM embeddings) GROUP BY vec_id""")
+def encoder_bundle(spark, sf):
+    tokens = F.sequence(F.lit(0), F.lit(63))
+    b = V.bundle(tokens, F.array(F.lit(5)), 96, 16, 512, 514, 0, 513, 515)
+    rows = A.table(spark, sf, "embeddings").select("vec_id", b.alias("b"))
+    total = F.aggregate("b.global_attention_mask", F.lit(0).cast("bigint"), lambda s, x: s + x)
+    return rows.select("vec_id", F.try_element_at(F.col("b.input_ids"), F.lit(19)).alias("first_global"), total.alias("n_global"))
+
+
+def _matrix(spark: SparkSession, sf: str) -> DataFrame:
+    e = A.table(spark, sf, "embeddings")
+    return e.select(F.col("vec_id").alias("id"), (F.col("label") >= 5).cast("int").alias("y"), F.col("embedding").cast("array<double>").alias("features"), F.col("label").cast("string").alias("language"))
+
+
+@query()
+def head_logreg_metrics(spark, sf):
+    from textloom.plans import heads
+
+    rows = _matrix(spark, sf)
+    train, test = rows.where("id % 5 <> 0"), rows.where("id % 5 = 0")
+    return heads.evaluated(heads.scored(heads.fit("logreg", train), test))
+
+
+@query()
+def head_stacked_metrics(spark, sf):
+    from textloom.plans import heads
+
+    rows = _matrix(spark, sf)
+    train, test = rows.where("id % 5 <> 0"), rows.where("id % 5 = 0")
+    return heads.evaluated(heads.Stacked(("lgbm", "logreg")).fit(train).scored(test))
