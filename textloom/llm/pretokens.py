@@ -45,7 +45,7 @@ class Slots(dict):
 class Lexicon:
     """encode: ids of many pre-tokens at once. Call as lexicon(texts): a uint32 array per text."""
 
-    def __init__(self, split: Callable[[str], list[str]], encode: Callable[[list[str]], list[list[int]]], most: int = 800_000):
+    def __init__(self, split: Callable[[str], list[str]], encode: Callable[[list[str]], list[list[int]]], most: int = 500_000):
         self.split, self.encode, self.most = split, encode, most
         self._clear()
 

@@ -47,9 +47,9 @@ KEY_BITS = 48
 #: Bytes of text in a block, in what is hashed at once, and in a collection; windows in a run; blocks that make an anchor hot.
 BLOCK, CHUNK, COLLECTION, RUN, HOT = 6 << 20, 1 << 16, 1 << 18, 32, 24
 #: Bytes of text for each range of anchors that one task puts in order.
-RANGE = 16 << 20
+RANGE = 12 << 20
 LAST = np.iinfo(np.int64).max
-ROLLING = Rolling(1), Rolling(2)
+ROLLING = Rolling(1)
 
 
 def packed(x: np.ndarray) -> bytes:
@@ -199,16 +199,16 @@ class Block:
             low = int(self.starts[document[0]])
             data = self.data[low : int(self.starts[document[-1]] + self.sizes[document[-1]])]
             ends = first + count + width - 1 - low
-            found.append((first, count, key, document, *(r.substrings(r.prefix(data), first - low, ends) for r in ROLLING)))
+            found.append((first, count, key, document, ROLLING.substrings(ROLLING.prefix(data), first - low, ends)))
         if not found:
             none = np.empty(0, np.int64)
             return none.astype(U), [], none, np.zeros(1, np.int64), none, none
-        place, count, key, owner, *two = (np.concatenate(x) for x in zip(*found))
-        # Equal runs: equal keys, sizes and 128 bits of hash. lexsort is stable, so a run's first place leads its group.
-        rank = np.lexsort((place, *two, count, key))
+        place, count, key, owner, content = (np.concatenate(x) for x in zip(*found))
+        # Equal runs of a block: equal 48 bits of key, sizes, and 64 bits of hash. Across blocks, contents are compared themselves.
+        rank = np.lexsort((content, count, key))
         new = np.ones(len(rank), bool)
         new[1:] = False
-        for x in (key, count, *two):
+        for x in (key, count, content):
             new[1:] |= x[rank][1:] != x[rank][:-1]
         heads = np.flatnonzero(new)
         lead = rank[heads]
