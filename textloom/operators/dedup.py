@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom.functions.text import let, words
+from textloom.operators.store import checkpointed
 
 #: Words of a shingle, permutations, bands and rows. 4 x 15 has the least error at the threshold 0.85.
 SHINGLE, PERMUTATIONS, BANDS, ROWS = 5, 64, 4, 15
@@ -96,17 +97,6 @@ def greedy(banded: DataFrame, order: str = "ord", within: tuple[str, ...] = ("la
     return everyone.join(dropped, order, "left_anti")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """checkpoint() in the folder of spark.checkpoint.dir; a temporary one where none is set, as in tests."""
-    import tempfile
-
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="textloom-"))
-    return df.checkpoint()
-
-
 def near(df: DataFrame, code: str = "code", order: str = "ord", within: tuple[str, ...] = ("language",)) -> DataFrame:
     """Rows of at least five words, without those that an earlier kept row of the same language is a candidate for."""
     kept = greedy(bands(df, code, (order, *within)), order, within)

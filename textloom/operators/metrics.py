@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from textloom.operators.rank import places
 from textloom.schemas import LABELS, labels, tier
 
 
@@ -97,15 +99,9 @@ def areas(df: DataFrame, y: str = "y", p: str = "p", keys: tuple[str, ...] = ())
 
 
 def spearman(df: DataFrame, a: str, b: str, order: str) -> DataFrame:
-    """Correlation of ranks, ties in the given order; 0 below two rows. Ranks come in ranges of values, as in `areas`."""
-
-    def ranks(column: str, name: str) -> DataFrame:
-        rows = df.select(order, F.col(column).cast("double").alias("v"))
-        counts = rows.groupBy("v").agg(F.count("*").alias("_n"))
-        offsets = counts.select("v", (F.sum("_n").over(Window.orderBy("v")) - F.col("_n")).alias("_o"))
-        return rows.join(offsets, "v").select(order, (F.col("_o") + F.row_number().over(Window.partitionBy("v").orderBy(order))).cast("double").alias(name))
-
-    both = ranks(a, "ra").join(ranks(b, "rb"), order)
+    """Correlation of ranks, ties in the given order; 0 below two rows."""
+    rows = df.select(order, F.col(a).cast("double").alias("a"), F.col(b).cast("double").alias("b"))
+    both = places(places(rows, ["a", order], "ra"), ["b", order], "rb")
     return both.agg(F.count("*").alias("n"), F.corr("ra", "rb").alias("r")).select(F.when(F.col("n") < 2, F.lit(0.0)).otherwise(F.col("r")).alias("spearman"))
 
 
@@ -147,16 +143,18 @@ def scaler_arrays(fitted: DataFrame, names: list[str]) -> DataFrame:
 
 
 def ema(df: DataFrame, key: str, order: str, value: str, alpha: float = 0.05) -> DataFrame:
-    """Exponential moving average along each key's steps, begun with the first value. A key's steps are one run's log.
+    """Exponential moving average along each key's steps, begun with the first value: key, order, value, ema.
 
-    The recursion has a closed form, so a window does it: e_i = a * sum((1-a)^(i-j) v_j), with v_0 weighing 1.
+    The recursion isn't a window frame, so each key's steps go to one task in order; a key is one run's log.
     """
-    whole = F.aggregate(
-        F.array_sort(F.collect_list(F.struct(F.col(order).alias("at"), F.col(value).cast("double").alias("v")))),
-        F.array().cast("array<struct<at:" + dict(df.dtypes)[order] + ",v:double,e:double>>"),
-        lambda done, x: F.concat(done, F.array(F.struct(x["at"].alias("at"), x["v"].alias("v"), F.when(F.size(done) == 0, x["v"]).otherwise(F.lit(alpha) * x["v"] + F.lit(1 - alpha) * F.element_at(done, -1)["e"]).alias("e")))),
-    )
-    return df.groupBy(key).agg(whole.alias("w")).select(key, F.explode("w").alias("x")).select(key, F.col("x.at").alias(order), F.col("x.v").alias(value), F.col("x.e").alias("ema"))
+    kinds = dict(df.dtypes)
+
+    def averaged(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(order)
+        return rows.assign(ema=rows[value].astype(float).ewm(alpha=alpha, adjust=False).mean())
+
+    rows = df.select(key, order, F.col(value).cast("double").alias(value))
+    return rows.groupBy(key).applyInPandas(averaged, f"`{key}` {kinds[key]}, `{order}` {kinds[order]}, `{value}` double, ema double")
 
 
 def early_stop(df: DataFrame, key: str, order: str, value: str, patience: int, min_delta: float) -> DataFrame:

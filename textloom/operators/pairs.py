@@ -62,7 +62,8 @@ def cross_label(points: DataFrame, total: int, cap: int = 3000, seed: int = 42)
     sizes = rows.groupBy("split", "language", "label").agg(F.count("*").alias("n"))
 
     def side(salt: int, other: str) -> DataFrame:
-        placed = ranked(rows, ["split", "language", "label"], [hash_order(F.concat_ws(":", F.lit(str(salt)), F.col("ord").cast("string")), seed), F.col("ord")], "place").where("place <= attempts")
+        placed = ranked(rows, ["split", "language", "label"], [hash_order(F.concat_ws(":", F.lit(str(salt)), F.col("ord").cast("string")), seed), F.col("ord")], "place")
+        placed = placed.where(F.col("place") <= cap * ATTEMPTS).where("place <= attempts")  # the literal bound limits each task's rows before the shuffle
         placed = placed.join(sizes, ["split", "language", "label"]).withColumn("used", F.least("n", "attempts"))
         index = F.col("label_idx")
         number = F.array(*[F.lit(i) for i in range(len(LABELS))])

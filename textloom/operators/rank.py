@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from textloom.operators.store import checkpointed
+
 
 def hash_order(key: Column, seed: int) -> Column:
     return F.sha2(F.concat(F.lit(f"{seed}:"), key.cast("string")), 256)
@@ -20,6 +22,23 @@ def capped(df: DataFrame, cell: list[str], key: str, tie: str, cap: int, seed: i
     return ranked(df, cell, [hash_order(F.col(key), seed), F.col(tie)], "_rank").where(F.col("_rank") <= cap).drop("_rank")
 
 
+def placed(df: DataFrame, cell: list[str], hashed: Column, tie: str) -> DataFrame:
+    """Adds place (from 0, by a hash in hex, then the tie) and n (rows) within each cell, null cells too.
+
+    A cell may hold most rows, so it isn't ordered in one task: the hash's first three digits cut it into 4,096 buckets;
+    ranks are within buckets, and offsets come from the buckets' counts, which are few rows.
+    """
+    rows = df.withColumn("_h", hashed).withColumn("_b", F.substring("_h", 1, 3))
+    counts = rows.groupBy(*cell, "_b").agg(F.count("*").alias("_c"))
+    upto = F.sum("_c").over(Window.partitionBy(*cell).orderBy("_b"))
+    offsets = counts.select(*[F.col(c).alias(f"_{c}") for c in cell], F.col("_b").alias("_ob"), (upto - F.col("_c")).alias("_o"), F.sum("_c").over(Window.partitionBy(*cell)).alias("n"))
+    same = F.col("_b") == F.col("_ob")
+    for c in cell:
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    inside = F.row_number().over(Window.partitionBy(*cell, "_b").orderBy("_h", tie)) - 1
+    return rows.join(offsets, same).withColumn("place", F.col("_o") + inside).drop("_h", "_b", "_ob", "_o", *[f"_{c}" for c in cell])
+
+
 def first_by(df: DataFrame, keys: list[str], order: str, last: bool = False) -> DataFrame:
     """One row per key, the first (or last) by order: a partial aggregate, so a hot key is combined before the shuffle."""
     rest = [c for c in df.columns if c not in keys]
@@ -37,12 +56,10 @@ def stratified_split(df: DataFrame, group: str = "problem_id", strata: tuple[str
     """(group, split): groups go whole, by the stratum of their first row. Of n groups of a stratum, int(n * train) train,
     int(n * val) validate and the rest test, so a stratum of one tests and one under ten doesn't validate."""
     firsts = df.groupBy(group).agg(F.min_by(F.struct(*strata), order).alias("_s")).select(group, "_s.*")
-    cell = Window.partitionBy(*strata)
-    place = F.row_number().over(cell.orderBy(hash_order(F.col(group), seed), group)) - 1
-    n = F.count("*").over(cell)
-    n_train, n_val = F.floor(n * F.lit(train)), F.floor(n * F.lit(val))
-    split = F.when(place < n_train, "train").when(place < n_train + n_val, "val").otherwise("test")
-    return firsts.withColumn("split", split).select(group, "split")
+    rows = placed(firsts, list(strata), hash_order(F.col(group), seed), group)
+    n_train, n_val = F.floor(F.col("n") * F.lit(train)), F.floor(F.col("n") * F.lit(val))
+    split = F.when(F.col("place") < n_train, "train").when(F.col("place") < n_train + n_val, "val").otherwise("test")
+    return rows.withColumn("split", split).select(group, "split")
 
 
 def assigned(df: DataFrame, assignment: DataFrame, group: str = "problem_id") -> DataFrame:
@@ -51,19 +68,11 @@ def assigned(df: DataFrame, assignment: DataFrame, group: str = "problem_id") ->
 
 
 def folds(df: DataFrame, group: str, k: int, seed: int, within: tuple[str, ...] = ()) -> DataFrame:
-    """(within, group, fold): distinct groups in hash order are dealt to k folds in turn.
-
-    Dealing needs one order of all groups. It is made by two levels: a hash's first three digits deal groups to 4,096
-    buckets, whose counts give each bucket its offset; ranks are then within buckets, in as many tasks as there are.
-    """
+    """(within, group, fold): distinct groups in hash order are dealt to k folds in turn."""
     if k < 2:
         raise ValueError("at least two folds are needed")
-    keys = df.select(*within, group).where(F.col(group).isNotNull()).distinct().withColumn("_h", hash_order(F.col(group), seed)).withColumn("_b", F.substring("_h", 1, 3))
-    counts = keys.groupBy(*within, "_b").agg(F.count("*").alias("_n"))
-    before = Window.partitionBy(*within).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    place = F.row_number().over(Window.partitionBy(*within, "_b").orderBy("_h", group)) - 1
-    dealt = keys.join(offsets, [*within, "_b"]).withColumn("fold", ((F.col("_before") + place) % k).cast("int"))
+    keys = df.select(*within, group).where(F.col(group).isNotNull()).distinct()
+    dealt = placed(keys, list(within), hash_order(F.col(group), seed), group).withColumn("fold", (F.col("place") % k).cast("int"))
     return dealt.select(*within, group, "fold")
 
 
@@ -74,10 +83,10 @@ def complement(df: DataFrame, fold: int) -> tuple[DataFrame, DataFrame]:
 
 def carved(df: DataFrame, within: list[str], key: str, fraction: float, seed: int) -> DataFrame:
     """Adds carved: the max(1, round(n * fraction)) keys of each group whose hash begins with the smallest number; ties to the smaller key."""
-    score = F.substring(F.sha2(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")), 256), 1, 16)
-    cell = Window.partitionBy(*within)
-    n = F.greatest(F.lit(1), F.bround(F.count("*").over(cell) * F.lit(fraction), 0))
-    return df.withColumn("carved", F.row_number().over(cell.orderBy(score, key)) <= n)
+    score = F.substring(hash_order(F.col(key), seed), 1, 16)
+    rows = placed(df, within, score, key)
+    n = F.greatest(F.lit(1), F.bround(F.col("n") * F.lit(fraction), 0))
+    return rows.withColumn("carved", F.col("place") < n).drop("place", "n")
 
 
 def sampled(df: DataFrame, key: str, n: int, seed: int) -> DataFrame:
@@ -104,10 +113,17 @@ def drawn(df: DataFrame, key: str, weight: str, n: int, seed: int, grain: int =
     return draws.join(placed, "_cell").where("_u >= _low and _u < _high").select("draw", key)
 
 
-def numbered(df: DataFrame, order: list[str], name: str, form: str) -> DataFrame:
-    """Sequential ids in a given order, such as p0000000. Ranks come range by range, so no task has all rows."""
-    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()).withColumn("_in", F.monotonically_increasing_id())
+def places(df: DataFrame, order: list[str], name: str) -> DataFrame:
+    """Adds each row's place, from 0, in a given order. Ranks come range by range, so no task has all rows.
+
+    Both the ranges' sizes and the rows must see the same ranges, hence the checkpoint.
+    """
+    ranged = checkpointed(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()).withColumn("_in", F.monotonically_increasing_id()))
     sizes = ranged.groupBy("_part").agg(F.count("*").alias("_n"), F.min("_in").alias("_first"))
     offsets = sizes.select("_part", "_first", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
-    out = ranged.join(offsets, "_part").withColumn(name, F.format_string(form, F.col("_before") + F.col("_in") - F.col("_first")))
-    return out.drop("_part", "_in", "_first", "_before")
+    return ranged.join(offsets, "_part").withColumn(name, F.col("_before") + F.col("_in") - F.col("_first")).drop("_part", "_in", "_first", "_before")
+
+
+def numbered(df: DataFrame, order: list[str], name: str, form: str) -> DataFrame:
+    """Sequential ids in a given order, such as p0000000."""
+    return places(df, order, "_place").withColumn(name, F.format_string(form, "_place")).drop("_place")

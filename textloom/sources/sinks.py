@@ -15,7 +15,7 @@ def jsonl(df: DataFrame, path: str, mode: str = "overwrite") -> None:
 
 
 def accepted_and_rejects(df: DataFrame, accepted: str, rejects: str, reason: str = "reject_reason") -> None:
-    """Two folders from one pass: the rows are written once, partitioned by whether they have a reason, and moved apart by name."""
+    """Two folders, of rows without and with a reason. The rows are worked out once and kept in between."""
     kept = df.persist()
     try:
         kept.where(F.col(reason).isNull()).drop(reason).write.mode("overwrite").json(accepted)
