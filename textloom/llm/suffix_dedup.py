@@ -359,7 +359,8 @@ def spans(documents: DataFrame, finish, schema: str, width: int = WIDTH, id_colu
 
     def ordered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for r, rows in by_range(batches):
-            seen: dict[tuple[int, bytes], int] = {}
+            seen: dict[bytes, int] = {}  # equal contents have equal keys
+            all_keys: list[int] = []
             owners: list[int] = []
             members = []
             for x in rows:
@@ -370,15 +371,16 @@ def spans(documents: DataFrame, finish, schema: str, width: int = WIDTH, id_colu
                 for k, c, least in zip(unpacked_keys(x["keys"]).tolist(), unpacked(x["counts"], "u1").tolist(), smallest.tolist()):
                     content = contents[at : at + c + width - 1]
                     at += c + width - 1
-                    n = seen.setdefault((k, content), len(seen))
+                    n = seen.setdefault(content, len(seen))
                     if n == len(owners):
                         owners.append(least)
+                        all_keys.append(k)
                     elif least < owners[n]:
                         owners[n] = least
                     own.append(n)
                 members.append(np.array(own, np.int64))
-            least, first, sizes = collected(list(seen), np.array(owners, np.int64), width)
-            del seen
+            least, first, sizes = collected(np.array(all_keys, U), list(seen), np.array(owners, np.int64), width)
+            del seen, all_keys, owners
             stretches = Stretches(least, first, sizes)
             for x, own in zip(rows, members):
                 times = unpacked(x["times"], "<u4").astype(np.int64)
@@ -405,30 +407,30 @@ def spans(documents: DataFrame, finish, schema: str, width: int = WIDTH, id_colu
     return whole.mapInArrow(finished, schema)
 
 
-def collected(runs: list[tuple[int, bytes]], owners: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def collected(keys: np.ndarray, runs: list[bytes], owners: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The least owner of every window of every run, each run's first window, and its number of windows.
 
     A collection is the runs of some whole anchors, of about COLLECTION bytes; an anchor's runs always are in one.
     """
-    counts = np.array([len(c) - width + 1 for _, c in runs], np.int64)
+    counts = np.fromiter(map(len, runs), np.int64, len(runs)) - (width - 1)
     first = np.cumsum(counts) - counts
     out = np.empty(int(counts.sum()), np.int64)
-    keys, member = np.unique(np.array([k for k, _ in runs], U), return_inverse=True)
-    longest = np.zeros(len(keys), np.int64)
+    anchors, member = np.unique(keys, return_inverse=True)
+    longest = np.zeros(len(anchors), np.int64)
     np.maximum.at(longest, member, counts)
     # Anchors with runs of like length share a collection: a round costs the whole collection, and there are as many as its longest run.
-    rank = np.lexsort((member, longest[member])).tolist()
+    rank = np.lexsort((member, longest[member]))
+    ends = np.flatnonzero(np.append(member[rank][1:] != member[rank][:-1], True)) + 1  # one past each anchor's last run
+    total = np.cumsum(counts[rank] + width - 1)
     a = 0
     while a < len(rank):
-        b, size = a, 0
-        while b < len(rank) and (size < COLLECTION or runs[rank[b]][0] == runs[rank[b - 1]][0]):
-            size += len(runs[rank[b]][1])
-            b += 1
+        full = np.searchsorted(total, (total[a - 1] if a else 0) + COLLECTION)
+        b = int(ends[np.searchsorted(ends, min(int(full) + 1, len(rank)))])
         own = rank[a:b]
-        contents = [runs[i][1] for i in own]
-        sizes = np.array([len(c) for c in contents], np.int64)
-        least, _ = bwt.least_owner(np.frombuffer(b"".join(contents), np.uint8), np.cumsum(sizes) - sizes, sizes, owners[own], width)
-        n = sizes - width + 1
+        n = counts[own]
+        sizes = n + width - 1
+        data = np.frombuffer(b"".join([runs[i] for i in own.tolist()]), np.uint8)
+        least, _ = bwt.least_owner(data, np.cumsum(sizes) - sizes, sizes, owners[own], width)
         out[np.repeat(first[own] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))] = least
         a = b
     return out, first, counts
