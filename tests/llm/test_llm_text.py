@@ -193,6 +193,22 @@ def test_near_duplicates(spark, monkeypatch):
     assert {r.doc_id for r in kept.collect()} == {i for i, c in want.items() if i == c} | {None}
 
 
+def test_near_duplicates_in_buckets_of_many_groups(spark, monkeypatch):
+    """Groups of two that share one bucket only, with many others that are alike but below the threshold."""
+    monkeypatch.setattr(near_dup, "CHUNK", 4)
+    monkeypatch.setattr(near_dup, "band_keys", lambda own: np.ones(1, np.int64))
+    random.seed(8)
+    words, docs = [f"w{i}" for i in range(3000)], []
+    core = random.choices(words, k=200)
+    for i in range(40):
+        own = core + random.choices(words, k=50)
+        docs += [(i, " ".join(own)), (500 - i, " ".join(own[:-8] + random.choices(words, k=8)))]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    want = near_classes(docs, near_dup.inverse_frequencies(near_dup.texts_of(df, "doc_id", "text")))
+    assert len(set(want.values())) == 40
+    assert {r.doc_id: r.class_id for r in near_dup.classes(df).collect()} == want
+
+
 def test_near_duplicates_of_nothing(spark):
     assert near_dup.classes(empty(spark)).collect() == []
 

@@ -13,8 +13,10 @@ median counter, which is what unrelated shingles add. The sketch's size is fixed
 4. Then every bucket that still has several components is joined inside: a document is verified against the documents of
    other components that agree in at least AGREE samples, the likeliest first, until it is linked to their component. So
    every pair in a bucket that the samples don't rule out is linked, verified, or in one component already; no pairs leave
-   the task but links. A bucket of more than CHUNK documents is dealt out to parts, with its smallest document in each,
-   and dealt out anew until a round finds no more links.
+   the task but links. A bucket of more than CHUNK documents is first dealt out to parts, with its smallest document in
+   each, which joins most of it.
+5. What is left in several components there meets in tiles of two parts, so that every two documents of different components
+   are in one tile; texts go only where the samples leave a pair open.
 
 The probability that a pair of similarity 0.8 shares no bucket is (1 - 0.8**3)**12 = 0.0002, at 0.85 it is 0.00001; that it
 agrees in fewer than 20 of 36 samples is 0.0003, at 0.85 below 0.00001.
@@ -205,12 +207,49 @@ def signatures(texts: DataFrame, idf) -> DataFrame:
 
 
 def dealt(members: DataFrame, turn: int) -> DataFrame:
-    """key, part, doc, sample, component: buckets in parts of about CHUNK documents, with the bucket's lead in every part."""
+    """key, part, side, doc, sample, component: buckets in parts of about CHUNK documents, with the bucket's lead in every part."""
     parts = F.when(F.col("n") > CHUNK, F.pmod(F.xxhash64("doc", F.lit(turn)), F.ceil(F.col("n") / CHUNK))).otherwise(F.lit(0)).cast("int")
     placed = members.withColumn("part", parts)
     lead = placed.where("lead is not null").groupBy("key", "part").agg(F.first("lead").alias("lead"))
     lead = lead.select("key", "part", F.col("lead.doc").alias("doc"), F.col("lead.sample").alias("sample"), F.col("lead.component").alias("component"))
-    return placed.select("key", "part", "doc", "sample", "component").union(lead).distinct()
+    return placed.select("key", "part", "doc", "sample", "component").union(lead).distinct().withColumn("side", F.lit(0))
+
+
+def tiles(members: DataFrame) -> DataFrame:
+    """key, part, side, doc, sample, component: rows of tiles, in which every two documents of a bucket's components meet once.
+
+    A bucket's largest component and what is outside it are dealt out to parts of about CHUNK / 2 documents; a tile has two
+    parts, at least one of them outside. Side 0 meets the whole tile, sides 1 and 2 meet each other. Rows stay if the
+    samples leave a pair with another component open.
+    """
+    most = max(1, CHUNK // 2)
+    sizes = members.groupBy("key", "component").agg(F.count("*").alias("n"))
+    sizes = sizes.groupBy("key").agg(F.sum("n").alias("n"), F.max(F.struct("n", "component")).alias("main"))
+    sizes = sizes.select("key", F.col("main.component").alias("main"), F.ceil((F.col("n") - F.col("main.n")) / most).alias("outer"), F.ceil(F.col("main.n") / most).alias("inner")).where("outer > 0")
+    hashed, is_main = F.xxhash64("doc"), F.col("component") == F.col("main")
+    placed = members.join(sizes, "key").withColumn("own", F.when(is_main, F.col("outer") + F.pmod(hashed, "inner")).otherwise(F.pmod(hashed, "outer")))
+    others = F.sequence(F.lit(0).cast("long"), F.when(is_main, F.col("outer")).otherwise(F.col("outer") + F.col("inner")) - 1)
+    paired = placed.withColumn("other", F.explode(others))
+    part = F.least("own", "other") * (F.col("outer") + F.col("inner")) + F.greatest("own", "other")
+    side = F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2)
+    rows = paired.select("key", part.alias("part"), side.alias("side"), "doc", "sample", "component")
+
+    def left_open(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for tile in by_part(batches):
+            component, sides = np.array(tile["component"]), np.array(tile["side"])
+            sample = np.frombuffer(b"".join(tile["sample"]), np.uint8).reshape(len(sides), -1)
+            on = np.zeros(len(sides), bool)
+            for i in range(1, len(sides)):
+                pair = (component[:i] != component[i]) & ((sides[:i] != sides[i]) | (sides[i] == 0)) & ((sample[:i] == sample[i]).sum(axis=1) >= AGREE)
+                on[:i] |= pair
+                on[i] |= pair.any()
+            if on.any():
+                table = pa.Table.from_pydict(tile, schema=kinds).filter(pa.array(on))
+                yield from table.combine_chunks().to_batches()
+
+    kinds = pa.schema([("key", pa.int64()), ("part", pa.int64()), ("side", pa.int32()), ("doc", pa.int64()), ("sample", pa.binary()), ("component", pa.int64())])
+    rows = rows.repartition("key", "part").sortWithinPartitions("key", "part", "doc")
+    return rows.mapInArrow(left_open, "key long, part long, side int, doc long, sample binary, component long")
 
 
 def by_part(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, list]]:
@@ -254,13 +293,13 @@ def stars(members: DataFrame) -> DataFrame:
     return rows.mapInArrow(offered, "a long, b long").where("a > b").groupBy("a").agg(F.min("b").alias("b"))
 
 
-def inside(members: DataFrame, texts: DataFrame, idf, turn: int, threshold: float) -> DataFrame:
-    """a, b, similarity: links between components that meet in a part of a bucket."""
+def inside(placed: DataFrame, texts: DataFrame, idf, threshold: float) -> DataFrame:
+    """a, b, similarity: links between components that meet in a part of a bucket. placed: rows of dealt() or tiles()."""
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = idf.value
         for part in by_part(batches):
-            ids, component, found = part["doc"], part["component"], []
+            ids, component, sides, found = part["doc"], part["component"], np.array(part["side"]), []
             up = {c: c for c in component}
             if len(up) < 2:
                 continue
@@ -279,7 +318,7 @@ def inside(members: DataFrame, texts: DataFrame, idf, turn: int, threshold: floa
                 return sets[i]
 
             for i in range(1, len(ids)):
-                agree = (sample[:i] == sample[i]).sum(axis=1)
+                agree = (sample[:i] == sample[i]).sum(axis=1) * ((sides[:i] != sides[i]) | (sides[i] == 0))
                 for j in np.flatnonzero(agree >= AGREE)[np.argsort(-agree[agree >= AGREE], kind="stable")].tolist():
                     x, y = top(component[i]), top(component[j])
                     if x != y and (s := similarity(of(i), of(j))) >= threshold:
@@ -288,8 +327,8 @@ def inside(members: DataFrame, texts: DataFrame, idf, turn: int, threshold: floa
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found), (pa.int64(), pa.int64(), pa.float64()))], names=["a", "b", "similarity"])
 
-    rows = dealt(members, turn).join(texts, "doc").repartition("key", "part").sortWithinPartitions("key", "part", "doc")
-    return rows.select("key", "part", "doc", "sample", "component", "text").mapInArrow(joined, "a long, b long, similarity double")
+    rows = placed.join(texts, "doc").repartition("key", "part").sortWithinPartitions("key", "part", "doc")
+    return rows.select("key", "part", "side", "doc", "sample", "component", "text").mapInArrow(joined, "a long, b long, similarity double")
 
 
 def candidate_texts(texts: DataFrame, docs: DataFrame) -> DataFrame:
@@ -370,22 +409,26 @@ def links(documents: DataFrame, id_column: str = "doc_id", text_column: str = "t
     members = materialize(keyed.join(sizes, "key").select("key", "doc", "sample", "n", "lead", F.col("doc").alias("component")), "buckets")
     near = candidate_texts(texts, members.select("doc").distinct())
     checked = materialize(verified(materialize(stars(members), "pairs"), near, idf), "checked")
-    found, turn = checked.where(F.col("similarity") >= threshold), 0
-    while True:
+    found = checked.where(F.col("similarity") >= threshold)
+
+    def still_open(members: DataFrame, found: DataFrame) -> DataFrame:
         whole = components(found.select("a", "b"))
         now = members.drop("component").join(whole.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
         open_ = now.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min_by("component", "doc").alias("first")).where("low <> high").select("key", "first")
         now = now.join(open_, "key").withColumn("lead", F.when(F.col("lead").isNotNull(), F.struct(F.col("lead.doc").alias("doc"), F.col("lead.sample").alias("sample"), F.col("first").alias("component"))))
-        if turn:
-            now = now.where(F.col("n") > CHUNK)
-        members = materialize(now.select("key", "doc", "sample", "n", "lead", "component"), "buckets")
-        turn += 1
-        if members.isEmpty():
-            break
-        new = materialize(inside(members, near, idf, turn, threshold), "links")
-        if new.isEmpty():
-            break
-        found = found.unionByName(new)
+        return materialize(now.select("key", "doc", "sample", "n", "lead", "component"), "buckets")
+
+    members = still_open(members, found)
+    if members.isEmpty():
+        return copies, found
+    found = found.unionByName(materialize(inside(dealt(members, 1), near, idf, threshold), "links"))
+    large = members.where(F.col("n") > CHUNK)
+    if large.isEmpty():
+        return copies, found
+    large = still_open(large, found)
+    if large.isEmpty():
+        return copies, found
+    found = found.unionByName(materialize(inside(tiles(large), near, idf, threshold), "links"))
     return copies, found
 
 
