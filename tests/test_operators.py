@@ -125,3 +125,18 @@ def test_early_stop(spark):
     df = spark.createDataFrame([("a", i, v) for i, v in enumerate([0.1, 0.5, 0.5, 0.4, 0.3, 0.9])], "k string, step long, v double")
     row = metrics.early_stop(df, "k", "step", "v", 3, 0.0).first()
     assert (row.best_step, row.best_value, row.stop_step) == (1, 0.5, 4)
+
+
+def test_similar_finds_pairs_without_a_common_least_shingle(spark):
+    import numpy as np
+
+    random = np.random.default_rng(4)
+    rows = []
+    for i in range(40):
+        own = [f"w{k}" for k in random.integers(0, 500, 30)]
+        rows += [(3 * i, " ".join(own)), (3 * i + 1, " ".join(["a", *own])), (3 * i + 2, " ".join([*own[:-6], *(f"z{k}" for k in random.integers(0, 500, 6))]))]
+    sets = [(o, {tuple(w[k : k + 5]) for k in range(len(w) - 4)}) for o, t in rows for w in [t.split()]]
+    want = {(a, b) for a, x in sets for b, y in sets if a < b and len(x & y) >= 0.5 * len(x | y)}
+    df = spark.createDataFrame(rows, "ord long, code string")
+    assert {(r.a, r.b) for r in dedup.similar(df, 0.5).collect()} == want
+    assert {(r.a, r.b) for r in dedup.verified(df, 0.5).collect()} < want

@@ -233,6 +233,13 @@ def shingle_jaccard_verified(spark, sf):
     return rounded(dedup.verified(distinct, 0.5), "similarity")
 
 
+@query()
+def shingle_jaccard_whole(spark, sf):
+    """All pairs; shingle_jaccard_verified and its SQL have those that share their least shingle."""
+    distinct = A.table(spark, sf, "documents").groupBy(F.col("text").alias("code")).agg(F.min("doc_id").alias("ord"))
+    return rounded(dedup.similar(distinct, 0.5), "similarity")
+
+
 @query()
 def minhash_lsh_dedup(spark, sf):
     return dedup.near(A.snippets(spark, sf)).select("id", "language")
