@@ -140,3 +140,30 @@ def test_similar_finds_pairs_without_a_common_least_shingle(spark):
     df = spark.createDataFrame(rows, "ord long, code string")
     assert {(r.a, r.b) for r in dedup.similar(df, 0.5).collect()} == want
     assert {(r.a, r.b) for r in dedup.verified(df, 0.5).collect()} < want
+
+
+def test_whole_tables_are_read(spark):
+    import hashlib
+    import re
+    from collections import defaultdict
+
+    from conftest import DATA
+    from textloom.plans import queries
+
+    table = lambda name: spark.read.parquet(f"{DATA}/{name}.parquet").collect()
+    ema, want = {}, {}
+    for r in sorted(table("events"), key=lambda r: r.event_id):
+        if r.value is not None:
+            ema[r.user_id] = 0.05 * r.value + 0.95 * ema[r.user_id] if r.user_id in ema else r.value
+            want[r.user_id, r.event_id] = ema[r.user_id]
+    got = {(r.user_id, r.event_id): r.ema for r in queries.QUERIES["loss_ema_whole"](spark, DATA).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 2e-6 for k in want)
+    new = {r.doc_id: re.sub(r"\bthe\b", "q", re.sub(r"\ba\b", "p", r.text, flags=re.A), flags=re.A) for r in table("documents") if r.text}
+    old = {r.doc_id: r.text for r in table("documents")}
+    changed = {(i, hashlib.sha256(t.encode()).hexdigest()) for i, t in new.items() if t != old[i]}
+    assert {(r.doc_id, r.code_sha256) for r in queries.QUERIES["rename_augment_whole"](spark, DATA).collect()} == changed
+    names, sums = {r.n_nationkey: r.n_name for r in table("nation")}, defaultdict(list)
+    for r in table("customer"):
+        sums[names[r.c_nationkey]].append(float(r.c_acctbal))
+    report = {r.language: r.phase_b for r in queries.QUERIES["report_full_outer_whole"](spark, DATA).collect()}
+    assert all(abs(report[k] - sum(v) / len(v)) < 2e-6 for k, v in sums.items())

@@ -255,6 +255,13 @@ def rename_augment(spark, sf):
     return augment.renames(rows, ({"a": "p", "the": "q"},)).select("doc_id", "code_sha256", "augmented_from", "source")
 
 
+@query()
+def rename_augment_whole(spark, sf):
+    """Documents of every language; rename_augment and its SQL have English ones."""
+    rows = A.table(spark, sf, "documents").select("doc_id", F.col("text").alias("code"), F.col("lang").alias("language"), "source")
+    return augment.renames(rows, ({"a": "p", "the": "q"},)).select("doc_id", "code_sha256", "augmented_from", "source")
+
+
 @query()
 def cell_top_up(spark, sf):
     rows = A.labelled(spark, sf).select("id", "ord", "code", "language", "label", "source")
@@ -431,6 +438,16 @@ def report_full_outer(spark, sf):
     return rounded(select.side_by_side(side("supplier", "s_suppkey", "s_nationkey", "s_acctbal", 3), side("customer", "c_custkey", "c_nationkey", "c_acctbal", 5), "language", "v"), "delta")
 
 
+@query()
+def report_full_outer_whole(spark, sf):
+    """All suppliers and customers; report_full_outer and its SQL have every third and fifth."""
+    def side(table: str, nation: str, value: str) -> DataFrame:
+        names = A.table(spark, sf, "nation").select(F.col("n_nationkey").alias(nation), F.col("n_name").alias("language"))
+        return rounded(A.table(spark, sf, table).join(names, nation).groupBy("language").agg(F.avg(value).alias("v")), "v")
+
+    return rounded(select.side_by_side(side("supplier", "s_nationkey", "s_acctbal"), side("customer", "c_nationkey", "c_acctbal"), "language", "v"), "delta")
+
+
 @query("SELECT n_name FROM nation WHERE n_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE s_suppkey <= 20)")
 def missing_languages(spark, sf):
     have = A.table(spark, sf, "supplier").where("s_suppkey <= 20").select(F.col("s_nationkey").alias("n_nationkey"))
@@ -578,6 +595,13 @@ def loss_ema(spark, sf):
     return rounded(metrics.ema(rows, "user_id", "event_id", "value").select("user_id", "event_id", "ema"), "ema")
 
 
+@query()
+def loss_ema_whole(spark, sf):
+    """All users; loss_ema and its SQL have every tenth."""
+    rows = A.table(spark, sf, "events").where("value is not null")
+    return rounded(metrics.ema(rows, "user_id", "event_id", "value").select("user_id", "event_id", "ema"), "ema")
+
+
 @query()
 def early_stop_step(spark, sf):
     rows = A.table(spark, sf, "events").where("value is not null")
