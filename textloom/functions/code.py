@@ -179,10 +179,14 @@ def braced_tree(code: str, language: str) -> Tree:
             heads[at] = (next(x for x in m.groups() if x), m.start())
     stack: list[tuple[Node, int, bool]] = [(tree.root, 0, False)]  # node, its first place, closes at a brace
     waiting: list[Node] = []
-    skip_while = False
+    skip_while, depth, closed, at = False, 0, False, 0  # open round brackets; whether a brace closed just before
     for m in WORD.finditer(plain):
         word = m[0]
         tree.nodes += word != "\n"
+        depth += (word == "(") - (word == ")")
+        after_brace = closed and not plain[at : m.start()].strip()
+        closed = word == "}" or after_brace and word == "\n"
+        at = m.end()
         if word == "{":
             if m.start() in heads:
                 name, start = heads[m.start()]
@@ -199,9 +203,9 @@ def braced_tree(code: str, language: str) -> Tree:
             if len(stack) > 1:
                 node, start, _ = stack.pop()
                 node.text = code[start : m.end()]
-        elif word == ";" and waiting and plain.count("(", 0, m.start()) == plain.count(")", 0, m.start()):
+        elif word == ";" and waiting and not depth:
             waiting.clear()
-        elif word in LOOPS and not (word == "while" and plain[: m.start()].rstrip().endswith("}") and skip_while):
+        elif word in LOOPS and not (word == "while" and after_brace and skip_while):
             node = Node("loop", decisions=1)
             (waiting[-1] if waiting else stack[-1][0]).children.append(node)
             waiting.append(node)

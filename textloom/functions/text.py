@@ -87,7 +87,8 @@ def detected_language(code: Column, declared: Column | None = None) -> Column:
 
 # ---- markdown and headers ----
 
-BLOCK = r"(?is)<!--\s*solution:start\s*-->((?:(?!<!--\s*solution:(?:start|end)\s*-->).)*+)<!--\s*solution:end\s*-->"
+# The marks around a solution.
+START, END = r"(?i)<!--\s*solution:start\s*-->", r"(?i)<!--\s*solution:end\s*-->"
 FENCE = r"(?ms)^ {0,3}(`{3,}|~{3,})[ \t]*([^\n`]*)\n(.*?)(?:^ {0,3}\1[`~]*[ \t]*$|\z)"
 # The sentence that states a complexity, strict and loose.
 STATED = r"(?i)time\s+complexity\s+is\s+\$?O\(([^$)]+)\)\$?"
@@ -95,8 +96,13 @@ STATED_LOOSE = r"(?i)time[^.\n]{0,80}?\$O\(([^$)]+)\)\$"
 
 
 def blocks(document: Column) -> Column:
-    """What stands between each start mark and the next end mark; the whole document if no pair of marks is complete."""
-    return let(F.regexp_extract_all(document, F.lit(BLOCK), F.lit(1)), lambda found: F.when(F.size(found) > 0, found).otherwise(F.array(document)))
+    """What stands between each start mark and the next end mark; the whole document if no pair of marks is complete.
+
+    Two splits rather than one pattern over a block, which would take a stack as deep as the block is long.
+    """
+    pieces = F.transform(F.slice(F.split(document, START), 2, 1 << 30), lambda piece: F.split(piece, END, 2))
+    found = F.transform(F.filter(pieces, lambda x: F.size(x) > 1), lambda x: x[0])
+    return let(found, lambda found: F.when(F.size(found) > 0, found).otherwise(F.array(document)))
 
 
 def stated_complexity(block: Column) -> Column:
@@ -123,36 +129,37 @@ def fenced(df: DataFrame, document: str = "document", keep: tuple[str, ...] = ()
 COMMENT_START = {"python": "#", "ruby": "#", "php": "(?://|#)"} | dict.fromkeys(("cpp", "csharp", "java", "go", "rust", "swift", "typescript"), "//")
 
 
+# What a comment says before its time, and lines that go.
+TIME, HEADER = r"\s*Time:\s*O\((.+?)\)", r"(?m)^[ \t]*(?://|#)[ \t]*(?:Time|Space)[ \t]*:.*\n?"
+
+
 def header_complexity(code: Column, language: Column) -> Column:
     """O(...) of a Time: comment in the first ten lines; it ends at the first closing bracket. Null without."""
     head = F.array_join(F.slice(F.split(code, r"\r\n|\r|\n"), 1, 10), "\n")
     found = F.lit(None).cast("string")
     for name, start in COMMENT_START.items():
-        found = F.when(language == name, F.nullif(F.regexp_extract(head, rf"{start}\s*Time:\s*O\((.+?)\)", 1), F.lit(""))).otherwise(found)
+        found = F.when(language == name, F.nullif(F.regexp_extract(head, start + TIME, 1), F.lit(""))).otherwise(found)
     return F.trim(found)
 
 
 def without_headers(code: Column) -> Column:
     """Without the lines whose comment states time or space."""
-    return F.regexp_replace(code, r"(?m)^[ \t]*(?://|#)[ \t]*(?:Time|Space)[ \t]*:.*\n?", "")
+    return F.regexp_replace(code, HEADER, "")
 
 
 # ---- alias maps ----
 
 # Surface forms of labels, without spaces and in lower case.
 ALIASES = {
-    "O(1)": ("o(1)", "1", "constant"),
-    "O(log n)": ("o(logn)", "logn", "log(n)", "logarithmic"),
-    "O(n)": ("o(n)", "n", "linear"),
-    "O(n log n)": ("o(nlogn)", "o(n*logn)", "nlogn", "linearithmic"),
-    "O(n^2)": ("o(n^2)", "o(n_2)", "o(n**2)", "quadratic"),
-    "O(n^3)": ("o(n^3)", "o(n_3)", "o(n**3)", "cubic"),
-    "exponential": ("np", "np_hard", "np-hard", "nphard", "exponential", "factorial", "o(2^n)", "o(2**n)", "o(n!)"),
-}
+    "o(1)": "O(1)", "1": "O(1)", "constant": "O(1)", "o(logn)": "O(log n)", "logn": "O(log n)", "log(n)": "O(log n)", "logarithmic": "O(log n)", "o(n)": "O(n)", "n": "O(n)", "linear": "O(n)",
+    "o(nlogn)": "O(n log n)", "o(n*logn)": "O(n log n)", "nlogn": "O(n log n)", "linearithmic": "O(n log n)", "o(n^2)": "O(n^2)", "o(n_2)": "O(n^2)", "o(n**2)": "O(n^2)", "quadratic": "O(n^2)",
+    "o(n^3)": "O(n^3)", "o(n_3)": "O(n^3)", "o(n**3)": "O(n^3)", "cubic": "O(n^3)", "np": "exponential", "np_hard": "exponential", "np-hard": "exponential", "nphard": "exponential",
+    "exponential": "exponential", "factorial": "exponential", "o(2^n)": "exponential", "o(2**n)": "exponential", "o(n!)": "exponential",
+}
 
 
 def alias_label(raw: Column) -> Column:
-    return lookup(F.replace(F.lower(F.trim(raw)), F.lit(" "), F.lit("")), {a: label for label, names in ALIASES.items() for a in names})
+    return lookup(F.replace(F.lower(F.trim(raw)), F.lit(" "), F.lit("")), ALIASES)
 
 
 # ---- features from text ----
@@ -214,9 +221,13 @@ def count_marks(code: Column, language: Column, table: dict = SORTS) -> Column:
     return _by_language(language, table, total)
 
 
+# Fixed value: a name before a single equals sign.
+ASSIGNED = r"\b([A-Za-z_][A-Za-z_0-9]{0,30})\b\s*=(?!=)"
+
+
 def assigned_names(code: Column) -> Column:
     """How many distinct names stand before a single equals sign."""
-    found = F.array_distinct(F.regexp_extract_all(code, F.lit(r"\b([A-Za-z_][A-Za-z_0-9]{0,30})\b\s*=(?!=)"), F.lit(1)))
+    found = F.array_distinct(F.regexp_extract_all(code, F.lit(ASSIGNED), F.lit(1)))
     return F.size(F.array_except(found, F.array(*map(F.lit, NOT_NAMES))))
 
 
@@ -227,12 +238,31 @@ RENAMES = (
     {"i": "p", "j": "q"}, {"x": "u", "y": "v"}, {"res": "output", "out": "output"}, {"tmp": "buf", "temp": "buf"}, {"arr": "xs"},
     {"dp": "table"}, {"dist": "distances"}, {"ans": "final"}, {"cnt": "count"}, {"curr": "current"},
 )
-RESERVED_TARGETS = {"java": ("final",), "php": ("final",)}
+RESERVED = {
+    "python": "as async await case class def from import lambda match with yield",
+    "java": "abstract boolean byte char class double enum final float import int interface long package private protected public record short static void",
+    "cpp": "Vec auto char class enum int namespace private protected public struct template typename union virtual void",
+    "c": "auto char const double enum extern float int long register short signed static struct typedef union unsigned void volatile",
+    "csharp": "abstract class dynamic int interface namespace out readonly ref sealed string struct var void",
+    "go": "chan func go go_to map range type",
+    "javascript": "class const export extends function import let static var",
+    "typescript": "any class const export function import interface let module namespace never type unknown var void",
+    "php": "abstract class final function interface namespace private protected public static trait use",
+    "ruby": "begin class def do end if module rescue unless until while",
+    "rust": "Box Option Result Vec enum fn impl let loop match mod mut ref struct trait type use where",
+    "swift": "Self class deinit enum func guard init let protocol struct switch var where",
+}
+# Renames of templates, tried in this order; the first is the template itself.
+TEMPLATE_RENAMES = (
+    {}, {"i": "p", "j": "q"}, {"x": "u", "y": "v"}, {"out": "result"}, {"arr": "nums", "a": "xs", "b": "ys"}, {"dp": "table"}, {"dist": "distances"}, {"path": "trail"},
+    {"perm": "permutation"}, {"merged": "joined"}, {"rec": "helper"},
+)
 
 
 def allowed(scheme: dict[str, str], language: str) -> dict[str, str]:
     """A scheme without renames to words that the language reserves."""
-    return {old: new for old, new in scheme.items() if new not in RESERVED_TARGETS.get(language, ())}
+    reserved = RESERVED.get(language, "").split()
+    return {old: new for old, new in scheme.items() if new not in reserved}
 
 
 def renamed(code: Column, scheme: dict[str, str]) -> Column:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textloom.functions.text import RENAMES, allowed, renamed
+from textloom.functions.text import RENAMES, TEMPLATE_RENAMES, allowed, renamed
 from textloom.operators.rank import hash_order, ranked
 from textloom.schemas import LANGUAGES
 
@@ -35,11 +35,18 @@ def renames(df: DataFrame, schemes: tuple[dict, ...] = RENAMES, languages: tuple
     }).drop("_v").withColumn("code_sha256", F.sha2("code", 256))
 
 
-def expanded(templates: DataFrame, schemes: tuple[dict, ...] = RENAMES, first: int = 8) -> DataFrame:
-    """Templates in their own form and by the first schemes; a rename that changes nothing repeats the template's code."""
-    all_ = ({}, *schemes)[:first]
-    forms = F.array(*[F.struct(F.lit(i).alias("variant"), renamed(F.col("code"), s).alias("code")) for i, s in enumerate(all_)])
-    return templates.withColumn("_f", F.explode(forms)).withColumn("variant", F.col("_f.variant")).withColumn("code", F.col("_f.code")).drop("_f")
+def expanded(templates: DataFrame, schemes: tuple[dict, ...] = TEMPLATE_RENAMES, first: int = 8, valid: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Records of templates (language, pre_label, template, code): a row per template and scheme, among the first ones.
+
+    A rename that changes nothing repeats the template's code, as a variant of its own. Reserved words aren't looked at here;
+    valid, a filter such as a syntax check, drops the variants that came out broken. The problem is named by the hash of
+    language and code.
+    """
+    forms = F.array(*[F.struct(F.lit(i).alias("variant"), renamed(F.col("code"), s).alias("code")) for i, s in enumerate(schemes[:first])])
+    rows = templates.withColumn("_f", F.explode(forms)).withColumns({"variant": F.col("_f.variant"), "code": F.col("_f.code")}).drop("_f")
+    rows = valid(rows) if valid else rows
+    problem = F.concat(F.lit("syn-"), F.substring(F.sha1(F.concat_ws("|", "language", "code")), 1, 12))
+    return rows.withColumns({"source": F.lit("synthetic"), "problem_id": problem, "solution_idx": F.col("variant"), "raw_complexity": F.col("pre_label")})
 
 
 def topped_up(df: DataFrame, cap: int = 620, ratio: float = 4.0, seed: int = 42, cell: tuple[str, ...] = ("language", "label"), valid: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
