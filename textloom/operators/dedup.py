@@ -21,9 +21,8 @@ from pyspark.sql import functions as F
 from textloom.functions.text import let, words
 from textloom.operators.store import checkpointed
 
-#: Words of a shingle, permutations, bands and rows. 4 x 15 has the least error at the threshold 0.85.
-SHINGLE, PERMUTATIONS, BANDS, ROWS = 5, 64, 4, 15
-PRIME = (1 << 31) - 1
+#: Words of a shingle, bands and rows: of 64 permutations 4 x 15 has the least error at the threshold 0.85.
+SHINGLE, BANDS, ROWS = 5, 4, 15
 
 
 def shingles(code: Column, n: int = SHINGLE) -> Column:
@@ -43,29 +42,41 @@ def exact(df: DataFrame, keys: list[str], order: str) -> DataFrame:
     return first_by(df, keys, order)
 
 
-def bands(df: DataFrame, code: str = "code", keep: tuple[str, ...] = ("ord", "language"), seed: int = 1) -> DataFrame:
-    """(keep, band, key): one hash per shingle in Spark, then 60 affine permutations of it in NumPy; texts don't leave the JVM."""
+def hashed_shingles(code: Column, n: int = SHINGLE) -> Column:
+    """A 64-bit hash of each run of n words, with repeats: of the words themselves, without joining them."""
+    each = lambda w: F.transform(F.sequence(F.lit(0), F.size(w) - n), lambda i: F.xxhash64(F.slice(w, i + 1, n)))
+    return let(words(code), lambda w: F.when(F.size(w) >= n, each(w)).otherwise(F.array().cast("array<bigint>")))
+
+
+def bands(df: DataFrame, code: str = "code", keep: tuple[str, ...] = ("ord", "language"), seed: int = 1, most: int = 1 << 16) -> DataFrame:
+    """(keep, band, key): one hash per shingle in Spark, then 60 permutations of it in NumPy, over blocks of about `most`
+    shingles of many rows; texts don't leave the JVM. A permutation is a product with an odd number modulo 2**64."""
     n = BANDS * ROWS
     random = np.random.default_rng(seed)
-    a, b = random.integers(1, PRIME, n, dtype=np.int64), random.integers(0, PRIME, n, dtype=np.int64)
-    hashed = df.select(*keep, F.transform(shingles(F.col(code)), lambda s: F.pmod(F.xxhash64(s), F.lit(PRIME))).alias("_s")).where(F.size("_s") > 0)
+    factors, shifts = random.integers(0, 1 << 63, n).astype(np.uint64) * np.uint64(2) + np.uint64(1), random.integers(0, 1 << 63, n).astype(np.uint64)
+    hashed = df.select(*keep, hashed_shingles(F.col(code)).alias("_s")).where(F.size("_s") > 0)
     kinds = dict(df.dtypes)
 
+    def minima(flat: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """(rows x permutations): the least of each row's permuted hashes, read `most` hashes at a time."""
+        out = np.empty((len(starts), n), np.uint64)
+        for k in range(n):
+            out[:, k] = np.minimum.reduceat((flat ^ shifts[k]) * factors[k], starts)
+        return out
+
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = batch["_s"]
-            offsets, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
-            keys = np.empty((batch.num_rows, BANDS), np.int64)
-            for i in range(batch.num_rows):
-                own = flat[offsets[i] : offsets[i + 1]]
-                least = np.full(n, PRIME, np.int64)
-                for at in range(0, len(own), 4096):
-                    least = np.minimum(least, ((own[at : at + 4096, None] * a + b) % PRIME).min(axis=0))
-                with np.errstate(over="ignore"):
-                    mix = np.zeros(BANDS, np.int64)
-                    for row in least.reshape(BANDS, ROWS).T:
-                        mix = (mix * np.int64(6364136223846793005) + row) ^ (mix >> 29)
-                keys[i] = mix
+            offsets, flat = lists.offsets.to_numpy(), lists.values.to_numpy().view(np.uint64)
+            least, i = np.empty((batch.num_rows, n), np.uint64), 0
+            while i < batch.num_rows:
+                j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + most, side="right")) - 1)
+                least[i:j] = minima(flat[offsets[i] : offsets[j]], offsets[i:j] - offsets[i])
+                i = j
+            mix = np.zeros((batch.num_rows, BANDS), np.uint64)
+            for row in range(ROWS):
+                mix = (mix ^ (mix >> np.uint64(29))) * np.uint64(6364136223846793005) + least[:, row::ROWS]
+            keys = mix.view(np.int64)
             yield pa.RecordBatch.from_arrays([*[batch[c] for c in keep], pa.array(list(keys), pa.list_(pa.int64()))], names=[*keep, "_k"])
 
     out = hashed.mapInArrow(signed, ", ".join(f"`{c}` {kinds[c]}" for c in keep) + ", _k array<long>")
@@ -76,6 +87,7 @@ def greedy(banded: DataFrame, order: str = "ord", within: tuple[str, ...] = ("la
     """The orders that are kept. store writes a round's table and reads it again (checkpoint() by default)."""
     store = store or checkpointed
     bucket = [*within, "band", "key"]
+    banded = store(banded)  # it is read three times
     shared = banded.groupBy(*bucket).agg(F.count("*").alias("n")).where("n > 1").drop("n")
     state = store(banded.join(shared, bucket, "left_semi").select(*bucket, order, F.lit(0).alias("kept")))
     everyone = banded.select(order).distinct()
