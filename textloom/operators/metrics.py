@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from textloom.operators.rank import places
+from textloom.operators.rank import places, within_key
 from textloom.schemas import LABELS, labels, tier
 
 
@@ -88,6 +89,22 @@ def _thresholds(df: DataFrame, y: str, p: str, keys: tuple[str, ...]) -> DataFra
     return scores.join(offsets, [*keys, "_r"]).select(*keys, "s", "pos", "neg", (F.col("_p0") + F.sum("pos").over(inside)).alias("cp"), (F.col("_n0") + F.sum("neg").over(inside)).alias("cn"))
 
 
+def curve(df: DataFrame, y: str = "y", p: str = "p", keys: tuple[str, ...] = ()) -> DataFrame:
+    """Points of the ROC and precision-recall curves: threshold, fpr, tpr, precision at each distinct score; per key. A rate is
+    null if its class doesn't occur."""
+    t = _thresholds(df, y, p, keys)
+    totals = t.groupBy(*keys).agg(F.sum("pos").alias("_p"), F.sum("neg").alias("_n"))
+    rows = t.join(F.broadcast(totals), list(keys)) if keys else t.crossJoin(F.broadcast(totals))  # a row per key
+    return rows.select(*keys, F.col("s").alias("threshold"), F.try_divide("cn", "_n").alias("fpr"), F.try_divide("cp", "_p").alias("tpr"), (F.col("cp") / (F.col("cp") + F.col("cn"))).alias("precision"))
+
+
+def confusion_shares(df: DataFrame, true: str = "label", pred: str = "pred") -> DataFrame:
+    """The dense confusion table with each cell's share of its true class; 0 for a class that doesn't occur."""
+    cells = confusion(df, true, pred)
+    totals = cells.groupBy("true").agg(F.sum("n").alias("_all"))
+    return cells.join(totals, "true").select("true", "pred", "n", _safe(F.col("n"), F.col("_all")).alias("share"))
+
+
 def areas(df: DataFrame, y: str = "y", p: str = "p", keys: tuple[str, ...] = ()) -> DataFrame:
     """ROC-AUC (ties count half) and average precision (steps at distinct scores); null with one class only."""
     t = _thresholds(df, y, p, keys)
@@ -142,19 +159,32 @@ def scaler_arrays(fitted: DataFrame, names: list[str]) -> DataFrame:
     return fitted.select(F.array(*[pick(n, "mean", 0.0) for n in names]).alias("mean"), F.array(*[pick(n, "scale", 1.0) for n in names]).alias("scale"))
 
 
-def ema(df: DataFrame, key: str, order: str, value: str, alpha: float = 0.05) -> DataFrame:
+def ema(df: DataFrame, key: str, order: str, value: str, alpha: float = 0.05, block: int = 64) -> DataFrame:
     """Exponential moving average along each key's steps, begun with the first value: key, order, value, ema.
 
-    The recursion isn't a window frame, so each key's steps go to one task in order; a key is one run's log.
+    A key's steps are cut into blocks. A block's own average begins at 0; what comes in from before is the averages at the
+    ends of the blocks before it, each worn down by the steps since. That is a frame of so many blocks that the rest
+    is worn down below 1e-30 of itself, far under a double's last place. So neither a task nor an array has to hold a whole key.
     """
-    kinds = dict(df.dtypes)
+    keep = 1.0 - alpha
+    far = int(-30 * math.log(10) / math.log(keep) / block) + 2 if 0 < keep < 1 else 1
+    rows = within_key(df.select(key, order, F.col(value).cast("double").alias(value)), key, order, "_i").withColumn("_block", F.expr(f"_i div {block}"))
+    # the first value counts whole
+    parts = rows.groupBy(key, "_block").agg(F.sort_array(F.collect_list(F.struct("_i", F.col(order).alias("_o"), F.col(value).alias("_v")))).alias("_s"))
+    start = F.struct(F.lit(0.0).alias("e"), F.array().cast("array<double>").alias("all"))
 
-    def averaged(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(order)
-        return rows.assign(ema=rows[value].astype(float).ewm(alpha=alpha, adjust=False).mean())
-
-    rows = df.select(key, order, F.col(value).cast("double").alias(value))
-    return rows.groupBy(key).applyInPandas(averaged, f"`{key}` {kinds[key]}, `{order}` {kinds[order]}, `{value}` double, ema double")
+    def step(s: Column, x: Column) -> Column:
+        e = F.when(x["_i"] == 0, x["_v"]).otherwise(F.lit(alpha) * x["_v"] + F.lit(keep) * s["e"])
+        return F.struct(e.alias("e"), F.concat(s["all"], F.array(e)).alias("all"))
+
+    own = parts.withColumn("_r", F.aggregate("_s", start, step)).withColumn("_n", F.size("_s"))
+    before = Window.partitionBy("_key").orderBy("_b").rowsBetween(-far, -1)
+    came = F.aggregate(F.collect_list("_e").over(before), F.lit(0.0), lambda e, x: F.lit(keep**block) * e + x)
+    ends = own.select(F.col(key).alias("_key"), F.col("_block").alias("_b"), F.col("_r.e").alias("_e")).select("_key", "_b", came.alias("_in"))
+    whole = own.join(ends, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_block") == F.col("_b")))
+    each = whole.select(key, "_in", F.posexplode(F.arrays_zip("_s", F.col("_r.all").alias("_e"))).alias("_k", "_x"))
+    ema = F.col("_x._e") + F.pow(F.lit(keep), F.col("_k") + 1) * F.col("_in")
+    return each.select(key, F.col("_x._s._o").alias(order), F.col("_x._s._v").alias(value), ema.alias("ema"))
 
 
 def early_stop(df: DataFrame, key: str, order: str, value: str, patience: int, min_delta: float) -> DataFrame:

@@ -7,19 +7,24 @@ from pyspark.sql import functions as F
 
 from textloom.functions import vectors as V
 from textloom.operators.rank import hash_order, ranked
-from textloom.schemas import LABELS, PAIR_LABELS, pair_label, tier
+from textloom.operators.store import checkpointed
+from textloom.schemas import LABELS, PAIR_LABELS, label_index, pair_label, tier
 
 #: The share of the pairs that each split gets, and the attempts per wanted pair.
 SHARES, ATTEMPTS = {"train": 0.8, "val": 0.1, "test": 0.1}, 4
 CELLS = len(LABELS) * (len(LABELS) + 1) // 2
 
 
-def _sides(a: str, b: str, columns: list[str]) -> list[Column]:
-    """Both sides in order: swapped if the first side's tier is higher."""
-    swap = tier(F.col(f"{a}.label")) > tier(F.col(f"{b}.label"))
+def _sides(columns: list[str]) -> list[Column]:
+    """Both sides (x_ and y_ columns) in order, as _a and _b: swapped if the first side's tier is higher.
+
+    Sides are plain columns rather than structs, so that what a query doesn't use, such as texts, isn't moved.
+    """
+    swap = tier(F.col("x_label")) > tier(F.col("y_label"))
     out = []
     for c in columns:
-        out += [F.when(swap, F.col(f"{b}.{c}")).otherwise(F.col(f"{a}.{c}")).alias(f"{c}_a"), F.when(swap, F.col(f"{a}.{c}")).otherwise(F.col(f"{b}.{c}")).alias(f"{c}_b")]
+        x, y = F.col(f"x_{c}"), F.col(f"y_{c}")
+        out += [F.when(swap, y).otherwise(x).alias(f"{c}_a"), F.when(swap, x).otherwise(y).alias(f"{c}_b")]
     return out
 
 
@@ -29,12 +34,21 @@ def finished(pairs: DataFrame) -> DataFrame:
 
 
 def same_problem(points: DataFrame) -> DataFrame:
-    """Every unordered pair of snippets of one problem, language and split. Their number is the result's own size."""
-    keep = ["ord", "code", "label", "tokens"]
-    a = points.where("problem_id is not null").select("split", "language", "problem_id", F.struct(*keep).alias("x"))
-    b = a.withColumnRenamed("x", "y")
-    both = a.join(b, ["split", "language", "problem_id"]).where("x.ord < y.ord")
-    return finished(both.select("split", "language", *_sides("x", "y", keep), F.lit(True).alias("same_problem")))
+    """Every unordered pair of snippets of one problem, language and split. Their number is the result's own size.
+
+    Pairs are made of numbers and labels; codes are joined to the pairs by ord, and only if they're asked for.
+    """
+    keep = ["ord", "label", "tokens"]
+    own = points.where("problem_id is not null").select("split", "language", "problem_id", *keep)
+    side = lambda name: own.select("split", "language", "problem_id", *[F.col(c).alias(f"{name}_{c}") for c in keep])
+    both = side("x").join(side("y"), ["split", "language", "problem_id"]).where("x_ord < y_ord")
+    return with_codes(finished(both.select("split", "language", *_sides(keep), F.lit(True).alias("same_problem"))), points)
+
+
+def with_codes(pairs: DataFrame, points: DataFrame) -> DataFrame:
+    """Pairs with code_a and code_b, joined by ord."""
+    side = lambda x: points.select(F.col("ord").alias(f"ord_{x}"), F.col("code").alias(f"code_{x}"))
+    return pairs.join(side("a"), "ord_a").join(side("b"), "ord_b")
 
 
 def quotas(points: DataFrame, total: int, cap: int = 3000) -> DataFrame:
@@ -45,41 +59,40 @@ def quotas(points: DataFrame, total: int, cap: int = 3000) -> DataFrame:
     for name, x in SHARES.items():
         share = F.when(F.col("split") == name, F.lit(x)).otherwise(share)
     target = F.floor(F.lit(float(total)) * share / F.greatest(F.lit(1), F.col("languages")))
+    # n is one row
     return groups.crossJoin(F.broadcast(n)).select("split", "language", F.least(F.lit(cap), F.greatest(F.lit(1), F.floor(target / CELLS))).cast("int").alias("quota"))
 
 
-def cross_label(points: DataFrame, total: int, cap: int = 3000, seed: int = 42) -> DataFrame:
+def cross_label(points: DataFrame, total: int, cap: int = 3000, seed: int = 42, codes: bool = True) -> DataFrame:
     """Pairs of different problems and different code for every cell of labels (equal labels too), up to the cell's quota.
 
     Each attempt of a cell is a slot number. A side's row of a slot is the one at that place, modulo its rows, of the label's
     rows in hash order; attempts that break a rule are dropped, and the first quota of the others stay. So a row meets
-    only as many others as it has slots, and only the first quota * 4 rows of a label take part.
+    only as many others as it has slots, and only the first quota * 4 rows of a label take part. These few rows, without
+    their codes, are stored once for both sides. codes: whether code_a and code_b are joined to the pairs.
     """
-    want = quotas(points, total, cap)
-    keep = ["ord", "code", "label", "tokens", "problem_id"]
-    most = want.withColumn("attempts", F.col("quota") * ATTEMPTS)
-    rows = points.where(F.col("label").isNotNull()).join(F.broadcast(most), ["split", "language"])
-    sizes = rows.groupBy("split", "language", "label").agg(F.count("*").alias("n"))
-
-    def side(salt: int, other: str) -> DataFrame:
-        placed = ranked(rows, ["split", "language", "label"], [hash_order(F.concat_ws(":", F.lit(str(salt)), F.col("ord").cast("string")), seed), F.col("ord")], "place")
-        placed = placed.where(F.col("place") <= cap * ATTEMPTS).where("place <= attempts")  # the literal bound limits each task's rows before the shuffle
-        placed = placed.join(sizes, ["split", "language", "label"]).withColumn("used", F.least("n", "attempts"))
-        index = F.col("label_idx")
-        number = F.array(*[F.lit(i) for i in range(len(LABELS))])
-        cells = F.filter(number, lambda i: (i >= index) if salt == 0 else (i <= index))
-        slots = F.sequence(F.col("place") - 1, F.col("attempts") - 1, F.col("used"))
-        from textloom.schemas import label_index
-
-        wide = placed.withColumn("label_idx", label_index(F.col("label"))).withColumn(other, F.explode(cells)).withColumn("slot", F.explode(slots))
-        return wide
-
-    a = side(0, "other").select("split", "language", "quota", F.col("label_idx").alias("i"), F.col("other").alias("j"), "slot", F.struct(*keep).alias("x"))
-    b = side(1, "other").select("split", "language", F.col("other").alias("i"), F.col("label_idx").alias("j"), "slot", F.struct(*keep).alias("y"))
-    good = (F.col("x.code") != F.col("y.code")) & (F.col("x.problem_id").isNull() | F.col("y.problem_id").isNull() | (F.col("x.problem_id") != F.col("y.problem_id")))
-    met = a.join(b, ["split", "language", "i", "j", "slot"]).where(good)
-    first = ranked(met, ["split", "language", "i", "j"], [F.col("slot")], "_n").where(F.col("_n") <= F.col("quota"))
-    return finished(first.select("split", "language", *_sides("x", "y", ["ord", "code", "label", "tokens"]), F.lit(False).alias("same_problem")))
+    slim = ["ord", "label", "tokens", "problem_id"]
+    rows = points.where(F.col("label").isNotNull()).select("split", "language", *slim, F.sha2("code", 256).alias("sha"), label_index(F.col("label")).alias("i"))
+    rows = checkpointed(rows)
+    most = quotas(rows, total, cap).withColumn("attempts", F.col("quota") * ATTEMPTS)
+    sizes = rows.groupBy("split", "language", "i").agg(F.count("*").alias("n")).join(most, ["split", "language"])
+
+    def side(salt: int, name: str) -> DataFrame:
+        placed = ranked(rows, ["split", "language", "i"], [hash_order(F.concat_ws(":", F.lit(str(salt)), F.col("ord").cast("string")), seed), F.col("ord")], "place")
+        placed = placed.where(F.col("place") <= cap * ATTEMPTS)  # the literal bound limits each task's rows before the shuffle
+        placed = placed.join(sizes, ["split", "language", "i"]).where("place <= attempts")
+        cells = F.filter(F.array(*[F.lit(x) for x in range(len(LABELS))]), lambda x: (x >= F.col("i")) if salt == 0 else (x <= F.col("i")))
+        slots = F.sequence(F.col("place") - 1, F.col("attempts") - 1, F.least("n", "attempts"))
+        wide = placed.withColumn("j", F.explode(cells)).withColumn("slot", F.explode(slots))
+        low, high = ("i", "j") if salt == 0 else ("j", "i")
+        quota = ["quota"] if salt == 0 else []
+        return wide.select("split", "language", *quota, F.col(low).alias("low"), F.col(high).alias("high"), "slot", *[F.col(c).alias(f"{name}_{c}") for c in [*slim, "sha"]])
+
+    met = side(0, "x").join(side(1, "y"), ["split", "language", "low", "high", "slot"])
+    met = met.where((F.col("x_sha") != F.col("y_sha")) & F.coalesce(F.col("x_problem_id") != F.col("y_problem_id"), F.lit(True)))
+    first = ranked(met, ["split", "language", "low", "high"], [F.col("slot")], "_n").where(F.col("_n") <= F.col("quota"))
+    out = finished(first.select("split", "language", *_sides(["ord", "label", "tokens"]), F.lit(False).alias("same_problem")))
+    return with_codes(out, points) if codes else out
 
 
 def y(ternary: Column) -> Column:

@@ -89,6 +89,11 @@ def carved(df: DataFrame, within: list[str], key: str, fraction: float, seed: in
     return rows.withColumn("carved", F.col("place") < n).drop("place", "n")
 
 
+def shuffled(df: DataFrame, key: str, seed: int, name: str = "place") -> DataFrame:
+    """Rows with their place, from 0, in an order that looks random: by a hash of seed and key, ties by the key."""
+    return placed(df, [], hash_order(F.col(key), seed), key).drop("n").withColumnRenamed("place", name)
+
+
 def sampled(df: DataFrame, key: str, n: int, seed: int) -> DataFrame:
     """n rows without replacement: the first by hash order, taken per task and merged."""
     return df.orderBy(hash_order(F.col(key), seed), key).limit(n)
@@ -124,6 +129,13 @@ def places(df: DataFrame, order: list[str], name: str) -> DataFrame:
     return ranged.join(offsets, "_part").withColumn(name, F.col("_before") + F.col("_in") - F.col("_first")).drop("_part", "_in", "_first", "_before")
 
 
+def within_key(df: DataFrame, key: str, order: str, name: str) -> DataFrame:
+    """Adds each row's place, from 0, among its key's rows in a given order. A key's rows may lie in many tasks."""
+    rows = checkpointed(places(df, [key, order], "_at"))
+    starts = rows.groupBy(F.col(key).alias("_key")).agg(F.min("_at").alias("_start"))
+    return rows.join(starts, F.col(key).eqNullSafe(F.col("_key"))).withColumn(name, F.col("_at") - F.col("_start")).drop("_at", "_start", "_key")
+
+
 def numbered(df: DataFrame, order: list[str], name: str, form: str) -> DataFrame:
     """Sequential ids in a given order, such as p0000000."""
     return places(df, order, "_place").withColumn(name, F.format_string(form, "_place")).drop("_place")

@@ -2,15 +2,27 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The folder that the driver and the executors share: spark.checkpoint.dir. A local session without it gets a temporary one;
+    a cluster needs it."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or getattr(spark, "_textloom_folder", None)
+    if not folder:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and the executors share")
+        folder = spark._textloom_folder = "file://" + tempfile.mkdtemp(prefix="textloom-")
+    return folder.rstrip("/")
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """checkpoint() in the folder of spark.checkpoint.dir; a temporary one where none is set, as in tests."""
+    """checkpoint() in the shared folder."""
     spark = df.sparkSession
     context = spark.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="textloom-"))
+        context.setCheckpointDir(checkpoint_folder(spark))
     return df.checkpoint()
