@@ -6,9 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom.functions.text import let
+from textloom.operators.store import checkpointed
 from textloom.schemas import LABELS
 
 SPACE = r"(?U)\s"
+#: Distinct raw labels that are broadcast, and the characters that each may have then.
+FEW, LONG = 1 << 16, 256
 
 
 # Words for variables, and letters that are never variables.
@@ -110,12 +113,15 @@ def label_of(raw: Column) -> Column:
 def normalized(df: DataFrame, raw_column: str = "raw_complexity", pre_column: str | None = None) -> DataFrame:
     """Adds label and reject_reason. A canonical pre-label stands; another one is normalised like a raw label.
 
-    Expressions run once per distinct raw value; the distinct values come back through a join on the value. Distinct raw
-    labels are few against the rows, and Spark broadcasts them only if their measured size allows it.
+    Expressions run once per distinct raw value, of which there are few against the rows. They are stored and counted: up to
+    FEW are broadcast, so that rows, many of which may have one value or none, stay where they are; more are joined.
     """
     value = F.col(raw_column) if pre_column is None else F.coalesce(F.nullif(F.col(pre_column), F.lit("")), F.col(raw_column))
     rows = df.withColumn("_raw", value)
     known = rows.select("_raw").where("_raw is not null").distinct().withColumn("_label", F.when(F.col("_raw").isin(*LABELS), F.col("_raw")).otherwise(label_of(F.col("_raw"))))
+    known = checkpointed(known)
+    if known.where(F.length("_raw") <= LONG).count() == known.limit(FEW + 1).count() <= FEW:
+        known = F.broadcast(known)
     out = rows.join(known, "_raw", "left").withColumn("label", F.col("_label"))
     reason = F.when(F.coalesce("_raw", F.lit("")) == "", "missing").when(F.col("label").isNull(), "no class fits")
     return out.withColumn("reject_reason", reason).drop("_raw", "_label")
