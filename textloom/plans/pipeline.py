@@ -37,9 +37,13 @@ def labelled(*raw: DataFrame) -> DataFrame:
     return normalized(rows, pre_column="pre_label").withColumn("reject_reason", F.coalesce(missing, "reject_reason"))
 
 
+def allowed(df: DataFrame, languages: tuple[str, ...]) -> DataFrame:
+    return df.where(F.col("language").isin(*languages))
+
+
 def filtered(df: DataFrame, settings: Settings) -> DataFrame:
     """Languages, token counts and length first, then syntax, then near-duplicates per language."""
-    cheap = df.where(F.col("language").isin(*settings.languages)).withColumn("tokens_bpe", X.token_count(F.col("code")))
+    cheap = allowed(df, settings.languages).withColumn("tokens_bpe", X.token_count(F.col("code")))
     cheap = cheap.where(K.length_gate(F.col("tokens_bpe"), settings.least_tokens, settings.most_tokens)).where(X.long_enough(F.col("code")))
     return dedup.near(K.valid(cheap))
 

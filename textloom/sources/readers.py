@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,13 +38,24 @@ def sources(spark: SparkSession, paths: list[str] | str, languages: tuple[str, .
     """path, language, code of files with one of the languages' extensions."""
     table = {e: x for x in languages for e in EXTENSIONS[x]}
     endings = ",".join(sorted(e.lstrip(".") for e in table))
-    found = documents(spark, paths, f"*.{{{endings}}}")
-    return found.select("path", lookup(F.regexp_extract("name", r"(\.[^.]+)$", 1), table).alias("language"), F.col("document").alias("code"))
+    return sources_of(documents(spark, paths, f"*.{{{endings}}}"), languages)
+
+
+def sources_of(files: DataFrame, languages: tuple[str, ...] = tuple(EXTENSIONS)) -> DataFrame:
+    """path, language, code of the files (path, name, document) that have one of the languages' extensions."""
+    table = {e: x for x in languages for e in EXTENSIONS[x]}
+    found = files.withColumn("language", lookup(F.regexp_extract("name", r"(\.[^.]+)$", 1), table)).where("language is not null")
+    return found.select("path", "language", F.col("document").alias("code"))
 
 
 def _with_order(df: DataFrame) -> DataFrame:
-    """ord: (file name, place in it) as one ascending string, for steps where the first row wins."""
-    return df.withColumn("ord", F.format_string("%s:%020d", F.col("_metadata.file_name"), F.monotonically_increasing_id()))
+    """ord: (file name, its folder, place in the file) as one ascending string, for steps where the first row wins.
+
+    A file may be read in several parts, each of which is one task's rows in order: the part's first byte comes first, then
+    the task's own count.
+    """
+    path, name = F.col("_metadata.file_path"), F.col("_metadata.file_name")
+    return df.withColumn("ord", F.format_string("%s:%s:%020d:%020d", name, path, F.col("_metadata.file_block_start"), F.monotonically_increasing_id()))
 
 
 def jsonl(spark: SparkSession, paths: list[str] | str, schema: T.StructType = RAW, bad: str = "reject") -> DataFrame:
@@ -77,13 +89,24 @@ def wide_vectors(df: DataFrame, prefix: str, name: str = "vec", keys: tuple[str,
 
 def file_table(df: DataFrame, mapping: dict[str, str], name: str) -> DataFrame:
     """Adds what the row's file name, without its ending, is mapped to."""
-    return df.withColumn(name, lookup(F.regexp_extract(F.col("_metadata.file_name"), r"^([^.]+)", 1), mapping))
+    stem = df.withColumn("_stem", F.regexp_extract(F.col("_metadata.file_name"), r"^([^.]+)", 1))
+    return named_table(stem, "_stem", mapping, name).drop("_stem")
+
+
+def named_table(df: DataFrame, column: str, mapping: dict[str, str], name: str) -> DataFrame:
+    """Adds what a column's value is mapped to, or null."""
+    return df.withColumn(name, lookup(F.col(column), mapping))
 
 
-def run_metrics(spark: SparkSession, glob: str) -> DataFrame:
-    """run_dir with the fields of its test_metrics.json and config.json; folders that lack one are out."""
+def run_metrics(spark: SparkSession, glob: str, folders: bool = False) -> DataFrame:
+    """run_dir with the fields of its test_metrics.json and config.json; folders that lack one are out.
+
+    folders: the files lie under glob as tables test_metrics.json and config.json with a folder run=name each, as Spark writes them.
+    """
 
     def files(name: str) -> DataFrame:
+        if folders:
+            return spark.read.text(f"{glob}/{name}", wholetext=True).select(F.col("run").cast("string").alias("run_dir"), F.col("value"))
         text = spark.read.text(f"{glob}/{name}", wholetext=True)
         return text.select(F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/[^/]+$", 1).alias("run_dir"), F.col("value"))
 
@@ -104,7 +127,7 @@ def templates(spark: SparkSession, registry: dict[str, dict[str, list[str]]]) ->
     rows = spark.createDataFrame([(json.dumps(registry),)], "r string").select(F.from_json("r", "map<string, map<string, array<string>>>").alias("r"))
     labels = rows.select(F.explode("r").alias("language", "l")).select("language", F.explode("l").alias("pre_label", "codes"))
     each = labels.select("language", "pre_label", F.posexplode("codes").alias("at", "code"))
-    return each.select("language", "pre_label", F.concat_ws("-", "language", "pre_label", F.col("at").cast("string")).alias("template"), "code")
+    return each.select("language", "pre_label", F.concat("language", F.lit("|"), "pre_label", F.lit("#"), F.col("at").cast("string")).alias("template"), "code")
 
 
 def snippet(spark: SparkSession, code: str, path: str | None = None, language: str | None = None) -> DataFrame:
@@ -115,6 +138,68 @@ def snippet(spark: SparkSession, code: str, path: str | None = None, language: s
     return df.withColumn("language", extension_language(F.col("path"), F.col("language")))
 
 
+def settings_file(text: str) -> dict:
+    """The settings of a YAML file of the plain kind that configurations use: `name: value` lines, where a value is a scalar, a
+    list in brackets, an indented list of `- value` lines, or an indented mapping of the same kind. Comments go. Other YAML
+    (anchors, block scalars, braces) is an error rather than a guess."""
+    lines = []
+    for number, raw in enumerate(text.splitlines(), 1):
+        line = re.sub(r"""^((?:[^"'#]|"[^"]*"|'[^']*'|(?<=\S)#)*?)(?:(?:^|\s)#.*)?$""", r"\1", raw).rstrip()
+        if line.strip() and line.strip() != "---":
+            lines.append((len(line) - len(line.lstrip()), line.strip(), number))
+
+    def scalar(x: str):
+        if x[:1] in ("'", '"') and x[-1:] == x[0] and len(x) > 1:
+            return x[1:-1]
+        if x.startswith("[") and x.endswith("]"):
+            return [scalar(y.strip()) for y in x[1:-1].split(",") if y.strip()]
+        if x[:1] in ("{", "&", "*", "|", ">", "!"):
+            raise ValueError(f"not a plain value: {x}")
+        known = {"true": True, "false": False, "null": None, "~": None, "": None}
+        if x.lower() in known:
+            return known[x.lower()]
+        for kind in (int, float):
+            try:
+                return kind(x)
+            except ValueError:
+                pass
+        return x
+
+    def block(at: int, depth: int) -> tuple[int, dict | list]:
+        listed = lines[at][1].startswith("- ")
+        out: dict | list = [] if listed else {}
+        while at < len(lines) and lines[at][0] == depth and lines[at][1].startswith("- ") == listed:
+            _, line, number = lines[at]
+            at += 1
+            if listed:
+                out.append(scalar(line[2:].strip()))
+                continue
+            name, colon, value = line.partition(":")
+            if not colon or value and value[0] != " ":
+                raise ValueError(f"line {number} isn't `name: value`: {line}")
+            deeper = at < len(lines) and (lines[at][0] > depth or lines[at][0] == depth and lines[at][1].startswith("- "))
+            if not value.strip() and deeper:
+                at, out[name.strip()] = block(at, lines[at][0])
+            else:
+                out[name.strip()] = scalar(value.strip())
+        if at < len(lines) and lines[at][0] > depth:
+            raise ValueError(f"line {lines[at][2]} is indented too far: {lines[at][1]}")
+        return at, out
+
+    if not lines:
+        return {}
+    at, out = block(0, lines[0][0])
+    if at < len(lines) or not isinstance(out, dict):
+        raise ValueError("the file isn't one mapping")
+    return out
+
+
+def configured(spark: SparkSession, path: str, defaults: dict, overlay: dict | None = None) -> dict:
+    """Settings of a YAML file over the defaults, and those given (as on a command line) over both."""
+    text = spark.read.text(path, wholetext=True).first()
+    return config(defaults, settings_file(text.value) if text else {}, overlay or {})
+
+
 def config(defaults: dict, *overlays: dict) -> dict:
     """Settings: later ones win, None doesn't count, unknown names are dropped."""
     out = dict(defaults)

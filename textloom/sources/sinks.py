@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from textloom.schemas import PREDICTIONS, conform
 from textloom.sources.readers import exists
 
 
@@ -34,21 +35,36 @@ def table(df: DataFrame, path: str, by: tuple[str, ...] = (), mode: str = "overw
     (writer.partitionBy(*by) if by else writer).parquet(path)
 
 
-def resumed(df: DataFrame, path: str, key: str, work: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Append work(rows whose key the table doesn't have) and return the whole table. A run that broke off goes on where it was."""
+def resumed(df: DataFrame, path: str, key: str, work: Callable[[DataFrame], DataFrame], chunks: int = 1) -> DataFrame:
+    """Work on the rows whose key the table doesn't have, chunk by chunk, and return the whole table.
+
+    Keys are dealt to chunks by hash. A chunk is appended as a whole or not at all, so a run that broke off goes on after
+    the last chunk that was written; what it had done of the next one is done again.
+    """
     spark = df.sparkSession
-    if exists(spark, path):
-        df = df.join(spark.read.parquet(path).select(key), key, "left_anti")
-    work(df).write.mode("append").option("compression", "zstd").parquet(path)
+    for i in range(chunks):
+        rows = df.where(F.pmod(F.xxhash64(key), F.lit(chunks)) == i) if chunks > 1 else df
+        if exists(spark, f"{path}/_SUCCESS"):
+            rows = rows.join(spark.read.parquet(path).select(key), key, "left_anti")
+            if rows.isEmpty():
+                continue
+        work(rows).write.mode("append").option("compression", "zstd").parquet(path)
     return spark.read.parquet(path)
 
 
 def cached(df: DataFrame, path: str, code: str, settings: str, work: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """work's result per distinct code, kept under the hash of settings and code; known codes aren't worked on again."""
-    keyed = df.withColumn("cache_key", F.sha2(F.concat(F.lit(f"{settings}|"), F.col(code)), 256)).withColumn("shard", F.substring("cache_key", 1, 2))
+    keyed = df.withColumn("cache_key", F.sha2(F.concat(F.lit(f"{settings}|"), F.col(code)), 256))
     return resumed(keyed.dropDuplicates(["cache_key"]), path, "cache_key", work)
 
 
+def predictions(pairs: DataFrame, path: str) -> DataFrame:
+    """A head's scores of pairs (pair_id, language, y, pred, p) as the predictions table, which is returned."""
+    both = pairs.select("pair_id", F.col("y").alias("label_true"), F.col("pred").alias("label_pred"), (1 - F.col("p")).alias("prob_same"), F.col("p").alias("prob_A_faster"), "language")
+    table(conform(both, PREDICTIONS), path)
+    return pairs.sparkSession.read.parquet(path)
+
+
 def report(df: DataFrame, path: str) -> None:
     """A small table as JSON in one file."""
     df.coalesce(1).write.mode("overwrite").json(path)
