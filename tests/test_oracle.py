@@ -3,12 +3,12 @@
 import pytest
 from conftest import DATA, same
 
-from textloom.plans import queries
+from textloom.plans import catalog
 
 
-@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+@pytest.mark.parametrize("name", sorted(catalog.ORACLE_SQL))
 def test_query(spark, duck, name):
-    same(queries.QUERIES[name](spark, DATA).toPandas(), duck.execute(queries.ORACLE_SQL[name]).df())
+    same(catalog.QUERIES[name](spark, DATA).toPandas(), duck.execute(catalog.ORACLE_SQL[name]).df())
 
 
 def test_entry_has_rows(spark):

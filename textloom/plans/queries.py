@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,27 +12,10 @@ from textloom.functions.labels import normalized
 from textloom.operators import augment, counts, dedup, metrics, pairs, rank, select, sets
 from textloom.plans import adapters as A
 from textloom.plans.adapters import with_views
+from textloom.plans.registry import ORACLE_SQL, QUERIES, query, rounded
 from textloom.schemas import LABELS
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    """Register a function under its name, with its SQL."""
-
-    def add(function: Query) -> Query:
-        QUERIES[function.__name__] = function
-        if sql:
-            ORACLE_SQL[function.__name__] = sql
-        return function
-
-    return add
-
-
-def rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
-    return df.withColumns({c: F.round(F.col(c).cast("double"), digits) for c in columns})
+__all__ = ["ORACLE_SQL", "QUERIES"]
 
 
 # ---- labels ----
@@ -201,7 +182,9 @@ def sequential_ids(spark, sf):
     return rank.numbered(A.labelled(spark, sf).select("ord", "id"), ["ord"], "row_id", "p%07d").select("row_id", "id")
 
 
-@query()
+@query(with_views("labelled") + """, w AS (SELECT l.id, sha256('3:' || l.id) AS h, 1.0 / CAST(count(*) OVER (PARTITION BY language, label) AS DOUBLE) AS w FROM labelled l),
+    c AS (SELECT id, w, sum(w) OVER (ORDER BY h, id) AS upto, sum(w) OVER () AS whole FROM w), d AS (SELECT i AS draw, CAST(CAST('0x' || substr(sha256('3:draw:' || CAST(i AS VARCHAR)), 1, 13) AS BIGINT) AS DOUBLE) / 4503599627370496.0 AS u FROM range(500) t(i))
+    SELECT draw, id FROM d JOIN c ON u >= (upto - w) / whole AND u < upto / whole""")
 def weighted_draws(spark, sf):
     rows = A.labelled(spark, sf)
     weighted = rows.join(counts.cell_weights(rows).select("language", "label", "weight"), ["language", "label"])
@@ -226,16 +209,11 @@ def exact_dedup_cell(spark, sf):
 
 
 @query(r"""WITH d AS (SELECT min(doc_id) AS doc_id, text FROM documents GROUP BY text), w AS (SELECT doc_id, string_split(trim(regexp_replace(text, '\s+', ' ', 'g')), ' ') AS w FROM d),
-    s AS (SELECT doc_id, list_distinct(list_transform(generate_series(1, len(w) - 4), lambda i: array_to_string(w[i:i + 4], ' '))) AS s FROM w WHERE len(w) >= 5), b AS (SELECT doc_id, s, list_min(s) AS block FROM s)
-    SELECT a, b, round(similarity, 6) AS similarity FROM (SELECT x.doc_id AS a, y.doc_id AS b, len(list_intersect(x.s, y.s)) / CAST(len(x.s) + len(y.s) - len(list_intersect(x.s, y.s)) AS DOUBLE) AS similarity FROM b x JOIN b y ON x.block = y.block AND x.doc_id < y.doc_id) WHERE similarity >= 0.5""")
-def shingle_jaccard_verified(spark, sf):
-    distinct = A.table(spark, sf, "documents").groupBy(F.col("text").alias("code")).agg(F.min("doc_id").alias("ord"))
-    return rounded(dedup.verified(distinct, 0.5), "similarity")
-
-
-@query()
-def shingle_jaccard_whole(spark, sf):
-    """All pairs; shingle_jaccard_verified and its SQL have those that share their least shingle."""
+    s AS (SELECT doc_id, unnest(list_distinct(list_transform(generate_series(1, len(w) - 4), lambda i: array_to_string(w[i:i + 4], ' ')))) AS s FROM w WHERE len(w) >= 5), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+    m AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS m FROM s x JOIN s y ON x.s = y.s AND x.doc_id < y.doc_id GROUP BY ALL)
+    SELECT a, b, round(m / CAST(x.n + y.n - m AS DOUBLE), 6) AS similarity FROM m JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE m >= 0.5 * (x.n + y.n - m)""")
+def shingle_jaccard(spark, sf):
+    """All pairs of different texts: no block decides which meet."""
     distinct = A.table(spark, sf, "documents").groupBy(F.col("text").alias("code")).agg(F.min("doc_id").alias("ord"))
     return rounded(dedup.similar(distinct, 0.5), "similarity")
 
@@ -248,18 +226,21 @@ def minhash_lsh_dedup(spark, sf):
 # ---- augmentation ----
 
 
-@query(r"""WITH e AS (SELECT doc_id, text, lang, source, sha256(text) AS h, regexp_replace(regexp_replace(text, '\ba\b', 'p', 'g'), '\bthe\b', 'q', 'g') AS new FROM documents)
-    SELECT doc_id, sha256(new) AS code_sha256, h AS augmented_from, source || '-aug' AS source FROM e WHERE new <> text AND lang = 'en'""")
-def rename_augment(spark, sf):
-    rows = A.table(spark, sf, "documents").where("lang = 'en'").select("doc_id", F.col("text").alias("code"), F.col("lang").alias("language"), "source")
-    return augment.renames(rows, ({"a": "p", "the": "q"},)).select("doc_id", "code_sha256", "augmented_from", "source")
+def whole_word(value: str, old: str, new: str) -> str:
+    """A rename of whole words in DuckDB: twice, as a word's end may be the next one's start; letters of all scripts count."""
+    once = "regexp_replace({}, '(^|[^\\p{{L}}\\p{{Nd}}_])" + old + "($|[^\\p{{L}}\\p{{Nd}}_])', '\\1" + new + "\\2', 'g')"
+    return once.format(once.format(value))
 
 
-@query()
-def rename_augment_whole(spark, sf):
-    """Documents of every language; rename_augment and its SQL have English ones."""
+#: Renames in the words of the test texts: short words of two languages, and one that is kept from going to a reserved word.
+_SCHEMES = ({"a": "p", "the": "q"}, {"de": "final", "les": "xs"})
+
+
+@query(f"""WITH e AS (SELECT doc_id, text, source, lang, sha256(text) AS h, [{{'scheme': 0, 'code': {whole_word(whole_word("text", "a", "p"), "the", "q")}}}, {{'scheme': 1, 'code': {whole_word(whole_word("text", "de", "final"), "les", "xs")}}}] AS v FROM documents), x AS (SELECT doc_id, text, source, h, unnest(v) AS v FROM e)
+    SELECT doc_id, CAST(v.scheme AS INTEGER) AS scheme, sha256(v.code) AS code_sha256, h AS augmented_from, source || '-aug' AS source FROM x WHERE v.code <> text""")
+def rename_augment(spark, sf):
     rows = A.table(spark, sf, "documents").select("doc_id", F.col("text").alias("code"), F.col("lang").alias("language"), "source")
-    return augment.renames(rows, ({"a": "p", "the": "q"},)).select("doc_id", "code_sha256", "augmented_from", "source")
+    return augment.renames(rows, _SCHEMES).select("doc_id", "scheme", "code_sha256", "augmented_from", "source")
 
 
 @query()
@@ -288,20 +269,33 @@ def pair_cell_topk(spark, sf):
     return counts.top(pairs.same_problem(A.points(spark, sf)), ["label_a", "label_b"], 20)
 
 
-@query(_PAIRS + """, g AS (SELECT ternary, split, label_a, label_b, count(*) AS n, count(*) FILTER (same_problem) AS same_problem, grouping(ternary, split, label_a, label_b) AS level FROM pairs GROUP BY GROUPING SETS ((ternary), (split), (label_a, label_b)))
-    SELECT CASE level WHEN 7 THEN 'ternary' WHEN 11 THEN 'split' ELSE 'label_a,label_b' END AS grain, ternary, split, label_a, label_b, n, same_problem FROM g""")
-def pair_statistics(spark, sf):
-    return counts.pair_counts(pairs.same_problem(A.points(spark, sf)))
-
-
 @query(with_views("points") + """, g AS (SELECT DISTINCT split, language FROM points) SELECT split, language, CAST(least(3000, greatest(1, floor(floor(2000000.0 * CASE split WHEN 'train' THEN 0.8 ELSE 0.1 END / (SELECT count(DISTINCT language) FROM points)) / 66))) AS INTEGER) AS quota FROM g""")
 def pair_quotas(spark, sf):
     return pairs.quotas(A.points(spark, sf), 2_000_000)
 
 
-@query()
+_CROSS = """, quota AS (SELECT split, language, least(3000, greatest(1, floor(floor(30000.0 * CASE split WHEN 'train' THEN 0.8 ELSE 0.1 END / (SELECT count(DISTINCT language) FROM points)) / 66))) AS quota FROM (SELECT DISTINCT split, language FROM points)),
+    base AS (SELECT p.*, sha256(code) AS sha, quota, 4 * quota AS attempts, count(*) OVER (PARTITION BY p.split, p.language, idx) AS n FROM points p JOIN quota q ON p.split = q.split AND p.language = q.language),
+    sided AS (SELECT *, row_number() OVER (PARTITION BY split, language, idx, salt ORDER BY sha256('42:' || salt || ':' || CAST(ord AS VARCHAR)), ord) AS place FROM base, (VALUES ('0'), ('1')) t(salt)),
+    slots AS (SELECT s.*, unnest(generate_series(CAST(place - 1 AS BIGINT), CAST(attempts - 1 AS BIGINT), CAST(least(n, attempts) AS BIGINT))) AS slot FROM sided s WHERE place <= attempts AND place <= 12000),
+    met AS (SELECT x.split, x.language, x.quota, x.idx AS low, y.idx AS high, x.slot, x.ord AS xo, y.ord AS yo, x.label AS xl, y.label AS yl, x.tier AS xt, y.tier AS yt, x.tokens + y.tokens AS tokens_combined
+        FROM slots x JOIN slots y ON x.salt = '0' AND y.salt = '1' AND x.split = y.split AND x.language = y.language AND x.slot = y.slot AND x.idx <= y.idx WHERE x.sha <> y.sha AND coalesce(x.problem_id <> y.problem_id, true)),
+    crossed AS (SELECT split, language, CASE WHEN xt > yt THEN yo ELSE xo END AS ord_a, CASE WHEN xt > yt THEN xo ELSE yo END AS ord_b, CASE WHEN xt > yt THEN yl ELSE xl END AS label_a, CASE WHEN xt > yt THEN xl ELSE yl END AS label_b,
+        CASE WHEN xt = yt THEN 'same' ELSE 'A_faster' END AS ternary, CAST(tokens_combined AS INTEGER) AS tokens_combined, false AS same_problem FROM (SELECT *, row_number() OVER (PARTITION BY split, language, low, high ORDER BY slot) AS r FROM met) WHERE r <= quota)
+"""
+
+
+@query(with_views("points") + _CROSS + "SELECT split, language, ord_a, ord_b, label_a, label_b, ternary, tokens_combined, same_problem FROM crossed")
 def pairs_cross_sampled(spark, sf):
-    return pairs.cross_label(A.points(spark, sf), 30_000).select("split", "language", "ord_a", "ord_b", "label_a", "label_b", "ternary", "tokens_combined", "same_problem")
+    return pairs.cross_label(A.points(spark, sf), 30_000, codes=False).select("split", "language", "ord_a", "ord_b", "label_a", "label_b", "ternary", "tokens_combined", "same_problem")
+
+
+@query(_PAIRS + _CROSS + """, every AS (SELECT ternary, split, label_a, label_b, same_problem FROM pairs UNION ALL SELECT ternary, split, label_a, label_b, same_problem FROM crossed),
+    g AS (SELECT ternary, split, label_a, label_b, count(*) AS n, count(*) FILTER (same_problem) AS same_problem, grouping(ternary, split, label_a, label_b) AS level FROM every GROUP BY GROUPING SETS ((ternary), (split), (label_a, label_b)))
+    SELECT CASE level WHEN 7 THEN 'ternary' WHEN 11 THEN 'split' ELSE 'label_a,label_b' END AS grain, ternary, split, label_a, label_b, n, same_problem FROM g""")
+def pair_statistics(spark, sf):
+    points, keep = A.points(spark, sf), ["ternary", "split", "label_a", "label_b", "same_problem"]
+    return counts.pair_counts(pairs.same_problem(points).select(*keep).union(pairs.cross_label(points, 30_000, codes=False).select(*keep)))
 
 
 # ---- metrics ----
@@ -381,9 +375,10 @@ def spearman(spark, sf):
     return rounded(metrics.spearman(rows, "tier", "pred_tier", "ord"), "spearman")
 
 
-@query(with_views("cpreds") + "SELECT label, count(*) AS n, round(avg(CASE WHEN label = label THEN 1.0 ELSE 0 END), 6) AS acc_before, round(avg(CASE WHEN label = pred THEN 1.0 ELSE 0 END), 6) AS acc_after, round(avg(CASE WHEN label <> pred THEN 1.0 ELSE 0 END), 6) AS flip_rate, round(avg(CASE WHEN label = pred THEN 1.0 ELSE 0 END) - 1.0, 6) AS delta FROM cpreds GROUP BY label")
+@query(with_views("cpreds") + ", b AS (SELECT label, pred, CASE WHEN ord % 5 = 0 THEN (SELECT c.label FROM classes c WHERE c.idx = ord % 11) ELSE label END AS first FROM cpreds) SELECT label, count(*) AS n, round(avg(CASE WHEN label = first THEN 1.0 ELSE 0 END), 6) AS acc_before, round(avg(CASE WHEN label = pred THEN 1.0 ELSE 0 END), 6) AS acc_after, round(avg(CASE WHEN first <> pred THEN 1.0 ELSE 0 END), 6) AS flip_rate, round(avg(CASE WHEN label = pred THEN 1.0 ELSE 0 END) - avg(CASE WHEN label = first THEN 1.0 ELSE 0 END), 6) AS delta FROM b GROUP BY label")
 def transform_probe(spark, sf):
-    rows = A.class_predictions(spark, sf).withColumn("first", F.col("label"))
+    names = F.array(*map(F.lit, LABELS))
+    rows = A.class_predictions(spark, sf).withColumn("first", F.when(F.col("ord") % 5 == 0, F.element_at(names, (F.col("ord") % 11).cast("int") + 1)).otherwise(F.col("label")))
     return rounded(metrics.before_after(rows, "label", "first", "pred"), "acc_before", "acc_after", "flip_rate", "delta")
 
 
@@ -396,9 +391,9 @@ def parity_check(spark, sf):
 # ---- selection ----
 
 
-@query(with_views("runs") + "SELECT run, language, macro_f1 FROM runs ORDER BY macro_f1 DESC, run LIMIT 100")
+@query(with_views("runs") + "SELECT run, language, macro_f1 FROM runs")
 def leaderboard(spark, sf):
-    return select.leaderboard(A.runs(spark, sf), "macro_f1", "run").select("run", "language", "macro_f1").limit(100)
+    return select.leaderboard(A.runs(spark, sf), "macro_f1", "run").select("run", "language", "macro_f1")
 
 
 @query(with_views("runs") + "SELECT language, run, head, seed FROM (SELECT *, row_number() OVER (PARTITION BY language ORDER BY macro_f1 DESC, test_acc DESC, run) AS r FROM runs) WHERE r = 1")
@@ -428,31 +423,18 @@ def route_requests(spark, sf):
     return select.route(select.best_per_language(A.runs(spark, sf), "run"), requests).select("c_custkey", "language", "head", "seed")
 
 
-@query("""WITH a AS (SELECT n_name AS language, round(avg(s_acctbal), 6) AS v FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_suppkey % 3 = 0 GROUP BY n_name), b AS (SELECT n_name AS language, round(avg(c_acctbal), 6) AS v FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey % 5 = 0 GROUP BY n_name)
+@query("""WITH a AS (SELECT o_custkey AS language, round(avg(o_totalprice), 6) AS v FROM orders GROUP BY ALL), b AS (SELECT user_id AS language, round(avg(value), 6) AS v FROM events GROUP BY ALL)
     SELECT coalesce(a.language, b.language) AS language, a.v AS phase_a, b.v AS phase_b, round(b.v - a.v, 6) AS delta FROM a FULL JOIN b USING (language)""")
 def report_full_outer(spark, sf):
-    def side(table: str, key: str, nation: str, value: str, every: int) -> DataFrame:
-        names = A.table(spark, sf, "nation").select(F.col("n_nationkey").alias(nation), F.col("n_name").alias("language"))
-        return rounded(A.table(spark, sf, table).where(F.col(key) % every == 0).join(names, nation).groupBy("language").agg(F.avg(value).alias("v")), "v")
+    """Both sides have keys of their own: customers without events, and a user that is no customer."""
+    orders = A.table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("language")).agg(F.avg("o_totalprice").alias("v"))
+    events = A.table(spark, sf, "events").groupBy(F.col("user_id").alias("language")).agg(F.avg("value").alias("v"))
+    return rounded(select.side_by_side(rounded(orders, "v"), rounded(events, "v"), "language", "v"), "delta")
 
-    return rounded(select.side_by_side(side("supplier", "s_suppkey", "s_nationkey", "s_acctbal", 3), side("customer", "c_custkey", "c_nationkey", "c_acctbal", 5), "language", "v"), "delta")
 
-
-@query()
-def report_full_outer_whole(spark, sf):
-    """All suppliers and customers; report_full_outer and its SQL have every third and fifth."""
-    def side(table: str, nation: str, value: str) -> DataFrame:
-        names = A.table(spark, sf, "nation").select(F.col("n_nationkey").alias(nation), F.col("n_name").alias("language"))
-        return rounded(A.table(spark, sf, table).join(names, nation).groupBy("language").agg(F.avg(value).alias("v")), "v")
-
-    return rounded(select.side_by_side(side("supplier", "s_nationkey", "s_acctbal"), side("customer", "c_nationkey", "c_acctbal"), "language", "v"), "delta")
-
-
-@query("SELECT n_name FROM nation WHERE n_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE s_suppkey <= 20)")
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT user_id FROM events)")
 def missing_languages(spark, sf):
-    have = A.table(spark, sf, "supplier").where("s_suppkey <= 20").select(F.col("s_nationkey").alias("n_nationkey"))
-    wanted = A.table(spark, sf, "nation")
-    return select.missing(wanted, have, "n_nationkey").join(wanted, "n_nationkey").select("n_name")
+    return select.missing(A.table(spark, sf, "customer"), A.table(spark, sf, "events").select(F.col("user_id").alias("c_custkey")), "c_custkey")
 
 
 @query("SELECT d.doc_id FROM documents d ANTI JOIN labels l USING (doc_id)")
@@ -477,10 +459,14 @@ _DOT = "list_sum(list_transform(generate_series(1, len({a})), lambda i: CAST({a}
 _GAP = "list_transform(generate_series(1, len(a)), lambda i: abs(CAST(a[i] AS DOUBLE) - b[i]))"
 
 
-@query(f"""WITH p AS (SELECT x.vec_id, x.embedding AS a, y.embedding AS b FROM embeddings x JOIN embeddings y ON y.vec_id = x.vec_id + 3), n AS (SELECT *, sqrt({_DOT.format(a='a', b='a')}) AS na, sqrt({_DOT.format(a='b', b='b')}) AS nb, {_DOT.format(a='a', b='b')} AS ab, {_GAP} AS g FROM p)
+_ZEROS = "list_transform(generate_series(1, 64), lambda i: CAST(0 AS FLOAT))"
+
+
+@query(f"""WITH p AS (SELECT x.vec_id, CASE WHEN y.vec_id IS NULL THEN {_ZEROS} ELSE x.embedding END AS a, CASE WHEN y.vec_id IS NULL THEN {_ZEROS} ELSE y.embedding END AS b FROM embeddings x LEFT JOIN embeddings y ON y.vec_id = x.vec_id + 3), n AS (SELECT *, sqrt({_DOT.format(a='a', b='a')}) AS na, sqrt({_DOT.format(a='b', b='b')}) AS nb, {_DOT.format(a='a', b='b')} AS ab, {_GAP} AS g FROM p)
     SELECT CAST(vec_id AS VARCHAR) AS pair_id, round(ab / ((na + 1e-12) * (nb + 1e-12)), 6) AS cls_cosine, round(sqrt(list_sum(list_transform(g, lambda x: x * x))), 6) AS cls_l2, round(list_sum(g) / len(a), 6) AS cls_mean_abs_diff, round(list_max(g), 6) AS cls_max_abs_diff FROM n""")
 def pair_vector_similarity(spark, sf):
-    both = pairs.with_both(A.vector_pairs(spark, sf), A.table(spark, sf, "embeddings"), "vec_id", "embedding", 64, fill=False)
+    """Pairs whose second side has no vector are zeros on both sides."""
+    both = pairs.with_both(A.vector_pairs(spark, sf), A.table(spark, sf, "embeddings"), "vec_id", "embedding", 64)
     names = ["cls_cosine", "cls_l2", "cls_mean_abs_diff", "cls_max_abs_diff"]
     return rounded(both.select("pair_id", *V.similarities(F.col("embedding_a"), F.col("embedding_b"))), *names)
 
@@ -553,21 +539,25 @@ def ids_from_paths(spark, sf):
     return A.table(spark, sf, "pages").select("page_id", X.path_id(path).alias("path_id"), X.numeric_id(F.regexp_extract("url", r"^[^?#]*", 0)).alias("num_id"), X.synthetic_id("cc", F.col("html")).alias("synthetic_id"))
 
 
-_MARKDOWN = "'<!-- solution:start -->' || chr(10) || 'The time complexity is $O(n)$.' || chr(10) || '```python' || chr(10) || substr(text, 1, 40) || chr(10) || '```' || chr(10) || '<!-- solution:end -->'"
-
-
-@query(rf"""SELECT doc_id, 0 AS solution_idx, 'python' AS language, regexp_replace(substr(text, 1, 40), '`', '', 'g') || chr(10) AS code, 'n' AS raw_complexity FROM documents WHERE text IS NOT NULL""")
+@query(r"""SELECT doc_id, CAST(i AS INTEGER) AS solution_idx, CASE i WHEN 0 THEN 'python' ELSE 'java' END AS language, replace(text, '`', '') || chr(10) AS code,
+    CASE (doc_id + i) % 3 WHEN 0 THEN 'n' WHEN 1 THEN 'log ' || CAST(doc_id AS VARCHAR) END AS raw_complexity FROM documents, (VALUES (0), (1)) t(i) WHERE text IS NOT NULL""")
 def markdown_blocks(spark, sf):
-    body = F.regexp_replace(F.substring("text", 1, 40), "`", "")
-    document = F.concat(F.lit("Intro\n<!-- solution:start -->\nThe time complexity is $O(n)$.\n```Python3 x\n"), body, F.lit("\n```\n```python\nsecond\n```\n```unknown\nx\n```\n<!-- solution:end -->\nEnd"))
-    return X.fenced(A.table(spark, sf, "documents").where("text is not null").select("doc_id", document.alias("document")), keep=("doc_id",))
+    """Each whole text as the code of a document of two solutions: complexity stated strictly, loosely or not at all."""
+    stated = lambda i: F.when((F.col("doc_id") + i) % 3 == 0, F.lit("The time complexity is $O(n)$.")).when((F.col("doc_id") + i) % 3 == 1, F.format_string("In time we need $O(log %d)$, or so.", "doc_id")).otherwise(F.lit("Time is short."))
+    body = F.replace("text", F.lit("`"), F.lit(""))
+    first = F.concat(F.lit("Intro\n<!-- solution:start -->\n"), stated(0), F.lit("\n```Python3 x\n"), body, F.lit("\n```\n```python\nsecond\n```\n```unknown\nx\n```\n<!-- solution:end -->\nBetween\n"))
+    second = F.concat(F.lit("<!-- Solution:Start -->\n"), stated(1), F.lit("\n~~~java\n"), body, F.lit("\n~~~\n<!--solution:end-->\n```go\noutside\n```\n<!-- solution:start -->\nno end"))
+    return X.fenced(A.table(spark, sf, "documents").where("text is not null").select("doc_id", F.concat(first, second).alias("document")), keep=("doc_id",))
 
 
-@query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'n^2' WHEN doc_id % 3 = 1 THEN '(m+n' END AS raw_complexity FROM documents")
+@query(r"""WITH c AS (SELECT doc_id, lang, CASE doc_id % 3 WHEN 0 THEN CASE WHEN lang = 'en' THEN '# Time:  O(n^' ELSE '//Time: O(n^' END || CAST(doc_id AS VARCHAR) || ') O(1)' || chr(10) || text WHEN 1 THEN text || chr(10) || '# Time: O((m+n) log(m+n))' ELSE text END AS code FROM documents)
+    SELECT doc_id, nullif(trim(regexp_extract(array_to_string(string_split_regex(code, '\r\n|\r|\n')[1:10], chr(10)), CASE WHEN lang = 'en' THEN '#\s*Time:\s*O\((.+?)\)' ELSE '//\s*Time:\s*O\((.+?)\)' END, 1)), '') AS raw_complexity FROM c""")
 def header_extract(spark, sf):
-    head = F.when(F.col("doc_id") % 3 == 0, "# Time:  O(n^2)\n# Space: O(1)\n").when(F.col("doc_id") % 3 == 1, "# Time: O((m+n) log(m+n))\n").otherwise("x = 1\n" * 12 + "# Time: O(1)\n")
-    code = F.concat(head, F.lit("def f(): pass\n"))
-    return A.table(spark, sf, "documents").select("doc_id", X.header_complexity(code, F.lit("python")).alias("raw_complexity"))
+    """Whole texts as code, with a statement before, after (found if the text is short) or nowhere, in two kinds of comments."""
+    english = F.col("lang") == "en"
+    head = F.concat(F.when(english, "# Time:  O(n^").otherwise("//Time: O(n^"), F.col("doc_id").cast("string"), F.lit(") O(1)\n"))
+    code = F.when(F.col("doc_id") % 3 == 0, F.concat(head, "text")).when(F.col("doc_id") % 3 == 1, F.concat("text", F.lit("\n# Time: O((m+n) log(m+n))"))).otherwise(F.col("text"))
+    return A.table(spark, sf, "documents").select("doc_id", X.header_complexity(code, F.when(english, "python").otherwise("java")).alias("raw_complexity"))
 
 
 @query(r"""SELECT doc_id, sha256(text) AS code_hash FROM documents WHERE text IS NOT NULL""")
@@ -587,22 +577,17 @@ def label_transfer(spark, sf):
 # ---- logs ----
 
 
-@query("""WITH RECURSIVE e AS (SELECT user_id, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events WHERE user_id % 10 = 0 AND value IS NOT NULL),
-    r AS (SELECT user_id, event_id, value, i, CAST(value AS DOUBLE) AS ema FROM e WHERE i = 1 UNION ALL SELECT e.user_id, e.event_id, e.value, e.i, CAST(0.05 AS DOUBLE) * e.value + CAST(0.95 AS DOUBLE) * r.ema FROM r JOIN e ON e.user_id = r.user_id AND e.i = r.i + 1)
-    SELECT user_id, event_id, round(ema, 6) AS ema FROM r""")
+@query("""WITH l AS (SELECT user_id, list(event_id ORDER BY event_id) AS ids, list(CAST(value AS DOUBLE) ORDER BY event_id) AS v FROM events WHERE value IS NOT NULL GROUP BY user_id),
+    m AS (SELECT user_id, ids, list_reduce(list_transform(v, lambda x: [x]), lambda a, x: list_append(a, CAST(0.05 AS DOUBLE) * x[1] + CAST(0.95 AS DOUBLE) * a[len(a)])) AS e FROM l) SELECT user_id, unnest(ids) AS event_id, round(unnest(e), 6) AS ema FROM m""")
 def loss_ema(spark, sf):
-    rows = A.table(spark, sf, "events").where("user_id % 10 = 0 and value is not null")
-    return rounded(metrics.ema(rows, "user_id", "event_id", "value").select("user_id", "event_id", "ema"), "ema")
-
-
-@query()
-def loss_ema_whole(spark, sf):
-    """All users; loss_ema and its SQL have every tenth."""
     rows = A.table(spark, sf, "events").where("value is not null")
     return rounded(metrics.ema(rows, "user_id", "event_id", "value").select("user_id", "event_id", "ema"), "ema")
 
 
-@query()
+@query("""WITH e AS (SELECT user_id, event_id, CAST(value AS DOUBLE) AS v, max(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM events WHERE value IS NOT NULL),
+    g AS (SELECT *, sum(CASE WHEN m IS NULL OR v > m THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM e), b AS (SELECT *, row_number() OVER (PARTITION BY user_id, k ORDER BY event_id) - 1 AS bad FROM g),
+    s AS (SELECT user_id, min(event_id) FILTER (bad >= 3) AS stop_step, coalesce(arg_min(k, event_id) FILTER (bad >= 3), max(k)) AS k FROM b GROUP BY user_id)
+    SELECT s.user_id, b.event_id AS best_step, b.v AS best_value, s.stop_step FROM s JOIN b ON s.user_id = b.user_id AND s.k = b.k AND b.bad = 0""")
 def early_stop_step(spark, sf):
     rows = A.table(spark, sf, "events").where("value is not null")
     return metrics.early_stop(rows, "user_id", "event_id", "value", 3, 0.0)
@@ -611,42 +596,41 @@ def early_stop_step(spark, sf):
 # ---- code, heads ----
 
 
-def _code(spark: SparkSession) -> DataFrame:
-    from textloom.plans.fixtures import SNIPPETS
-
-    return spark.createDataFrame([(i, x, c) for i, (x, c) in enumerate(SNIPPETS)], "ord long, language string, code string")
-
-
 @query()
 def ast_features(spark, sf):
-    return code_functions.structures(_code(spark))
+    return code_functions.structures(A.programs(spark, sf))
 
 
 @query()
 def ast_pair_features(spark, sf):
-    rows = _code(spark)
-    a, b = rows.toDF("ord_a", "language", "code_a"), rows.toDF("ord_b", "language", "code_b")
-    both = a.join(b, "language").where("ord_a < ord_b").withColumn("pair_id", F.concat_ws("-", "ord_a", "ord_b"))
-    return code_functions.pair_structures(both, code_functions.structures(rows))
+    """Each program with the next one of its language."""
+    rows = A.programs(spark, sf)
+    a = rows.select("language", F.col("ord").alias("ord_a"), F.col("code").alias("code_a"))
+    b = rows.select("language", (F.col("ord") - 16).alias("ord_a"), F.col("code").alias("code_b"))
+    return code_functions.pair_structures(a.join(b, ["language", "ord_a"]).withColumn("pair_id", F.col("ord_a").cast("string")), code_functions.structures(rows))
 
 
 @query()
 def leak_strip_comments(spark, sf):
-    return code_functions.strip_leakage(_code(spark))
+    return code_functions.strip_leakage(A.programs(spark, sf))
 
 
 @query()
 def memory_line_offsets(spark, sf):
-    return _code(spark).select("ord", code_functions.memory_lines(F.col("code"), F.col("language")).alias("offsets"))
+    return A.programs(spark, sf).select("ord", code_functions.memory_lines(F.col("code"), F.col("language")).alias("offsets"))
 
 
-@query("""SELECT vec_id, CAST(513 AS BIGINT) AS first_global, CAST(sum(g) AS BIGINT) AS n_global FROM (SELECT vec_id, 64 // 16 - 1 + 1 + 1 AS g FROM embeddings) GROUP BY vec_id""")
+@query("""WITH t AS (SELECT vec_id, vec_id % 90 AS n, [vec_id % 7, vec_id % 50] AS marked FROM embeddings), s AS (SELECT vec_id, list_transform(range(n), lambda i: list_concat(list_concat(CASE WHEN i > 0 AND i % 16 = 0 THEN [513] ELSE [] END, CASE WHEN list_contains(marked, i) THEN [515] ELSE [] END), [100 + i])) AS s FROM t),
+    b AS (SELECT vec_id, list_append(list_concat([512], flatten(s))[1:79], 514) AS ids FROM s)
+    SELECT vec_id, array_to_string(list_concat(ids, list_transform(range(80 - len(ids)), lambda i: 0)), ' ') AS input_ids, CAST(len(ids) AS BIGINT) AS n_tokens, CAST(len(list_filter(ids, lambda x: x IN (513, 514, 515))) AS BIGINT) AS n_global,
+    CAST(len(list_filter(ids, lambda x: x = 513)) + 2 * len(list_filter(ids, lambda x: x = 515)) AS BIGINT) AS n_types FROM b""")
 def encoder_bundle(spark, sf):
-    tokens = F.sequence(F.lit(0), F.lit(63))
-    b = V.bundle(tokens, F.array(F.lit(5)), 96, 16, 512, 514, 0, 513, 515)
+    """Token lists of 0 to 89, so some are padded and some cut, with bridges and one or two marked places."""
+    n, total = F.col("vec_id") % 90, lambda c: F.aggregate(c, F.lit(0).cast("bigint"), lambda s, x: s + x)
+    tokens = F.transform(F.filter(F.sequence(F.lit(0), F.lit(89)), lambda i: i < n), lambda i: i + 100)
+    b = V.bundle(tokens, F.array((F.col("vec_id") % 7).cast("int"), (F.col("vec_id") % 50).cast("int")), 80, 16, 512, 514, 0, 513, 515)
     rows = A.table(spark, sf, "embeddings").select("vec_id", b.alias("b"))
-    total = F.aggregate("b.global_attention_mask", F.lit(0).cast("bigint"), lambda s, x: s + x)
-    return rows.select("vec_id", F.try_element_at(F.col("b.input_ids"), F.lit(19)).alias("first_global"), total.alias("n_global"))
+    return rows.select("vec_id", F.array_join("b.input_ids", " ").alias("input_ids"), total(F.col("b.attention_mask")).alias("n_tokens"), total(F.col("b.global_attention_mask")).alias("n_global"), total(F.col("b.token_type_ids")).alias("n_types"))
 
 
 def _matrix(spark: SparkSession, sf: str) -> DataFrame:
