@@ -1,6 +1,8 @@
 """Approximate nearest neighbours: a hierarchical navigable small-world graph per shard, with shard results merged.
 
-A shard's distinct vectors are the nodes. Layers are flat arrays of neighbour numbers (-1: free), of width 2m at the
+A shard has at most SHARD_ROWS rows, so a graph's search takes as many steps as the logarithm of that, and there are as
+few graphs as memory allows: a task holds one shard at a time, of SHARD_ROWS * (8 d + 8 m + 24) bytes and the same again
+while it is packed (54 MB for 64 dimensions). A shard's distinct vectors are the nodes. Layers are flat arrays of neighbour numbers (-1: free), of width 2m at the
 ground and m above. A vector that many rows share is one node with the smallest ids of its rows, as many as a result can
 hold; so copies neither cut the graph up nor crowd each other out. Searches return ef nodes, whose distances are then
 computed in double precision on the original vectors; shards' lists are merged.
@@ -22,7 +24,7 @@ from pyspark.sql import DataFrame
 
 from textloom.llm import vectors as V
 
-SHARD_ROWS, QUERY_ROWS, M, EF_BUILD, EF_SEARCH = 8192, 256, 16, 64, 128
+SHARD_ROWS, QUERY_ROWS, M, EF_BUILD, EF_SEARCH = 32_768, 256, 16, 64, 160
 
 
 class Graph:
@@ -149,14 +151,18 @@ def _unpacked(points: np.ndarray, blob: bytes, entry: int, n_layers: int, m: int
     return Graph(points, layers, entry)
 
 
+def as_doubles(ids: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, bytes]:
+    return ids, np.ascontiguousarray(rows, "<f8").tobytes()
+
+
 def index(candidates: DataFrame, id_column: str = "vec_id", vector_column: str = "embedding", keep: int = 11, shard_rows: int = SHARD_ROWS, m: int = M, ef: int = EF_BUILD) -> DataFrame:
     """Every row in a graph: a row per shard with its distinct vectors, their rows' ids (the `keep` smallest) and the flat graph."""
-    raw = V.blobs(candidates, id_column, vector_column, shard_rows, False, lambda ids, rows: rows, "<f8")
+    raw = V.blobs(candidates, id_column, vector_column, shard_rows, False, as_doubles)
 
     def graphs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = pa.schema([("dim", pa.int32()), ("ids", pa.binary()), ("counts", pa.binary()), ("rows", pa.binary()), ("flat", pa.binary()), ("entry", pa.int32()), ("layers", pa.int32())])
+        kinds = pa.schema([("blob", pa.int64()), ("dim", pa.int32()), ("ids", pa.binary()), ("counts", pa.binary()), ("rows", pa.binary()), ("flat", pa.binary()), ("entry", pa.int32()), ("layers", pa.int32())])
         for batch in batches:
-            for dim, ids, rows in zip(*(batch[c].to_pylist() for c in ("dim", "ids", "rows"))):
+            for blob, dim, ids, rows in zip(*(batch[c].to_pylist() for c in ("blob", "dim", "ids", "rows"))):
                 ids, rows = V.ids_of(ids), V.rows_of(rows, dim, "<f8") + 0.0  # -0.0 is 0.0
                 points, member = np.unique(rows, axis=0, return_inverse=True)
                 order = np.lexsort((ids, member.ravel()))
@@ -170,15 +176,15 @@ def index(candidates: DataFrame, id_column: str = "vec_id", vector_column: str =
                 counts = np.bincount(new[member], minlength=len(points))
                 points = points[shuffled]
                 flat, (entry, n_layers) = _packed(build(points, m, ef))
-                values = [[dim], [ids[order].astype("<i8").tobytes()], [counts.astype("<i4").tobytes()], [points.tobytes()], [flat], [entry], [n_layers]]
+                values = [[blob], [dim], [ids[order].astype("<i8").tobytes()], [counts.astype("<i4").tobytes()], [points.tobytes()], [flat], [entry], [n_layers]]
                 yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(values, kinds)], schema=kinds)
 
-    return V.stored(raw.repartition(max(2, candidates.sparkSession.sparkContext.defaultParallelism)).mapInArrow(graphs, "dim int, ids binary, counts binary, rows binary, flat binary, entry int, layers int"), "hnsw")
+    return V.stored(raw.repartition(max(2, candidates.sparkSession.sparkContext.defaultParallelism)).mapInArrow(graphs, "blob long, dim int, ids binary, counts binary, rows binary, flat binary, entry int, layers int"), "hnsw")
 
 
 def nearest(queries: DataFrame, graphs: DataFrame, k: int, id_column: str = "vec_id", vector_column: str = "embedding", ef: int = EF_SEARCH, query_rows: int = QUERY_ROWS, m: int = M) -> DataFrame:
     """query_id, rank, vec_id, score: each query's k nearest found, by Euclidean distance. graphs: of index(), with keep > k."""
-    blocks = V.stored(V.blobs(queries, id_column, vector_column, query_rows, False, lambda ids, rows: rows, "<f8"), "queries")
+    blocks = V.stored(V.blobs(queries, id_column, vector_column, query_rows, False, as_doubles), "queries")
 
     def compare(row: dict) -> tuple[list, list, list]:
         dim, own, asked = row["dim"], V.ids_of(row["ids"]), V.rows_of(row["rows"], row["dim"], "<f8")

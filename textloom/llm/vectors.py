@@ -1,18 +1,18 @@
 """Vectors in shards: what exact search and the neighbour graph share.
 
 Rows become blobs of at most `shard_rows` vectors within the tasks that scan them, so no key decides where a row goes.
-A query blob meets each shard blob once, through an equi-join on a cell number: shards have a cell, query blobs are
-repeated for every cell. That is a stated query set against all rows, in blocks. Each pair of blobs returns its best k
+A query blob meets each shard blob once, through an equi-join on a cell number: shards are numbered, a cell each, and query
+blobs are repeated for every cell. That is a stated query set against all rows, in blocks. Each pair of blobs returns its best k
 rows, and a window over a query's partial lists keeps the best k of those.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,16 +39,18 @@ def batch_vectors(ids: pa.Array, vectors: pa.Array, zeros: bool) -> Iterator[tup
             yield numbers[at[good]], rows[good]
 
 
-def blobs(df: DataFrame, id_column: str, vector_column: str, most: int, zeros: bool, make: Callable[[np.ndarray, np.ndarray], np.ndarray], dtype: str) -> DataFrame:
-    """Rows (dim int, n int, ids binary, rows binary): at most `most` vectors each, as make() turns them into dtype."""
+def blobs(df: DataFrame, id_column: str, vector_column: str, most: int, zeros: bool, make: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, bytes]]) -> DataFrame:
+    """Rows (blob long, dim int, n int, ids binary, rows binary): at most `most` vectors each, as make() orders and packs them. blob: the task and a count, so a
+    task that is run again gives the same rows."""
 
-    def packed(ids: np.ndarray, rows: np.ndarray) -> pa.RecordBatch:
-        kinds = [("dim", pa.int32()), ("n", pa.int32()), ("ids", pa.binary()), ("rows", pa.binary())]
-        rows = np.ascontiguousarray(make(ids, rows), dtype)
-        return pa.RecordBatch.from_pydict({"dim": [rows.shape[1]], "n": [len(ids)], "ids": [ids.astype("<i8").tobytes()], "rows": [rows.tobytes()]}, pa.schema(kinds))
+    def packed(number: int, ids: np.ndarray, rows: np.ndarray) -> pa.RecordBatch:
+        kinds = [("blob", pa.int64()), ("dim", pa.int32()), ("n", pa.int32()), ("ids", pa.binary()), ("rows", pa.binary())]
+        ids, raw = make(ids, rows)
+        return pa.RecordBatch.from_pydict({"blob": [(TaskContext.get().partitionId() << 32) + number], "dim": [rows.shape[1]], "n": [len(ids)], "ids": [ids.astype("<i8").tobytes()], "rows": [raw]}, pa.schema(kinds))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list] = {}
+        done = 0
         for batch in batches:
             for ids, rows in batch_vectors(batch["id"], batch["vector"], zeros):
                 for i in range(0, len(ids), most):
@@ -56,25 +58,32 @@ def blobs(df: DataFrame, id_column: str, vector_column: str, most: int, zeros: b
                     own.append((ids[i : i + most], rows[i : i + most]))
                     if sum(len(x) for x, _ in own) >= most:
                         all_ids, all_rows = (np.concatenate(x) for x in zip(*own))
-                        yield packed(all_ids[:most], all_rows[:most])
+                        yield packed(done, all_ids[:most], all_rows[:most])
+                        done += 1
                         held[rows.shape[1]] = [(all_ids[most:], all_rows[most:])] if len(all_ids) > most else []
         for own in held.values():
             if own:
-                yield packed(*(np.concatenate(x) for x in zip(*own)))
+                yield packed(done, *(np.concatenate(x) for x in zip(*own)))
+                done += 1
 
     chosen = df.select(F.col(id_column).cast("long").alias("id"), F.col(vector_column).alias("vector"))
-    return chosen.mapInArrow(cut, "dim int, n int, ids binary, rows binary")
+    return chosen.mapInArrow(cut, "blob long, dim int, n int, ids binary, rows binary")
 
 
-def search(queries: DataFrame, shards: DataFrame, compare: Callable, k: int, score: str, best: Callable[[Column], Column], cells: int | None = None) -> DataFrame:
+def numbered(shards: DataFrame) -> tuple[DataFrame, int]:
+    """Shards with their cell, from 0 without gaps, and their number. Only the shards' keys go to the task that numbers them."""
+    cells = materialize(shards.select("blob", (F.row_number().over(Window.orderBy("blob")) - 1).alias("cell")), "cells")
+    return shards.join(cells, "blob").drop("blob"), cells.count()
+
+
+def search(queries: DataFrame, shards: DataFrame, compare: Callable, k: int, score: str, best: Callable[[Column], Column]) -> DataFrame:
     """query_id, rank, vec_id, score: the best k of what compare(query blob, shard row) yields as (query, vec, score) arrays.
 
-    queries and shards: tables with dim and blobs. cells: by default as many as there are shards, one count() of a table.
+    queries and shards: tables with blob, dim and what compare needs.
     """
-    cells = cells or max(1, shards.count())
-    spread = queries.withColumn("cell", F.explode(F.sequence(F.lit(0), F.lit(cells - 1))))
-    named = [F.col(c).alias(f"shard_{c}") for c in shards.columns if c != "dim"]
-    placed = shards.select("dim", *named, F.pmod(F.xxhash64("ids"), F.lit(cells)).cast("int").alias("cell"))
+    placed, cells = numbered(shards)
+    spread = queries.drop("blob").withColumn("cell", F.explode(F.sequence(F.lit(0), F.lit(max(1, cells) - 1))))
+    placed = placed.select("dim", "cell", *[F.col(c).alias(f"shard_{c}") for c in placed.columns if c not in ("dim", "cell")])
     pairs = spread.join(placed.hint("shuffle_hash"), ["cell", "dim"])
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -101,7 +110,3 @@ def ids_of(blob: bytes) -> np.ndarray:
 
 def rows_of(blob: bytes, dim: int, dtype: str) -> np.ndarray:
     return np.frombuffer(blob, dtype).reshape(-1, dim)
-
-
-def by_ceiling(n: int, size: int) -> int:
-    return max(1, math.ceil(n / size))
