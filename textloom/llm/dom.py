@@ -1,8 +1,9 @@
 """A forgiving HTML reader: a tree of structural elements in page order, and blocks of text under them.
 
-Inline elements aren't nodes: their text belongs to the nearest structural element, and links are counted. Every start or
-end of a structural element ends a block. Elements that never hold readable text (scripts, styles, the head's title and
-the like) are skipped whole. Missing end tags are implied as HTML implies them.
+Inline elements aren't nodes: their text belongs to the nearest structural element, and links are counted. So do formulas
+and drawings, with all their own elements, and what embedded media hold for readers that can't show them. Every start or
+end of a structural element ends a block. Elements whose content a page doesn't show as text (scripts, styles, the head's
+title, form controls, frames, inert templates) are skipped whole. Missing end tags are implied as HTML implies them.
 """
 
 from __future__ import annotations
@@ -13,12 +14,16 @@ from dataclasses import dataclass, field
 
 # Fixed values of HTML: elements without content, elements whose content isn't markup, inline elements, and what an end tag closes.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SKIPPED = frozenset("script style title textarea noscript template svg math iframe object select canvas audio video".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+SKIPPED = frozenset("script style title textarea template iframe select".split())
+FOREIGN = frozenset("math svg".split())
+INLINE = frozenset("a abbr acronym audio b bdi bdo big br canvas cite code data del dfn em font i img ins kbd label mark object q rp rt ruby s samp small span strike strong sub sup time tt u var video wbr".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "tbody": {"thead", "tbody", "tr", "td", "th"}, "tfoot": {"tbody", "tr", "td", "th"}, "option": {"option"}}
 LIMITS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "tbody": {"table"}, "tfoot": {"table"}, "option": {"select"}}
 
+#: These end a formula or drawing that wasn't closed.
+BREAKS_OUT = CLOSES_P | frozenset(CLOSED_BY) | {"html", "body", "noscript"}
+
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?>[^>"']+|"[^"]*"|'[^']*')*+|[^>]*)>""", re.S)
 ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role|itemprop|rel|aria-label|hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
@@ -55,7 +60,7 @@ def read(source: str) -> Page:
         x.append(() if x is page.tokens else -1 if x is page.parent else 0)
     stack: list[tuple[str, int]] = [("#root", 0)]
     held: list[str] = []
-    linked, in_link = 0, 0
+    linked, in_link, foreign = 0, 0, 0
 
     def close_block() -> None:
         nonlocal linked
@@ -98,6 +103,13 @@ def read(source: str) -> Page:
                 at = end.end() if end else n if tag in ("script", "style", "textarea", "title") else at
             held.append(" ")
             continue
+        if tag in FOREIGN:
+            foreign = max(0, foreign - 1) if closing else foreign + (not found[3].endswith("/"))
+            continue
+        if foreign and tag not in BREAKS_OUT:
+            held.append(" " if tag in ("text", "tspan", "desc", "mtext") else "")
+            continue
+        foreign = 0
         if tag in INLINE:
             if tag == "a":
                 in_link = 0 if closing else 1

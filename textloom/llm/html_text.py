@@ -8,7 +8,7 @@ no descendant of a cut node is content, and no second content begins under it.
 
 The trees are fitted here, on pages that a generator makes up with known answers: articles in various containers among
 menus, headers, sidebars, notices, adverts, forms, related links and reader comments. The generator is seeded, so every
-fit gives the same trees.
+fit gives the same trees; the first fit in a shared folder leaves them there for later ones.
 
 Cases: a null or empty page has an empty text; text outside any element hangs on the root; unclosed or crossed tags are
 closed as HTML implies; pages of any length are read whole; repeated rows give equal texts; an empty table gives an empty
@@ -18,6 +18,9 @@ result; columns besides the id, url and page aren't read.
 from __future__ import annotations
 
 import functools
+import hashlib
+import inspect
+import json
 import math
 import random
 from collections import Counter
@@ -26,12 +29,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import boosting
+from textloom.llm import boosting, dom
 from textloom.llm.dom import Page, read
-from textloom.llm.shared import pieces
+from textloom.llm.shared import exists, pieces, shared_folder
 
 # Names that page templates give to what isn't main text, and to what is.
 OTHER = {
@@ -112,7 +115,8 @@ class Maker:
             body = f"<h3>{self.words(1, 3)}</h3>" * (r.random() < 0.6) + (f"<ol>{each}</ol>" if item == "li" else each)
         else:
             body = r.choice([self.sentences(1, 3), f"<p>{self.sentences(1, 2)}</p>", f"<p>{self.words(3, 12)}</p><button>{self.word()}</button>", f"<a href='/x'>{self.words(2, 8)}</a>"])
-        return f"{head}{body}</{tag}>"
+        whole = f"{head}{body}</{tag}>"
+        return f"<noscript>{whole}</noscript>" if kind == "notice" and r.random() < 0.15 else whole
 
     def main_block(self) -> str:
         r, y = self.r, " data-y"
@@ -132,6 +136,8 @@ class Maker:
             return f"<table{y}>" + "".join(f"<tr{y}>" + "".join(f"<td{y}>{self.words(1, 3)}</td>" for _ in range(3)) + "</tr>" for _ in range(r.randint(2, 4))) + "</table>"
         if kind < 0.95:
             return f"<pre{y}>{self.sentences(1, 3)}</pre>"
+        if kind < 0.955:
+            return f"<noscript{y}><p{y}>{self.sentences(1, 6)}</p></noscript>"
         if kind < 0.97:
             return f"<figure{y}><img src='/i.png'><figcaption{y}>{self.words(2, 10)}</figcaption></figure>"
         return f"<div{y}>{self.sentences(1, 6)}</div>"
@@ -290,6 +296,19 @@ def model(pages: int = 1000, seed: int = 11) -> tuple[Lexicon, boosting.Forest]:
     return lexicon, boosting.fit(features([p for p, _ in rest], lexicon), np.concatenate([y for _, y in rest]).astype(float))
 
 
+def stored_model(spark: SparkSession) -> tuple[Lexicon, boosting.Forest]:
+    """model(), from the shared folder if it is there; else it is fitted and left there. Its name has the sources it comes from."""
+    sources = "".join(inspect.getsource(x) for x in (dom, boosting, Maker, Lexicon, labelled, features, model.__wrapped__))
+    path = f"{shared_folder(spark)}/textloom/html-trees-{hashlib.sha256(sources.encode()).hexdigest()[:16]}"
+    if exists(spark, f"{path}/_SUCCESS"):
+        held = json.loads(spark.read.parquet(path).first().model)
+        return Lexicon(held["tags"], held["tokens"]), boosting.Forest(*(np.array(held[x]) for x in ("feature", "threshold", "leaf")), held["base"])
+    lexicon, forest = model()
+    held = {"tags": lexicon.tags, "tokens": lexicon.tokens, "feature": forest.feature.tolist(), "threshold": forest.threshold.tolist(), "leaf": forest.leaf.tolist(), "base": forest.base}
+    spark.createDataFrame([(json.dumps(held),)], "model string").coalesce(1).write.mode("overwrite").parquet(path)
+    return lexicon, forest
+
+
 def main_text(pages: list[Page], lexicon: Lexicon, forest: boosting.Forest) -> list[str]:
     odds = forest.margin(features(pages, lexicon))
     out, at = [], 0
@@ -302,7 +321,7 @@ def main_text(pages: list[Page], lexicon: Lexicon, forest: boosting.Forest) -> l
 
 def extract(pages: DataFrame, id_column: str = "page_id", url_column: str = "url", html_column: str = "html") -> DataFrame:
     """id, url, text and n_chars (code points of the text) of every page. The trees (some 100 KB) go along with the task."""
-    lexicon, forest = model()
+    lexicon, forest = stored_model(pages.sparkSession)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -2,21 +2,25 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset.
+    """The folder that driver and executors share: spark.checkpoint.dir.
 
-    A local session without the setting (tests) gets its own temporary folder, once per session.
+    A local session without the setting, whose driver and executors are one process, gets its own temporary folder, once
+    per session. On a cluster the setting is needed.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and the executors share")
         folder = getattr(spark, "_textloom_shared", None) or "file://" + tempfile.mkdtemp(prefix="textloom-")
         spark._textloom_shared = folder
     return folder.rstrip("/")
@@ -34,13 +38,14 @@ def materialize(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a file or folder of any file system that Spark reads is there."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
 
 
-def map_arrow(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """mapInArrow over batches. function may yield dicts of columns; they become batches of the given Spark schema."""
-    return df.mapInArrow(function, schema)
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def pieces(batch: pa.RecordBatch, text: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
