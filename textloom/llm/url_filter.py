@@ -11,6 +11,7 @@ result. Columns of the input other than the id and the url aren't read, so their
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Rules are broadcast as a trie up to this many bytes of hosts and paths; beyond, they're joined (see `judge`).
+#: Rules are broadcast as a trie of up to this many bytes, as measured; beyond, they're joined (see `judge`).
 MAX_TRIE_BYTES = 64 << 20
 
 
@@ -57,6 +58,17 @@ def build(rules: list[tuple[str, str, str]]) -> Node:
     return root
 
 
+def size_of(root: Node) -> int:
+    """Bytes of a trie in memory: its nodes, tables, lists and texts."""
+    total, stack = 0, [root]
+    while stack:
+        node = stack.pop()
+        parts = [node, node.__dict__, node.hosts, node.paths, node.tails, *node.hosts, *node.paths, *(x for tail, found in node.tails for x in (tail, found, found[0]))]
+        total += sum(map(sys.getsizeof, parts + ([node.here, node.here[0]] if node.here else [])))
+        stack += [*node.hosts.values(), *node.paths.values()]
+    return total
+
+
 def _by_path(node: Node, parts: list[str]) -> tuple[str, str] | None:
     best = None
     for part in parts:
@@ -88,16 +100,19 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
 def judge(pages: DataFrame, rules: list[tuple[str, str, str]], id_column: str = "page_id", url_column: str = "url", default: str = "allow", max_trie_bytes: int = MAX_TRIE_BYTES) -> DataFrame:
     """id, host, path, rule (null if none fits) and verdict of every row.
 
-    The trie goes to every task, which is sound as the rules' bytes are checked against max_trie_bytes. More rules than
-    that are joined on (host suffix, path prefix) instead, with the same result.
+    The trie is broadcast, which is sound as its bytes are measured against max_trie_bytes. More rules than that are joined
+    on (host suffix, path prefix) instead, with the same result.
     """
     host, path = host_and_path(pages[url_column])
     parsed = pages.select(pages[id_column].alias(id_column), host.alias("host"), path.alias("path"))
-    if sum(len(h) + len(p) for _, h, p in rules) > max_trie_bytes:
+    # a trie never takes fewer bytes than its rules' texts, so it isn't built in vain
+    root = None if sum(len(h) + len(p) for _, h, p in rules) > max_trie_bytes else build(rules)
+    if root is None or size_of(root) > max_trie_bytes:
         return _joined(parsed, rules, id_column, default)
-    root = build(rules)
+    held = pages.sparkSession.sparkContext.broadcast(root)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        root = held.value
         for batch in batches:
             found = [longest(root, h, p) or (None, default) for h, p in zip(batch["host"].to_pylist(), batch["path"].to_pylist())]
             yield pa.RecordBatch.from_arrays(
