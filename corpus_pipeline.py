@@ -36,7 +36,7 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 STAGES = [("quality", quality_stage), ("near_dup", near_dup_stage), ("suffix_dedup", suffix_dedup_stage), ("packing", packing_stage)]
 
-#: The stages run trained and iterative operators that SQL can't express; tests hold each against brute force.
+#: The stages run trained and iterative operators that SQL can't express; a test holds each stage's rows against loops.
 ORACLE_SQL = None
 
 

@@ -120,7 +120,8 @@ def normalized(df: DataFrame, raw_column: str = "raw_complexity", pre_column: st
     rows = df.withColumn("_raw", value)
     known = rows.select("_raw").where("_raw is not null").distinct().withColumn("_label", F.when(F.col("_raw").isin(*LABELS), F.col("_raw")).otherwise(label_of(F.col("_raw"))))
     known = checkpointed(known)
-    if known.where(F.length("_raw") <= LONG).count() == known.limit(FEW + 1).count() <= FEW:
+    n, longest = known.agg(F.count("*"), F.max(F.length("_raw"))).first()
+    if n <= FEW and (longest or 0) <= LONG:
         known = F.broadcast(known)
     out = rows.join(known, "_raw", "left").withColumn("label", F.col("_label"))
     reason = F.when(F.coalesce("_raw", F.lit("")) == "", "missing").when(F.col("label").isNull(), "no class fits")
