@@ -1,13 +1,17 @@
 """Near-duplicates: improved consistent weighted sampling over TF-IDF shingles, banded, verified by weighted Jaccard.
 
 A document is a weighted set of its shingles of five words (split at ASCII white space). A shingle's weight is its count
-times 1 + ln(N / df) / ln(N), between 1 and 2, so that boilerplate weighs less, but no more than twice less than what is
-rare. Document frequencies are counted over all documents, in a sketch of 2**20 counters: a shingle's counter less the
-median counter, which is what unrelated shingles add. The sketch's size is fixed, and so is what goes to the driver.
+times 1 + ln(N / df) / ln(N / floor), between 1 and 2, so that boilerplate weighs less, but no more than twice less than
+what is rare. Document frequencies are counted over all documents, in a sketch of 2**20 counters: a shingle's counter less
+the median counter, which is what unrelated shingles add. What they add varies, so a frequency below the floor, the 99th
+percentile of all counters less the median, can't be told from nothing: such shingles are rare and weigh 2, all alike. The
+floor grows with the root of N, so as a share of N it falls: the larger the corpus, the finer the shares that are told
+apart. The sketch's size is fixed, and so is what goes to the driver.
 
 1. Every text gets a digest and SAMPLES consistent weighted samples: two documents agree in a sample with the probability
    of their weighted Jaccard similarity. ROWS samples make a band's key.
-2. Equal texts collapse to their smallest id. The others meet in buckets of equal band keys.
+2. Equal texts collapse to their smallest id; a text that many share is dealt out to all tasks for that. The others meet in
+   buckets of equal band keys.
 3. First, each document of a bucket picks the smallest one there that agrees in at least AGREE samples; the picked pairs are
    verified on whole texts, which joins large groups to a few stars.
 4. Then every bucket that still has several components is joined inside: a document is verified against the documents of
@@ -41,7 +45,7 @@ from pyspark.sql import functions as F
 
 from textloom.llm.components import components
 from textloom.llm.hashing import Rolling, U, mixed
-from textloom.llm.shared import materialize, new_path, pieces
+from textloom.llm.shared import looked_up, materialize, new_path, pieces
 
 WORDS, THRESHOLD = 5, 0.8
 BANDS, ROWS, AGREE = 12, 3, 20
@@ -101,6 +105,43 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
     return same / (float(a[1].sum()) + float(b[1].sum()) - same)
 
 
+def likeness(sets: list[tuple[np.ndarray, np.ndarray]], columns: int = 4096) -> np.ndarray:
+    """similarity() of every two sets, but for rounding: a product of matrices over what several sets hold.
+
+    The smaller of two weights of a shingle is the sum of the steps up to it among all weights that the sets give it; a
+    set has a one for each step up to its own weight. Matrices have `columns` steps at once.
+    """
+    n = len(sets)
+    owner = np.repeat(np.arange(n), [len(k) for k, _ in sets])
+    keys, weights = np.concatenate([k for k, _ in sets]), np.concatenate([w for _, w in sets]).astype(np.float64)
+    order = np.lexsort((weights, keys))
+    keys, weights, owner = keys[order], weights[order], owner[order]
+    new_key = np.append(True, keys[1:] != keys[:-1])
+    new_step = new_key | np.append(True, weights[1:] != weights[:-1])
+    heads = np.flatnonzero(new_step)
+    step = np.cumsum(new_step) - 1  # of each entry
+    rise = np.where(new_key[heads], weights[heads], weights[heads] - np.append(0.0, weights[heads][:-1]))
+    first = np.maximum.accumulate(np.where(new_key, step, 0))  # the first step of each entry's shingle
+    many = step - first + 1
+    who = np.repeat(owner, many)
+    which = np.repeat(first - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
+    shared = np.bincount(which, minlength=len(heads)) > 1
+    on = shared[which]
+    who, which = who[on], (np.cumsum(shared) - 1)[which[on]]
+    rise = rise[shared]
+    order = np.argsort(which, kind="stable")
+    who, which = who[order], which[order]
+    same = np.zeros((n, n))
+    for start in range(0, len(rise), columns):
+        a, b = np.searchsorted(which, (start, start + columns))
+        part = np.zeros((n, min(columns, len(rise) - start)))
+        part[who[a:b], which[a:b] - start] = 1.0
+        same += (part * rise[start : start + columns]) @ part.T
+    total = np.array([float(w.sum()) for _, w in sets])
+    np.fill_diagonal(same, total)
+    return same / (total[:, None] + total - same)
+
+
 @functools.lru_cache(maxsize=1)
 def draws() -> tuple[np.ndarray, np.ndarray]:
     """Quantiles of the Gamma(2, 1) distribution at 2**16 even places, and their logarithms."""
@@ -156,7 +197,7 @@ def texts_of(documents: DataFrame, id_column: str, text_column: str) -> DataFram
 
 
 def inverse_frequencies(texts: DataFrame) -> np.ndarray:
-    """1 + ln(N / df) / ln(N) by counter; 4 MB, whatever the corpus."""
+    """1 + ln(N / df) / ln(N / floor) by counter; 4 MB, whatever the corpus."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, n = np.zeros(COUNTERS, np.int64), 0
@@ -185,8 +226,10 @@ def inverse_frequencies(texts: DataFrame) -> np.ndarray:
     for row in rows:
         counts[row.part], n = np.frombuffer(row.counts, "<i8"), max(2, row.n)
     counts = counts.ravel()
-    df = np.clip(counts - np.median(counts), 1, n)
-    return (1 + np.log(n / df) / np.log(n)).astype(np.float32)
+    middle = np.median(counts)
+    floor = max(1.0, min(float(np.quantile(counts, 0.99) - middle), n / 2))
+    df = np.clip(counts - middle, floor, n)
+    return (1 + np.log(n / df) / np.log(n / floor)).astype(np.float32)
 
 
 def signatures(texts: DataFrame, idf) -> DataFrame:
@@ -317,13 +360,23 @@ def inside(placed: DataFrame, texts: DataFrame, idf, threshold: float) -> DataFr
                     sets[i] = weighted(shingles([zstandard.decompress(part["text"][i])])[0], weights)
                 return sets[i]
 
+            number, met = np.array(component), []
             for i in range(1, len(ids)):
-                agree = (sample[:i] == sample[i]).sum(axis=1) * ((sides[:i] != sides[i]) | (sides[i] == 0))
-                for j in np.flatnonzero(agree >= AGREE)[np.argsort(-agree[agree >= AGREE], kind="stable")].tolist():
-                    x, y = top(component[i]), top(component[j])
-                    if x != y and (s := similarity(of(i), of(j))) >= threshold:
-                        up[x] = y
-                        found.append((ids[i], ids[j], s))
+                agree = (sample[:i] == sample[i]).sum(axis=1) * ((sides[:i] != sides[i]) | (sides[i] == 0)) * (number[:i] != number[i])
+                j = np.flatnonzero(agree >= AGREE)
+                met.append((np.full(len(j), i), j, agree[j]))
+            first, second, agree = (np.concatenate(x) for x in zip(*met))
+            if len(first) > 8 * len(ids):  # then all at once costs less
+                used = np.unique(np.concatenate([first, second]))
+                alike = likeness([of(i) for i in used.tolist()])
+                on = alike[np.searchsorted(used, first), np.searchsorted(used, second)] >= threshold - 1e-9
+                first, second, agree = first[on], second[on], agree[on]
+            for at in np.lexsort((second, -agree, first)).tolist():
+                i, j = int(first[at]), int(second[at])
+                x, y = top(component[i]), top(component[j])
+                if x != y and (s := similarity(of(i), of(j))) >= threshold:
+                    up[x] = y
+                    found.append((ids[i], ids[j], s))
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found), (pa.int64(), pa.int64(), pa.float64()))], names=["a", "b", "similarity"])
 
@@ -394,14 +447,27 @@ def verified(pairs: DataFrame, texts: DataFrame, idf) -> DataFrame:
     return rows.repartition("tile").sortWithinPartitions("tile", "kind").mapInArrow(compared, "a long, b long, similarity double")
 
 
+def with_least(signed: DataFrame) -> DataFrame:
+    """doc, representative of the documents whose text others have too: the smallest id with an equal text."""
+    return looked_up(signed.select("digest", "doc"), "digest", "doc", F.min("doc"), "representative").select("doc", "representative").distinct()
+
+
 def links(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
-    """(doc, representative: the smallest id with an equal text), (a, b, similarity) of verified links between representatives."""
+    """(doc, representative: the smallest id with an equal text, if others have that), (a, b, similarity) of verified links
+    between representatives."""
+    return _links(*_signed(documents, id_column, text_column), threshold)
+
+
+def _signed(documents: DataFrame, id_column: str, text_column: str) -> tuple[DataFrame, object, DataFrame]:
+    """Texts, the broadcast weights, and the stored signatures."""
     spark = documents.sparkSession
     texts = texts_of(documents, id_column, text_column)
     idf = spark.sparkContext.broadcast(inverse_frequencies(texts))
-    signed = materialize(signatures(texts, idf), "signatures")
-    groups = signed.groupBy("digest").agg(F.min("doc").alias("representative"))
-    copies = materialize(signed.select("doc", "digest").join(groups, "digest").select("doc", "representative").distinct(), "copies")
+    return texts, idf, materialize(signatures(texts, idf), "signatures")
+
+
+def _links(texts: DataFrame, idf, signed: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    copies = materialize(with_least(signed), "copies")
     firsts = signed.groupBy("digest").agg(F.min("doc").alias("doc"), F.first("sample").alias("sample"), F.first("bands").alias("bands"))
     keyed = firsts.select("doc", "sample", F.explode("bands").alias("key"))
     sizes = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("doc").alias("least"), F.max("doc").alias("most"), F.min(F.struct("doc", "sample", F.col("doc").alias("component"))).alias("lead")).where("least <> most")
@@ -434,10 +500,11 @@ def links(documents: DataFrame, id_column: str = "doc_id", text_column: str = "t
 
 def classes(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """id, class_id (the smallest id of its class) of every document with an id."""
-    copies, found = links(documents, id_column, text_column, threshold)
+    texts, idf, signed = _signed(documents, id_column, text_column)
+    copies, found = _links(texts, idf, signed, threshold)
     all_links = copies.select(F.col("doc").alias("a"), F.col("representative").alias("b")).unionByName(found.select("a", "b"))
     whole = components(all_links)
-    out = copies.select("doc").distinct().join(whole, F.col("doc") == F.col("node"), "left")
+    out = signed.select("doc").distinct().join(whole, F.col("doc") == F.col("node"), "left")
     return out.select(F.col("doc").alias(id_column), F.coalesce("component", "doc").alias("class_id"))
 
 
