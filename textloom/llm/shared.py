@@ -8,7 +8,8 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -48,6 +49,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def looked_up(rows: DataFrame, key: str, by: str, value: Column, name: str) -> DataFrame:
+    """(key, by, name): rows whose key others have too, with an aggregate of their key's rows.
+
+    Keys of more than an even share of the rows are at most as many as there are shares; what each of them aggregates to goes
+    to every share, and its rows are dealt out by `by`. The rest meets by key, of which none has more than a share.
+    """
+    shares = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    several = rows.groupBy(key).agg(F.count("*").alias("_n"), value.alias(name)).where("_n > 1")
+    most = max(256, rows.count() // shares)
+    hot = several.where(F.col("_n") > most).withColumn("_share", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))))
+    dealt = rows.select(key, by, F.pmod(F.xxhash64(by), F.lit(shares)).cast("int").alias("_share"))
+    dealt = dealt.join(hot.select(key, "_share", name, F.lit(True).alias("_met")), [key, "_share"], "left")
+    rest = dealt.where("_met is null").select(key, by).join(several.where(F.col("_n") <= most).select(key, name), key)
+    return dealt.where("_met").select(key, by, name).union(rest.select(key, by, name))
+
+
 def pieces(batch: pa.RecordBatch, text: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of a batch with about `most` bytes of the text column each, and at least one row."""
     column = batch.column(text)
