@@ -243,7 +243,20 @@ def rename_augment(spark, sf):
     return augment.renames(rows, _SCHEMES).select("doc_id", "scheme", "code_sha256", "augmented_from", "source")
 
 
-@query()
+def _renamed(scheme: dict[str, str]) -> str:
+    out = "code"
+    for old, new in scheme.items():
+        out = whole_word(out, old, new)
+    return out
+
+
+@query(with_views("labelled") + f""", s AS (SELECT language, label, count(*) AS n FROM labelled GROUP BY ALL),
+    p AS (SELECT l.*, n, sha256(code) AS sha, row_number() OVER (PARTITION BY l.language, l.label ORDER BY sha256('42:' || sha256(code)), ord) AS r FROM labelled l JOIN s ON l.language = s.language AND l.label = s.label),
+    kept AS (SELECT * FROM p WHERE r <= 40), v AS (SELECT *, unnest(range(10)) AS scheme, unnest([{", ".join(map(_renamed, X.RENAMES))}]) AS new FROM kept WHERE n < 40),
+    t AS (SELECT *, sha256(new) AS nsha, r - 1 + n * list_min(list_filter(range(10), lambda t: (r - 1 + t * n) % 10 = scheme)) AS i FROM v WHERE new <> code),
+    d AS (SELECT t.*, row_number() OVER (PARTITION BY t.language, t.label, nsha ORDER BY i) AS f FROM t LEFT JOIN kept k ON k.language = t.language AND k.label = t.label AND k.sha = nsha WHERE i < 30 * t.n AND k.sha IS NULL),
+    a AS (SELECT *, row_number() OVER (PARTITION BY language, label ORDER BY i) AS place FROM d WHERE f = 1)
+    SELECT id, language, label, source, sha AS code_sha256, NULL AS augmented_from FROM kept UNION ALL SELECT id, language, label, source || '-aug', nsha, sha FROM a WHERE place <= least(40, floor(n * 5.0)) - n""")
 def cell_top_up(spark, sf):
     rows = A.labelled(spark, sf).select("id", "ord", "code", "language", "label", "source")
     return augment.topped_up(rows, cap=40).select("id", "language", "label", "source", "code_sha256", "augmented_from")
