@@ -8,16 +8,21 @@ anchor: equal windows have equal anchors, so the windows of an anchor are a coll
    blocks without moving texts.
 2. Each block sends its distinct anchors. Those of one document only can't be in a repeated window; the others go back
    to the blocks that hold them. Anchors that are in many blocks are marked as hot.
-3. Each block sends the runs of windows that share a repeated anchor, each distinct run once with the places and
-   documents that hold it. Windows of a hot anchor are dealt out by a second anchor as well, so that a common line or passage
-   doesn't land in one task.
+3. Each block finds the runs of windows that share a repeated anchor, and of each distinct run the least document that
+   holds it there. All that a later document of the block holds of the run goes for certain: that is decided in the block
+   and stays with it, as intervals. Only the distinct run, that least document and its places are sent, so what travels of
+   a passage is one document's share per block, however many documents hold it. Windows of a hot anchor are dealt out by a
+   second anchor as well, so that what many blocks share doesn't land in one task.
 4. Per anchor, equal runs of all blocks are merged, and the column-wise construction orders their suffixes. Rows that
    share `width` symbols are equal windows. Where a window's least document is smaller than a run's, the run's place in its
    block goes back to the block.
-5. Each block removes the bytes of these places.
+5. Each block removes the bytes of these places and of its own intervals.
 
-The column-wise construction keeps its two streams in memory, as a collection here is at most COLLECTION bytes, but
-reads and writes them front to back in every round, as files would be.
+Keys are dealt to ranges by their first bits, and a block sends a row per range that it has keys of. So there are at most
+as many rows as blocks times ranges, and never more than keys, which grow with the text.
+
+Strings of the construction are runs of windows, of at most RUN + width - 1 bytes, not whole documents: a round inserts one
+symbol of each string, so there are as many rounds as the longest string has bytes.
 
 Cases: a null text is an empty one; texts of fewer than `width` bytes lose nothing; a null id counts as the largest, so
 null ids don't remove from each other; rows with one id don't remove from each other; equal rows have equal results; an
@@ -45,9 +50,9 @@ WIDTH, K = 50, 24
 #: Bits of an anchor's key. Two anchors with one key only cost the comparison of their windows.
 KEY_BITS = 48
 #: Bytes of text in a block, in what is hashed at once, and in a collection; windows in a run; blocks that make an anchor hot.
-BLOCK, CHUNK, COLLECTION, RUN, HOT = 6 << 20, 1 << 16, 1 << 18, 32, 24
-#: Bytes of text for each range of anchors that one task puts in order.
-RANGE = 12 << 20
+BLOCK, CHUNK, COLLECTION, RUN, HOT = 12 << 20, 1 << 16, 1 << 18, 32, 24
+#: Bytes of text for each range of anchors that is put in order at once, at most.
+RANGE = 16 << 20
 LAST = np.iinfo(np.int64).max
 ROLLING = Rolling(1)
 
@@ -192,8 +197,9 @@ class Block:
         return Windows(self.data, self.starts, self.sizes, width)
 
     def fragments(self, wanted: np.ndarray, hot: np.ndarray, width: int):
-        """Distinct runs by key and content, ascending by key: keys, contents, windows, and where each run's occurrences begin
-        (and the end); and the occurrences, run after run: first byte, and order of the document."""
+        """Distinct runs by key and content, ascending by key: keys, contents, windows, least document, and where the run's
+        places in that document begin (and the end); those places, run after run; and the places (begin, end) of what
+        later documents hold of these runs, ascending, merged where they touch."""
         found = []
         for first, count, key, document in self.windows(width).runs(wanted, hot):
             low = int(self.starts[document[0]])
@@ -202,7 +208,7 @@ class Block:
             found.append((first, count, key, document, ROLLING.substrings(ROLLING.prefix(data), first - low, ends)))
         if not found:
             none = np.empty(0, np.int64)
-            return none.astype(U), [], none, np.zeros(1, np.int64), none, none
+            return none.astype(U), [], none, none, np.zeros(1, np.int64), none, none, none
         place, count, key, owner, content = (np.concatenate(x) for x in zip(*found))
         # Equal runs of a block: equal 48 bits of key, sizes, and 64 bits of hash. Across blocks, contents are compared themselves.
         rank = np.lexsort((content, count, key))
@@ -214,19 +220,50 @@ class Block:
         lead = rank[heads]
         raw = self.data.tobytes()
         contents = [raw[f : f + c + width - 1] for f, c in zip(place[lead].tolist(), count[lead].tolist())]
-        return key[lead], contents, count[lead], np.append(heads, len(rank)), place[rank], self.order[owner[rank]]
+        order = self.order[owner[rank]]
+        least = np.minimum.reduceat(order, heads)
+        first = order == np.repeat(least, np.diff(np.append(heads, len(rank))))
+        begin, end = merged(place[rank][~first], (place + count)[rank][~first] + width - 1)
+        own = np.cumsum(np.add.reduceat(first, heads, dtype=np.int64))
+        return key[lead], contents, count[lead], least, np.concatenate([[0], own]), place[rank][first], begin, end
+
+
+def merged(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Intervals in order, those that overlap or touch as one."""
+    if not len(begin):
+        return begin, end
+    rank = np.argsort(begin, kind="stable")
+    begin, upto = begin[rank], np.maximum.accumulate(end[rank])
+    new = np.flatnonzero(np.append(True, begin[1:] > upto[:-1]))
+    return begin[new], upto[np.append(new[1:] - 1, len(upto) - 1)]
+
+
+def intervals(begin: np.ndarray, end: np.ndarray) -> bytes:
+    """Ascending intervals as a blob that removed() reads."""
+    blob = packed_keys(begin.astype(U))
+    return len(blob).to_bytes(4, "little") + blob + packed((end - begin).astype("<u4"))
 
 
-def ranges_of(keys: np.ndarray, ranges: int) -> np.ndarray:
-    """Where each range begins in ascending keys, and the end: ranges are equal parts of the key space."""
-    edges = np.array([((1 << KEY_BITS) * i) // ranges for i in range(1, ranges)], U)
-    return np.concatenate([[0], np.searchsorted(keys, edges), [len(keys)]])
+def ranges_of(keys: np.ndarray, bits: int) -> list[tuple[int, int, int]]:
+    """(range, its first key's place, one past its last) of each range that has any of the ascending keys: their first bits."""
+    if not len(keys):
+        return []
+    number = (keys >> U(KEY_BITS - bits)).astype(np.int64)
+    starts = np.flatnonzero(np.append(True, number[1:] != number[:-1]))
+    return list(zip(number[starts].tolist(), starts.tolist(), [*starts[1:].tolist(), len(keys)]))
 
 
 def batch(columns: dict, kinds: list[tuple[str, pa.DataType]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[n], k) for n, k in kinds], names=[n for n, _ in kinds])
 
 
+def even_keys(spark, n: int) -> list[int]:
+    """For each of n partitions a number that Spark's hash partitioning sends there, so that ranges can be dealt evenly."""
+    found = spark.range(24 * n + 64).groupBy(F.pmod(F.hash(F.col("id").cast("int")), F.lit(n)).alias("at")).agg(F.min("id").alias("key")).collect()
+    keys = {r["at"]: r["key"] for r in found}
+    return [keys.get(i, i) for i in range(n)]
+
+
 def blocks_of(documents: DataFrame, id_column: str, text_column: str, keep: list[str]) -> DataFrame:
     """block long, bytes long, data binary: Arrow streams of the kept columns, the order and the text's bytes."""
     taken = {c.lower() for c in keep}
@@ -269,7 +306,7 @@ def in_order(answers: list[dict] | None) -> list[bytes]:
 
 
 def spans(documents: DataFrame, finish, schema: str, width: int = WIDTH, id_column: str = "doc_id", text_column: str = "text", keep: list[str] | None = None, ranges: int | None = None) -> DataFrame:
-    """Apply finish(block, mask of the bytes to remove) -> RecordBatch to every block."""
+    """Apply finish(block, mask of the bytes to remove) -> RecordBatch to every block. ranges: at least so many, a power of two."""
     spark = documents.sparkSession
     keep = keep or [id_column]
     shuffle = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -279,6 +316,10 @@ def spans(documents: DataFrame, finish, schema: str, width: int = WIDTH, id_colu
     blocks = spark.table(name)
     if ranges is None:
         ranges = max(1, -(-(blocks.agg(F.sum("bytes")).first()[0] or 0) // RANGE))
+    bits = (ranges - 1).bit_length()
+    ranges = 1 << bits
+    tasks = max(1, min(ranges, 4 * shuffle))
+    deal = even_keys(spark, tasks)
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
@@ -298,11 +339,8 @@ def spans(documents: DataFrame, finish, schema: str, width: int = WIDTH, id_colu
                 starts = np.flatnonzero(new)
                 several = np.logical_or.reduceat(shared, starts)
                 keys = keys[starts]
-                edges = ranges_of(keys, ranges)
-                for r in range(ranges):
-                    a, b = edges[r], edges[r + 1]
-                    if a < b:
-                        yield batch({"range": [r], "block": [number], "keys": [packed_keys(keys[a:b])], "several": [packed(several[a:b].view(np.uint8))]}, [("range", pa.int32()), ("block", pa.int64()), ("keys", pa.binary()), ("several", pa.binary())])
+                for r, a, b in ranges_of(keys, bits):
+                    yield batch({"deal": [deal[r % tasks]], "range": [r], "block": [number], "keys": [packed_keys(keys[a:b])], "several": [packed(several[a:b].view(np.uint8))]}, [("deal", pa.int32()), ("range", pa.int32()), ("block", pa.int64()), ("keys", pa.binary()), ("several", pa.binary())])
 
     def by_range(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[dict]]]:
         """Rows of one range after another; they come sorted by range."""
@@ -342,33 +380,37 @@ def spans(documents: DataFrame, finish, schema: str, width: int = WIDTH, id_colu
             marks.append(unpacked(blob[4 + n :], "u1"))
         return np.concatenate(keys), np.concatenate(marks).astype(bool)
 
-    columns = [("range", pa.int32()), ("block", pa.int64()), *[(c, pa.binary()) for c in ("keys", "contents", "counts", "times", "places", "orders")]]
+    columns = [("deal", pa.int32()), ("range", pa.int32()), ("block", pa.int64()), *[(c, pa.binary()) for c in ("keys", "contents", "counts", "least", "times", "places", "local")]]
 
     def fragments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        nothing = dict.fromkeys((n for n, _ in columns), [None])
         for rows in batches:
             for row in rows.to_pylist():
-                keys, contents, counts, heads, places, orders = Block(row["data"]).fragments(*wanted_of(row["answers"]), width)
-                edges = ranges_of(keys, ranges)
-                for r in range(ranges):
-                    a, b = int(edges[r]), int(edges[r + 1])
-                    if a < b:
-                        own = slice(heads[a], heads[b])
-                        yield batch(
-                            {"range": [r], "block": [row["block"]], "keys": [packed_keys(keys[a:b])], "contents": [zstandard.compress(b"".join(contents[a:b]), 1)], "counts": [packed(counts[a:b].astype(np.uint8))],
-                             "times": [packed(np.diff(heads[a : b + 1]).astype("<u4"))], "places": [packed(places[own].astype("<i8"))], "orders": [packed(orders[own].astype("<i8"))]}, columns)
+                keys, contents, counts, least, heads, places, begin, end = Block(row["data"]).fragments(*wanted_of(row["answers"]), width)
+                if len(begin):  # any range passes it on
+                    r = row["block"] % ranges
+                    yield batch(nothing | {"deal": [deal[r % tasks]], "range": [r], "block": [row["block"]], "local": [intervals(begin, end)]}, columns)
+                for r, a, b in ranges_of(keys, bits):
+                    yield batch(
+                        nothing | {"deal": [deal[r % tasks]], "range": [r], "block": [row["block"]], "keys": [packed_keys(keys[a:b])], "contents": [zstandard.compress(b"".join(contents[a:b]), 1)], "counts": [packed(counts[a:b].astype(np.uint8))],
+                         "least": [packed(least[a:b].astype("<i8"))], "times": [packed(np.diff(heads[a : b + 1]).astype("<u4"))], "places": [packed(places[heads[a] : heads[b]].astype("<i8"))]}, columns)
 
     def ordered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [("block", pa.int64()), ("range", pa.int32()), ("blob", pa.binary())]
         for r, rows in by_range(batches):
+            for x in rows:
+                if x["local"] is not None:
+                    yield batch({"block": [x["block"]], "range": [r], "blob": [x["local"]]}, kinds)
+            rows = [x for x in rows if x["local"] is None]
+            if not rows:
+                continue
             seen: dict[bytes, int] = {}  # equal contents have equal keys
             all_keys: list[int] = []
             owners: list[int] = []
             members = []
             for x in rows:
                 contents, at, own = zstandard.decompress(x.pop("contents")), 0, []
-                times = unpacked(x["times"], "<u4").astype(np.int64)
-                orders = unpacked(x["orders"], "<i8")
-                smallest = np.minimum.reduceat(orders, np.cumsum(times) - times)
-                for k, c, least in zip(unpacked_keys(x["keys"]).tolist(), unpacked(x["counts"], "u1").tolist(), smallest.tolist()):
+                for k, c, least in zip(unpacked_keys(x["keys"]).tolist(), unpacked(x["counts"], "u1").tolist(), unpacked(x["least"], "<i8").tolist()):
                     content = contents[at : at + c + width - 1]
                     at += c + width - 1
                     n = seen.setdefault(content, len(seen))
@@ -384,11 +426,9 @@ def spans(documents: DataFrame, finish, schema: str, width: int = WIDTH, id_colu
             stretches = Stretches(least, first, sizes)
             for x, own in zip(rows, members):
                 times = unpacked(x["times"], "<u4").astype(np.int64)
-                begin, end = stretches.covered(np.repeat(own, times), unpacked(x["places"], "<i8"), unpacked(x["orders"], "<i8"), width)
+                begin, end = stretches.covered(np.repeat(own, times), unpacked(x["places"], "<i8"), np.repeat(unpacked(x["least"], "<i8"), times), width)
                 if len(begin):
-                    rank = np.argsort(begin, kind="stable")
-                    blob = packed_keys(begin[rank].astype(U))
-                    yield batch({"block": [x["block"]], "range": [r], "blob": [len(blob).to_bytes(4, "little") + blob + packed((end - begin)[rank].astype("<u2"))]}, [("block", pa.int64()), ("range", pa.int32()), ("blob", pa.binary())])
+                    yield batch({"block": [x["block"]], "range": [r], "blob": [intervals(*merged(begin, end))]}, kinds)
 
     def finished(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
@@ -396,11 +436,11 @@ def spans(documents: DataFrame, finish, schema: str, width: int = WIDTH, id_colu
                 block = Block(row["data"])
                 yield finish(block, removed(block, in_order(row["found"])))
 
-    sorted_by_range = lambda df: df.repartition(max(1, min(ranges, 4 * shuffle)), "range").sortWithinPartitions("range")
-    sent = blocks.select("block", "data").mapInArrow(anchors, "range int, block long, keys binary, several binary")
+    sorted_by_range = lambda df: df.repartition(tasks, "deal").sortWithinPartitions("range")
+    sent = blocks.select("block", "data").mapInArrow(anchors, "deal int, range int, block long, keys binary, several binary")
     back = sorted_by_range(sent).mapInArrow(repeated, "block long, range int, blob binary")
     wanted = answers_by_block(back)
-    runs = blocks.select("block", "data").join(wanted.hint("shuffle_hash"), "block").mapInArrow(fragments, "range int, block long, keys binary, contents binary, counts binary, times binary, places binary, orders binary")
+    runs = blocks.select("block", "data").join(wanted.hint("shuffle_hash"), "block").mapInArrow(fragments, "deal int, range int, block long, keys binary, contents binary, counts binary, least binary, times binary, places binary, local binary")
     covered = sorted_by_range(runs).mapInArrow(ordered, "block long, range int, blob binary")
     found = materialize(answers_by_block(covered).withColumnRenamed("answers", "found"), "covered")
     whole = blocks.select("block", "data").join(found.hint("shuffle_hash"), "block", "left")
@@ -466,7 +506,7 @@ def removed(block: Block, blobs: list[bytes]) -> np.ndarray:
     change = np.zeros(len(block.data) + 1, np.int32)
     for blob in blobs:
         n = int.from_bytes(blob[:4], "little")
-        begin, size = unpacked_keys(blob[4 : 4 + n]).astype(np.int64), unpacked(blob[4 + n :], "<u2")
+        begin, size = unpacked_keys(blob[4 : 4 + n]).astype(np.int64), unpacked(blob[4 + n :], "<u4")
         np.add.at(change, begin, 1)
         np.add.at(change, begin + size, -1)
     return np.cumsum(change[:-1]) > 0
