@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.shared import materialize, new_path
+from textloom.llm.shared import looked_up, materialize, new_path
 
 #: An archive is closed once it has this many bytes.
 ARCHIVE_BYTES = 16 << 20
@@ -205,13 +205,14 @@ def write(pages: DataFrame, id_column: str = "page_id", payload_column: str = "h
     """Write a record per row and return the archives: path string, records long.
 
     Of rows with equal payloads of at least least_bytes bytes, those with the largest id are responses and the others
-    revisits of it. The largest id of each digest comes from an aggregate that is combined before the shuffle; digests
-    with one row only don't go into the join, so a payload that a third of all rows share is a splittable join key.
+    revisits of it. The largest id of a digest is looked up by ids and digests alone, and of a digest that many rows have by
+    rows dealt out by id; payloads move by both, so one that a third of all rows share goes to all tasks.
     """
     rows = pages.select(F.col(id_column).cast("long").alias("id"), F.coalesce(F.col(payload_column), F.lit("")).cast("binary").alias("payload"))
     rows = rows.withColumn("sha1", F.sha1("payload"))
-    tops = rows.where(F.length("payload") >= least_bytes).groupBy("sha1").agg(F.max("id").alias("top"), F.count("*").alias("n")).where("n > 1").select("sha1", "top")
-    paired = rows.join(tops.hint("shuffle_hash"), "sha1", "left").select("id", "payload", "sha1", "top")
+    keys = rows.where(F.length("payload") >= least_bytes).select("sha1", "id").distinct()
+    tops = looked_up(keys, "sha1", "id", F.max("id"), "top").toDF("top_sha1", "top_id", "top")
+    paired = rows.join(tops.hint("shuffle_hash"), (F.col("sha1") == F.col("top_sha1")) & F.col("id").eqNullSafe(F.col("top_id")), "left").select("id", "payload", "sha1", "top")
     folder = new_path(pages.sparkSession, "warc")
 
     def archives(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
