@@ -50,9 +50,9 @@ WIDTH, K = 50, 24
 #: Bits of an anchor's key. Two anchors with one key only cost the comparison of their windows.
 KEY_BITS = 48
 #: Bytes of text in a block, in what is hashed at once, and in a collection; windows in a run; blocks that make an anchor hot.
-BLOCK, CHUNK, COLLECTION, RUN, HOT = 12 << 20, 1 << 16, 1 << 18, 32, 24
+BLOCK, CHUNK, COLLECTION, RUN, HOT = 6 << 20, 1 << 16, 1 << 18, 32, 24
 #: Bytes of text for each range of anchors that is put in order at once, at most.
-RANGE = 16 << 20
+RANGE = 12 << 20
 LAST = np.iinfo(np.int64).max
 ROLLING = Rolling(1)
 
@@ -181,23 +181,24 @@ class Windows:
 class Block:
     """Documents of a block: the Arrow rows, their bytes one after another, and the number that orders each.
 
-    The last two columns are the order and the bytes; the others are kept for the result.
+    The last two columns are the order and the bytes; the others are kept for the result. Bytes are read where Arrow has them.
     """
 
     def __init__(self, blob: bytes):
         with pa.ipc.open_stream(blob) as reader:
-            self.rows = pa.Table.from_batches(reader).combine_chunks()
-        text = one(self.rows.column(self.rows.num_columns - 1))
-        self.sizes = byte_lengths(text).astype(np.int64)
-        self.starts = np.cumsum(self.sizes) - self.sizes
-        self.data = np.frombuffer(b"".join(text.to_pylist()), np.uint8)
-        self.order = one(self.rows.column(self.rows.num_columns - 2)).to_numpy()
+            rows = reader.read_all()
+        text = one(rows.column(rows.num_columns - 1)).cast(pa.binary())
+        ends = np.frombuffer(text.buffers()[1], np.int32, len(text) + 1, 4 * text.offset).astype(np.int64)
+        self.sizes, self.starts = np.diff(ends), ends[:-1] - ends[0]
+        self.data = np.frombuffer(text.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
+        self.order = one(rows.column(rows.num_columns - 2)).to_numpy()
+        self.rows = rows.select(range(rows.num_columns - 2))
 
     def windows(self, width: int) -> Windows:
         return Windows(self.data, self.starts, self.sizes, width)
 
     def fragments(self, wanted: np.ndarray, hot: np.ndarray, width: int):
-        """Distinct runs by key and content, ascending by key: keys, contents, windows, least document, and where the run's
+        """Distinct runs by key and content, ascending by key: keys, a place of each, windows, least document, and where the run's
         places in that document begin (and the end); those places, run after run; and the places (begin, end) of what
         later documents hold of these runs, ascending, merged where they touch."""
         found = []
@@ -208,7 +209,7 @@ class Block:
             found.append((first, count, key, document, ROLLING.substrings(ROLLING.prefix(data), first - low, ends)))
         if not found:
             none = np.empty(0, np.int64)
-            return none.astype(U), [], none, none, np.zeros(1, np.int64), none, none, none
+            return none.astype(U), none, none, none, np.zeros(1, np.int64), none, none, none
         place, count, key, owner, content = (np.concatenate(x) for x in zip(*found))
         # Equal runs of a block: equal 48 bits of key, sizes, and 64 bits of hash. Across blocks, contents are compared themselves.
         rank = np.lexsort((content, count, key))
@@ -218,14 +219,25 @@ class Block:
             new[1:] |= x[rank][1:] != x[rank][:-1]
         heads = np.flatnonzero(new)
         lead = rank[heads]
-        raw = self.data.tobytes()
-        contents = [raw[f : f + c + width - 1] for f, c in zip(place[lead].tolist(), count[lead].tolist())]
         order = self.order[owner[rank]]
         least = np.minimum.reduceat(order, heads)
         first = order == np.repeat(least, np.diff(np.append(heads, len(rank))))
         begin, end = merged(place[rank][~first], (place + count)[rank][~first] + width - 1)
         own = np.cumsum(np.add.reduceat(first, heads, dtype=np.int64))
-        return key[lead], contents, count[lead], least, np.concatenate([[0], own]), place[rank][first], begin, end
+        return key[lead], place[lead], count[lead], least, np.concatenate([[0], own]), place[rank][first], begin, end
+
+
+    def contents(self, places: np.ndarray, sizes: np.ndarray) -> bytes:
+        """The bytes at some places, one after another."""
+        ends = np.cumsum(sizes)
+        return self.data[np.repeat(places - ends + sizes, sizes) + np.arange(int(sizes.sum()))].tobytes()
+
+
+def each(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """Rows, of which only one is held outside Arrow."""
+    for rows in batches:
+        for i in range(rows.num_rows):
+            yield {c: rows[c][i].as_py() for c in rows.schema.names}
 
 
 def merged(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -322,36 +334,35 @@ def spans(documents: DataFrame, finish, schema: str, width: int = WIDTH, id_colu
     deal = even_keys(spark, tasks)
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in batches:
-            for number, blob in zip(rows["block"].to_pylist(), rows["data"].to_pylist()):
-                found, owners = [], []
-                block = Block(blob)
-                for _, _, key, document in block.windows(width).runs():
-                    found.append(key)
-                    owners.append(document)
-                if not found:
-                    continue
-                keys, owner = np.concatenate(found), np.concatenate(owners)
-                rank = np.lexsort((owner, keys))
-                keys, owner = keys[rank], owner[rank]
-                new = np.append(True, keys[1:] != keys[:-1])
-                shared = np.append(False, (keys[1:] == keys[:-1]) & (owner[1:] != owner[:-1]))
-                starts = np.flatnonzero(new)
-                several = np.logical_or.reduceat(shared, starts)
-                keys = keys[starts]
-                for r, a, b in ranges_of(keys, bits):
-                    yield batch({"deal": [deal[r % tasks]], "range": [r], "block": [number], "keys": [packed_keys(keys[a:b])], "several": [packed(several[a:b].view(np.uint8))]}, [("deal", pa.int32()), ("range", pa.int32()), ("block", pa.int64()), ("keys", pa.binary()), ("several", pa.binary())])
+        for row in each(batches):
+            found, owners = [], []
+            block = Block(row["data"])
+            for _, _, key, document in block.windows(width).runs():
+                found.append(key)
+                owners.append(document)
+            if not found:
+                continue
+            keys, owner = np.concatenate(found), np.concatenate(owners).astype(np.int32)
+            del found, owners
+            rank = np.lexsort((owner, keys))
+            keys, owner = keys[rank], owner[rank]
+            new = np.append(True, keys[1:] != keys[:-1])
+            shared = np.append(False, (keys[1:] == keys[:-1]) & (owner[1:] != owner[:-1]))
+            starts = np.flatnonzero(new)
+            several = np.logical_or.reduceat(shared, starts)
+            keys = keys[starts]
+            for r, a, b in ranges_of(keys, bits):
+                yield batch({"deal": [deal[r % tasks]], "range": [r], "block": [row["block"]], "keys": [packed_keys(keys[a:b])], "several": [packed(several[a:b].view(np.uint8))]}, [("deal", pa.int32()), ("range", pa.int32()), ("block", pa.int64()), ("keys", pa.binary()), ("several", pa.binary())])
 
     def by_range(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[dict]]]:
         """Rows of one range after another; they come sorted by range."""
         held, now = [], None
-        for rows in batches:
-            for row in rows.to_pylist():
-                if row["range"] != now and held:
-                    yield now, held
-                    held = []
-                now = row["range"]
-                held.append(row)
+        for row in each(batches):
+            if row["range"] != now and held:
+                yield now, held
+                held = []
+            now = row["range"]
+            held.append(row)
         if held:
             yield now, held
 
@@ -384,16 +395,16 @@ def spans(documents: DataFrame, finish, schema: str, width: int = WIDTH, id_colu
 
     def fragments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         nothing = dict.fromkeys((n for n, _ in columns), [None])
-        for rows in batches:
-            for row in rows.to_pylist():
-                keys, contents, counts, least, heads, places, begin, end = Block(row["data"]).fragments(*wanted_of(row["answers"]), width)
-                if len(begin):  # any range passes it on
-                    r = row["block"] % ranges
-                    yield batch(nothing | {"deal": [deal[r % tasks]], "range": [r], "block": [row["block"]], "local": [intervals(begin, end)]}, columns)
-                for r, a, b in ranges_of(keys, bits):
-                    yield batch(
-                        nothing | {"deal": [deal[r % tasks]], "range": [r], "block": [row["block"]], "keys": [packed_keys(keys[a:b])], "contents": [zstandard.compress(b"".join(contents[a:b]), 1)], "counts": [packed(counts[a:b].astype(np.uint8))],
-                         "least": [packed(least[a:b].astype("<i8"))], "times": [packed(np.diff(heads[a : b + 1]).astype("<u4"))], "places": [packed(places[heads[a] : heads[b]].astype("<i8"))]}, columns)
+        for row in each(batches):
+            block = Block(row.pop("data"))
+            keys, leads, counts, least, heads, places, begin, end = block.fragments(*wanted_of(row["answers"]), width)
+            if len(begin):  # any range passes it on
+                r = row["block"] % ranges
+                yield batch(nothing | {"deal": [deal[r % tasks]], "range": [r], "block": [row["block"]], "local": [intervals(begin, end)]}, columns)
+            for r, a, b in ranges_of(keys, bits):
+                yield batch(
+                    nothing | {"deal": [deal[r % tasks]], "range": [r], "block": [row["block"]], "keys": [packed_keys(keys[a:b])], "contents": [zstandard.compress(block.contents(leads[a:b], counts[a:b] + width - 1), 1)],
+                     "counts": [packed(counts[a:b].astype(np.uint8))], "least": [packed(least[a:b].astype("<i8"))], "times": [packed(np.diff(heads[a : b + 1]).astype("<u4"))], "places": [packed(places[heads[a] : heads[b]].astype("<i8"))]}, columns)
 
     def ordered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [("block", pa.int64()), ("range", pa.int32()), ("blob", pa.binary())]
@@ -431,10 +442,9 @@ def spans(documents: DataFrame, finish, schema: str, width: int = WIDTH, id_colu
                     yield batch({"block": [x["block"]], "range": [r], "blob": [intervals(*merged(begin, end))]}, kinds)
 
     def finished(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in batches:
-            for row in rows.to_pylist():
-                block = Block(row["data"])
-                yield finish(block, removed(block, in_order(row["found"])))
+        for row in each(batches):
+            block = Block(row.pop("data"))
+            yield finish(block, removed(block, in_order(row["found"])))
 
     sorted_by_range = lambda df: df.repartition(tasks, "deal").sortWithinPartitions("range")
     sent = blocks.select("block", "data").mapInArrow(anchors, "deal int, range int, block long, keys binary, several binary")
