@@ -2,6 +2,7 @@
 
 import functools
 import hashlib
+import itertools
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -143,15 +144,15 @@ def plain_alignment(rows):
         raw = (" " + text).encode() if text else b""
         if b"".join(a_table[x] for x in a) != raw or b"".join(map(b_bytes, b)) != raw:
             a, b = [], []
-        ends = lambda ids, size: list(np.cumsum([size(x) for x in ids]))
+        ends = lambda ids, size: list(itertools.accumulate(size(x) for x in ids))
         a_ends, b_ends = ends(a, lambda x: len(a_table[x])), ends(b, lambda x: len(b_bytes(x)))
         a_at, b_at = dict(zip(a_ends, a)), dict(zip(b_ends, b))
         common = sorted(set(a_ends) & set(b_ends))
         links = [(a_at[e], b_at[e]) for e in common]
-        groups, low = [], 0
-        for e in common:
-            groups.append("|".join(",".join(str(x) for x, end in zip(ids, own) if low < end <= e) for ids, own in ((a, a_ends), (b, b_ends))))
-            low = e
+        groups = []
+        a_cuts, b_cuts = ([0, *(own.index(e, k) + 1 for k, e in enumerate(common))] for own in (a_ends, b_ends))
+        for k in range(len(common)):
+            groups.append("|".join(",".join(map(str, ids[cuts[k] : cuts[k + 1]])) for ids, cuts in ((a, a_cuts), (b, b_cuts))))
         count.update(links)
         texts.append((i, a, b, links, ";".join(groups)))
     best = defaultdict(int)
