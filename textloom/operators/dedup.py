@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom.functions.text import let, words
+from textloom.operators import tiles
 from textloom.operators.store import checkpointed
 
 #: Words of a shingle, bands and rows: of 64 permutations 4 x 15 has the least error at the threshold 0.85.
@@ -115,33 +116,27 @@ def near(df: DataFrame, code: str = "code", order: str = "ord", within: tuple[st
     return df.join(kept, order, "left_semi")
 
 
-def verified(df: DataFrame, threshold: float = 0.85, code: str = "code", order: str = "ord") -> DataFrame:
-    """(a, b, similarity) of rows whose shingle sets' Jaccard similarity reaches the threshold, among rows that share their
-    least shingle. Texts are compared once: equal texts were to be collapsed before. Pairs that don't share it are lost;
-    similar() has all."""
-    sets = df.select(F.col(order).alias("o"), shingles(F.col(code)).alias("s")).where(F.size("s") > 0).withColumn("block", F.array_min("s"))
-    a, b = sets.toDF("a", "sa", "block"), sets.toDF("b", "sb", "block")
-    both = a.join(b, "block").where("a < b")
-    shared = F.size(F.array_intersect("sa", "sb"))
-    rows = both.select("a", "b", (shared.cast("double") / (F.size("sa") + F.size("sb") - shared)).alias("similarity"))
-    return rows.where(F.col("similarity") >= threshold)
-
-
-def similar(df: DataFrame, threshold: float = 0.85, code: str = "code", order: str = "ord") -> DataFrame:
+def similar(df: DataFrame, threshold: float = 0.85, code: str = "code", order: str = "ord", most: int = tiles.MOST) -> DataFrame:
     """(a, b, similarity) of all rows whose shingle sets' Jaccard similarity reaches the threshold, above 0. Orders are unique.
 
     A pair that reaches it shares at least ceil(threshold * n) of the n shingles of either set, so it shares one of the
-    n - ceil(threshold * n) + 1 rarest of both.
+    n - ceil(threshold * n) + 1 rarest of both. Rows meet on those, on a shingle of many rows in tiles. Of a pair the first
+    shingle in common says how many there can be from there on, and sizes how many there must be; shingles of both sides go
+    only where that leaves a pair open.
     """
-    sets = df.select(F.col(order).alias("o"), shingles(F.col(code)).alias("s")).where(F.size("s") > 0)
-    tokens = sets.select("o", F.size("s").alias("n"), F.explode(F.transform("s", lambda x: F.xxhash64(x))).alias("h"))
+    sets = df.select(F.col(order).alias("o"), F.array_sort(F.transform(shingles(F.col(code)), lambda x: F.xxhash64(x))).alias("s")).where(F.size("s") > 0)
+    sets = checkpointed(sets)
+    tokens = sets.select("o", F.size("s").alias("n"), F.explode("s").alias("h"))
     seen = tokens.join(tokens.groupBy("h").agg(F.count("*").alias("df")), "h")
     ordered = seen.groupBy("o", "n").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("p"))
     length = F.col("n") - F.ceil(F.col("n") * threshold - 1e-9).cast("int") + 1
-    rare = ordered.select("o", "n", F.explode(F.slice("p", F.lit(1), F.least(length, F.col("n")))).alias("p")).where("p.df > 1").select("o", "n", "p.h")
-    both = rare.toDF("a", "na", "h").join(rare.toDF("b", "nb", "h"), "h").where("a < b")
-    met = both.where(F.least("na", "nb") >= F.greatest("na", "nb") * threshold - 1e-9).select("a", "b").distinct()
-    whole = met.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
+    rare = ordered.select("o", "n", F.posexplode(F.slice("p", F.lit(1), F.least(length, F.col("n")))).alias("at", "p")).where("p.df > 1").select("o", "n", "at", "p.h")
+    both = tiles.paired(rare, ["h"], "o", most)
+    fits = F.least("x_n", "y_n") >= F.greatest("x_n", "y_n") * threshold - 1e-9
+    met = both.where(fits).groupBy(F.col("x_o").alias("a"), F.col("y_o").alias("b"), "x_n", "y_n").agg(F.min("x_at").alias("i"), F.min("y_at").alias("j"))
+    left = F.least(F.col("x_n") - F.col("i"), F.col("y_n") - F.col("j"))
+    open_ = met.where(left >= (F.col("x_n") + F.col("y_n")) * (threshold / (1 + threshold)) - 1e-6).select("a", "b")
+    whole = open_.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
     shared = F.size(F.array_intersect("sa", "sb"))
     rows = whole.select("a", "b", (shared.cast("double") / (F.size("sa") + F.size("sb") - shared)).alias("similarity"))
     return rows.where(F.col("similarity") >= threshold)

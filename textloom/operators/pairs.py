@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom.functions import vectors as V
+from textloom.operators import tiles
 from textloom.operators.rank import hash_order, ranked
 from textloom.operators.store import checkpointed
 from textloom.schemas import LABELS, PAIR_LABELS, label_index, pair_label, tier
@@ -33,16 +34,17 @@ def finished(pairs: DataFrame) -> DataFrame:
     return pairs.withColumn("ternary", pair_label(F.col("label_a"), F.col("label_b"))).withColumn("tokens_combined", (F.coalesce("tokens_a", F.lit(0)) + F.coalesce("tokens_b", F.lit(0))).cast("int"))
 
 
-def same_problem(points: DataFrame) -> DataFrame:
+def same_problem(points: DataFrame, most: int = tiles.MOST, codes: bool = True) -> DataFrame:
     """Every unordered pair of snippets of one problem, language and split. Their number is the result's own size.
 
-    Pairs are made of numbers and labels; codes are joined to the pairs by ord, and only if they're asked for.
+    Pairs are made of numbers and labels, a hot problem's in tiles. codes: whether code_a and code_b are joined to
+    the pairs, by ord.
     """
     keep = ["ord", "label", "tokens"]
     own = points.where("problem_id is not null").select("split", "language", "problem_id", *keep)
-    side = lambda name: own.select("split", "language", "problem_id", *[F.col(c).alias(f"{name}_{c}") for c in keep])
-    both = side("x").join(side("y"), ["split", "language", "problem_id"]).where("x_ord < y_ord")
-    return with_codes(finished(both.select("split", "language", *_sides(keep), F.lit(True).alias("same_problem"))), points)
+    both = tiles.paired(own, ["split", "language", "problem_id"], "ord", most)
+    out = finished(both.select("split", "language", *_sides(keep), F.lit(True).alias("same_problem")))
+    return with_codes(out, points) if codes else out
 
 
 def with_codes(pairs: DataFrame, points: DataFrame) -> DataFrame:

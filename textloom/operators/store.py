@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,3 +27,10 @@ def checkpointed(df: DataFrame) -> DataFrame:
     if not context._jsc.sc().getCheckpointDir().isDefined():
         context.setCheckpointDir(checkpoint_folder(spark))
     return df.checkpoint()
+
+
+def stored(df: DataFrame, what: str) -> DataFrame:
+    """df as a table in the shared folder, read again: what later jobs read many times, and lost executors read anew."""
+    path = f"{checkpoint_folder(df.sparkSession)}/textloom/{what}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -1,4 +1,4 @@
-"""Heads on feature vectors: a registry of MLlib estimators, class weights, stacking, out-of-fold scores, sweeps and inference."""
+"""Heads on feature vectors: boosted trees on histograms, a registry of MLlib estimators, class weights, stacking, out-of-fold scores, sweeps and inference."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ import functools
 import itertools
 import json
 from collections.abc import Callable, Iterable
+from dataclasses import replace
 
 from pyspark.ml import Estimator, Model
 from pyspark.ml import classification as C
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 
 from textloom.operators import counts, metrics
 from textloom.operators import pairs as pairs_
+from textloom.plans import trees
 from textloom.sources import sinks
 from textloom.sources.readers import exists
 
@@ -42,13 +44,13 @@ def _logreg(seed: int) -> Estimator:
     return _columns(C.LogisticRegression(maxIter=500, regParam=1.0, standardization=False, tol=1e-6))
 
 
-@head("xgb")
-def _xgb(seed: int) -> Estimator:
+@head("gbt")
+def _gbt(seed: int) -> Estimator:
     return _columns(C.GBTClassifier(seed=seed, maxIter=30, maxDepth=4, stepSize=0.2))
 
 
-@head("lgbm")
-def _lgbm(seed: int) -> Estimator:
+@head("forest")
+def _forest(seed: int) -> Estimator:
     return _columns(C.RandomForestClassifier(seed=seed, numTrees=60, maxDepth=8))
 
 
@@ -64,8 +66,15 @@ def weighted(df: DataFrame) -> DataFrame:
     return out.withColumn("vector", array_to_vector("features"))
 
 
-def fit(name: str, train: DataFrame, seed: int = 42, params: dict | None = None) -> Model:
-    """A head on rows (y, features), with the estimator's own settings for the head but for `params`."""
+#: Heads on gradient histograms, with their settings.
+TREES: dict[str, trees.Settings] = {"lgbm": trees.LEAFWISE, "xgb": trees.DEPTHWISE}
+
+
+def fit(name: str, train: DataFrame, seed: int = 42, params: dict | None = None, val: DataFrame | None = None) -> Model | trees.Model:
+    """A head on rows (y, features), with the head's own settings but for `params`. val: rows that tell when to stop, for heads that can."""
+    if name in TREES:
+        rows = weighted(train).drop("vector")
+        return trees.fit(rows, replace(TREES[name], seed=seed, **(params or {})), None if val is None else weighted(val).drop("vector"))
     estimator = HEADS[name](seed)
     for p, value in (params or {}).items():
         estimator = estimator.copy({estimator.getParam(p): value})
@@ -78,8 +87,10 @@ def fit(name: str, train: DataFrame, seed: int = 42, params: dict | None = None)
     return estimator.fit(rows)
 
 
-def scored(model: Model, df: DataFrame) -> DataFrame:
+def scored(model: Model | trees.Model, df: DataFrame) -> DataFrame:
     """Adds p (of class 1) and pred."""
+    if isinstance(model, trees.Model):
+        return trees.with_scores(model, df)
     out = model.transform(df.withColumn("vector", array_to_vector("features")))
     return out.withColumn("p", vector_to_array("probability")[1]).withColumn("pred", (F.col("p") >= 0.5).cast("int")).drop("vector", "rawPrediction", "probability", "prediction")
 
@@ -187,6 +198,8 @@ def loaded(path: str) -> tuple[Model, dict]:
     """A saved model, and what was said about it."""
     spark = SparkSession.active()
     about = json.loads(spark.read.text(f"{path}/about").first().value)
+    if about.get("kind") == "trees":
+        return trees.load(f"{path}/trees"), about
     kind = json.loads(spark.read.text(f"{path}/metadata").first().value)["class"].rsplit(".", 1)[1]
     return getattr(C, kind).load(path), about
 
@@ -238,6 +251,10 @@ def searched(name: str, train: DataFrame, val: DataFrame, grid: dict[str, list],
     return recipes(train, val, named, out, seed).orderBy(F.desc("roc_auc"), "recipe")
 
 
-def saved(model: Model, path: str, about: dict) -> None:
-    model.write().overwrite().save(path)
+def saved(model: Model | trees.Model, path: str, about: dict) -> None:
+    if isinstance(model, trees.Model):
+        about = about | {"kind": "trees"}
+        trees.save(model, f"{path}/trees")
+    else:
+        model.write().overwrite().save(path)
     SparkSession.active().createDataFrame([(json.dumps(about),)], "about string").coalesce(1).write.mode("overwrite").text(f"{path}/about")

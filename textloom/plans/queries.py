@@ -10,6 +10,7 @@ from textloom.functions import text as X
 from textloom.functions import vectors as V
 from textloom.functions.labels import normalized
 from textloom.operators import augment, counts, dedup, metrics, pairs, rank, select, sets
+from textloom.operators.store import checkpointed
 from textloom.plans import adapters as A
 from textloom.plans.adapters import with_views
 from textloom.plans.registry import ORACLE_SQL, QUERIES, query, rounded
@@ -274,12 +275,12 @@ _PAIRS = with_views("points", "classes") + """, pairs AS (SELECT x.split, x.lang
 
 @query(_PAIRS + "SELECT split, language, ord_a, ord_b, label_a, label_b, ternary, CAST(tokens_combined AS INTEGER) AS tokens_combined, same_problem FROM pairs")
 def pairs_same_problem(spark, sf):
-    return pairs.same_problem(A.points(spark, sf)).select("split", "language", "ord_a", "ord_b", "label_a", "label_b", "ternary", "tokens_combined", "same_problem")
+    return pairs.same_problem(A.points(spark, sf), codes=False).select("split", "language", "ord_a", "ord_b", "label_a", "label_b", "ternary", "tokens_combined", "same_problem")
 
 
 @query(_PAIRS + "SELECT label_a, label_b, count(*) AS n FROM pairs GROUP BY ALL ORDER BY n DESC, label_a, label_b LIMIT 20")
 def pair_cell_topk(spark, sf):
-    return counts.top(pairs.same_problem(A.points(spark, sf)), ["label_a", "label_b"], 20)
+    return counts.top(pairs.same_problem(A.points(spark, sf), codes=False), ["label_a", "label_b"], 20)
 
 
 @query(with_views("points") + """, g AS (SELECT DISTINCT split, language FROM points) SELECT split, language, CAST(least(3000, greatest(1, floor(floor(2000000.0 * CASE split WHEN 'train' THEN 0.8 ELSE 0.1 END / (SELECT count(DISTINCT language) FROM points)) / 66))) AS INTEGER) AS quota FROM g""")
@@ -308,7 +309,8 @@ def pairs_cross_sampled(spark, sf):
     SELECT CASE level WHEN 7 THEN 'ternary' WHEN 11 THEN 'split' ELSE 'label_a,label_b' END AS grain, ternary, split, label_a, label_b, n, same_problem FROM g""")
 def pair_statistics(spark, sf):
     points, keep = A.points(spark, sf), ["ternary", "split", "label_a", "label_b", "same_problem"]
-    return counts.pair_counts(pairs.same_problem(points).select(*keep).union(pairs.cross_label(points, 30_000, codes=False).select(*keep)))
+    points = checkpointed(points.select("ord", "split", "language", "problem_id", "label", "tokens", X.code_hash(F.col("code")).alias("sha")))
+    return counts.pair_counts(pairs.same_problem(points, codes=False).select(*keep).union(pairs.cross_label(points, 30_000, codes=False).select(*keep)))
 
 
 # ---- metrics ----
@@ -660,10 +662,49 @@ def head_logreg_metrics(spark, sf):
     return heads.evaluated(heads.scored(heads.fit("logreg", train), test))
 
 
+@query("""WITH r AS (SELECT CAST(label >= 5 AS INTEGER) AS y, list_transform(embedding, lambda x: floor(2 * CAST(x AS DOUBLE))) AS x FROM embeddings WHERE embedding IS NOT NULL AND label IS NOT NULL),
+    t AS (SELECT avg(y) AS p, count(*) AS n, sum(y) AS ones FROM r), e AS (SELECT y, unnest(generate_series(1, len(x))) AS i, x FROM r),
+    v AS (SELECT i - 1 AS feature, x[i] AS v, count(*) AS n, sum(y) AS ones FROM e GROUP BY ALL),
+    s AS (SELECT feature, v, sum(n) OVER w AS nl, sum(ones) OVER w AS ol FROM v WINDOW w AS (PARTITION BY feature ORDER BY v)),
+    g AS (SELECT feature, v, pow(nl * p - ol, 2) / (nl * p * (1 - p) + 1) AS l, pow((n - nl) * p - (ones - ol), 2) / ((n - nl) * p * (1 - p) + 1) AS r, nl, ol, n, ones, p FROM s, t WHERE nl < n AND nl >= 20 AND n - nl >= 20),
+    b AS (SELECT * FROM g ORDER BY round(l + r, 9) DESC, feature, v LIMIT 1)
+    SELECT CAST(feature AS INTEGER) AS feature, round(v, 6) AS threshold, round(l + r, 6) AS gain, round(-(nl * p - ol) / (nl * p * (1 - p) + 1), 6) AS below, round(-((n - nl) * p - (ones - ol)) / ((n - nl) * p * (1 - p) + 1), 6) AS above FROM b""")
+def tree_first_split(spark, sf):
+    """The first split of a boosted tree over all features of all vectors, in steps of a half: its gain and both leaves."""
+    from textloom.plans import trees
+
+    e = A.table(spark, sf, "embeddings").where("embedding is not null and label is not null")
+    rows = e.select((F.col("label") >= 5).cast("int").alias("y"), F.transform(F.col("embedding").cast("array<double>"), lambda x: F.floor(2 * x).cast("double")).alias("features"))
+    model = trees.fit(rows, trees.Settings(leaves=2, rounds=1, rate=1.0, l2=1.0))
+    tree = model.trees[0]
+    found = (tree.feature[0], model.edges[tree.feature[0]][tree.bin[0]], tree.gain[0], tree.value[1], tree.value[2])
+    return rounded(spark.createDataFrame([found], "feature int, threshold double, gain double, below double, above double"), "threshold", "gain", "below", "above")
+
+
+def _head(spark: SparkSession, sf: str, name: str, params: dict) -> DataFrame:
+    from textloom.plans import heads
+
+    rows = _matrix(spark, sf)
+    train, val, test = rows.where("id % 5 > 1"), rows.where("id % 5 = 1"), rows.where("id % 5 = 0")
+    return heads.evaluated(heads.scored(heads.fit(name, train, params=params, val=val), test))
+
+
+@query()
+def head_lgbm_metrics(spark, sf):
+    """Leaf-wise trees with early stopping."""
+    return _head(spark, sf, "lgbm", {"rounds": 24, "rate": 0.2, "stop": 5})
+
+
+@query()
+def head_xgb_metrics(spark, sf):
+    """Depth-wise trees with samples of rows and columns and early stopping."""
+    return _head(spark, sf, "xgb", {"rounds": 24, "rate": 0.2, "depth": 4, "stop": 5})
+
+
 @query()
 def head_stacked_metrics(spark, sf):
     from textloom.plans import heads
 
     rows = _matrix(spark, sf)
     train, test = rows.where("id % 5 <> 0"), rows.where("id % 5 = 0")
-    return heads.evaluated(heads.Stacked(("lgbm", "logreg")).fit(train).scored(test))
+    return heads.evaluated(heads.Stacked(("forest", "logreg")).fit(train).scored(test))

@@ -63,11 +63,6 @@ def pair_label(label_a: Column, label_b: Column) -> Column:
     return F.when(a == b, PAIR_LABELS[0]).when(a < b, PAIR_LABELS[1]).when(a > b, WRONG_ORDER)
 
 
-def with_language(df: DataFrame, default: str = "python") -> DataFrame:
-    """Tables of the older variant have no language column; their rows get the default."""
-    return df if "language" in df.columns else df.withColumn("language", F.lit(default))
-
-
 def conform(df: DataFrame, schema: T.StructType, defaults: dict | None = None) -> DataFrame:
     """Columns of the schema in its order and types: missing ones are null or the default, null ones get the default."""
     defaults = defaults or {}
@@ -78,11 +73,3 @@ def conform(df: DataFrame, schema: T.StructType, defaults: dict | None = None) -
             value = F.coalesce(value, F.lit(defaults[field.name]))
         columns.append(value.cast(field.dataType).alias(field.name))
     return df.select(*columns)
-
-
-def assert_same_columns(*frames: DataFrame) -> None:
-    """Splits of one table have equal columns."""
-    first = frames[0].dtypes
-    for df in frames[1:]:
-        if df.dtypes != first:
-            raise ValueError(f"schema drift: {sorted(set(df.dtypes) ^ set(first))}")
