@@ -132,10 +132,10 @@ def test_early_stopping_and_saving(spark, tmp_path):
     settings = trees.Settings(leaves=12, rounds=40, rate=0.8, least_rows=2, stop=3)
     model = trees.fit(frame(spark, x, y), settings, frame(spark, held, truth))
     assert len(model.trees) == int(np.argmin(model.losses)) < 40 and len(model.losses) <= len(model.trees) + 4
-    trees.save(model, str(tmp_path / "model"))
+    heads.saved(model, str(tmp_path / "model"), {"head": "lgbm"})
     df = frame(spark, held, truth).withColumn("p", F.lit("clash"))
     a = {r.id: r.p for r in trees.with_scores(model, df).collect()}
-    b = {r.id: r.p for r in trees.with_scores(trees.load(str(tmp_path / "model")), df).collect()}
+    b = {r.id: r.p for r in heads.scored(heads.loaded(str(tmp_path / "model"))[0], df).collect()}
     assert a == b and max(model.gains()) > 0
 
 

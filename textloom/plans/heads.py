@@ -1,4 +1,4 @@
-"""Heads on feature vectors: boosted trees on histograms, a registry of MLlib estimators, class weights, stacking, out-of-fold scores, sweeps and inference."""
+"""Heads on feature vectors: boosted trees on histograms, a perceptron trained in a barrier stage, a registry of MLlib estimators, class weights, stacking, out-of-fold scores, sweeps and inference."""
 
 from __future__ import annotations
 
@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from textloom.operators import counts, metrics
 from textloom.operators import pairs as pairs_
-from textloom.plans import trees
+from textloom.plans import perceptron, trees
 from textloom.sources import sinks
 from textloom.sources.readers import exists
 
@@ -54,11 +54,6 @@ def _forest(seed: int) -> Estimator:
     return _columns(C.RandomForestClassifier(seed=seed, numTrees=60, maxDepth=8))
 
 
-@head("mlp")
-def _mlp(seed: int) -> Estimator:
-    return _columns(C.MultilayerPerceptronClassifier(seed=seed, maxIter=80))
-
-
 def weighted(df: DataFrame) -> DataFrame:
     """Rows with balanced class weights and features as a vector. y is 0 or 1; weights are two rows."""
     weights = counts.balanced_weights(df, "y").select("y", "weight")
@@ -66,31 +61,33 @@ def weighted(df: DataFrame) -> DataFrame:
     return out.withColumn("vector", array_to_vector("features"))
 
 
+#: Models that are kept as text.
+OWN = {"trees": trees.Model, "perceptron": perceptron.Model}
 #: Heads on gradient histograms, with their settings.
 TREES: dict[str, trees.Settings] = {"lgbm": trees.LEAFWISE, "xgb": trees.DEPTHWISE}
 
 
-def fit(name: str, train: DataFrame, seed: int = 42, params: dict | None = None, val: DataFrame | None = None) -> Model | trees.Model:
+def fit(name: str, train: DataFrame, seed: int = 42, params: dict | None = None, val: DataFrame | None = None) -> Model | trees.Model | perceptron.Model:
     """A head on rows (y, features), with the head's own settings but for `params`. val: rows that tell when to stop, for heads that can."""
     if name in TREES:
         rows = weighted(train).drop("vector")
         return trees.fit(rows, replace(TREES[name], seed=seed, **(params or {})), None if val is None else weighted(val).drop("vector"))
+    if name == "mlp":
+        rows = weighted(train).drop("vector")
+        return perceptron.fit(rows, perceptron.Settings(seed=seed, **(params or {})), None if val is None else weighted(val).drop("vector"))
     estimator = HEADS[name](seed)
     for p, value in (params or {}).items():
         estimator = estimator.copy({estimator.getParam(p): value})
-    if name == "mlp":
-        width = train.select(F.size("features")).first()[0]
-        estimator = estimator.setLayers([width, 128, 128, 2])
     rows = weighted(train).withColumn("y", F.col("y").cast("double"))
     if name == "logreg" and "regParam" not in (params or {}):  # C = 1
         estimator = estimator.setRegParam(1.0 / max(1.0, rows.agg(F.sum("weight")).first()[0] or 0.0))
     return estimator.fit(rows)
 
 
-def scored(model: Model | trees.Model, df: DataFrame) -> DataFrame:
+def scored(model: Model | trees.Model | perceptron.Model, df: DataFrame) -> DataFrame:
     """Adds p (of class 1) and pred."""
-    if isinstance(model, trees.Model):
-        return trees.with_scores(model, df)
+    if isinstance(model, trees.Model | perceptron.Model):
+        return (trees if isinstance(model, trees.Model) else perceptron).with_scores(model, df)
     out = model.transform(df.withColumn("vector", array_to_vector("features")))
     return out.withColumn("p", vector_to_array("probability")[1]).withColumn("pred", (F.col("p") >= 0.5).cast("int")).drop("vector", "rawPrediction", "probability", "prediction")
 
@@ -198,8 +195,8 @@ def loaded(path: str) -> tuple[Model, dict]:
     """A saved model, and what was said about it."""
     spark = SparkSession.active()
     about = json.loads(spark.read.text(f"{path}/about").first().value)
-    if about.get("kind") == "trees":
-        return trees.load(f"{path}/trees"), about
+    if about.get("kind") in OWN:
+        return OWN[about["kind"]].from_json(spark.read.text(f"{path}/model").first().value), about
     kind = json.loads(spark.read.text(f"{path}/metadata").first().value)["class"].rsplit(".", 1)[1]
     return getattr(C, kind).load(path), about
 
@@ -251,10 +248,11 @@ def searched(name: str, train: DataFrame, val: DataFrame, grid: dict[str, list],
     return recipes(train, val, named, out, seed).orderBy(F.desc("roc_auc"), "recipe")
 
 
-def saved(model: Model | trees.Model, path: str, about: dict) -> None:
-    if isinstance(model, trees.Model):
-        about = about | {"kind": "trees"}
-        trees.save(model, f"{path}/trees")
+def saved(model: Model | trees.Model | perceptron.Model, path: str, about: dict) -> None:
+    kind = next((k for k, own in OWN.items() if isinstance(model, own)), None)
+    if kind:
+        about = about | {"kind": kind}
+        SparkSession.active().createDataFrame([(model.to_json(),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/model")
     else:
         model.write().overwrite().save(path)
     SparkSession.active().createDataFrame([(json.dumps(about),)], "about string").coalesce(1).write.mode("overwrite").text(f"{path}/about")
