@@ -3,7 +3,7 @@
 Tokenising is the only work in Python: ids and byte ends of both tokenizers' tokens, each distinct pre-token encoded once per
 lexicon (`pretokens`). What follows is higher-order functions of Spark:
 
-1. The ends in common are the array_intersect of both arrays of ends. They cut a text into groups.
+1. Python gives each token's size in bytes beside its end. The ends in common are the array_intersect of both arrays of ends. They cut a text into groups.
 2. An array with a token's number at each byte it covers (array_repeat over a sequence of tokens, flattened) gives the number of the
    token that ends at a common end in one step, so the work is linear in bytes and tokens, however long the text.
 3. Groups are slices between such numbers; links are the two ids at each common end. Tokens are never empty, so one token of
@@ -42,14 +42,15 @@ PAIR = 1 << 32
 
 
 class Side:
-    """One tokenizer: ids of texts, and how many bytes each id stands for. Call with texts (space included)."""
+    """One tokenizer: ids of texts, and how many bytes each id stands for. Call with texts (space included). before: what split leaves out of
+    each word."""
 
-    def __init__(self, split: Callable[[str], list[str]], encode: Callable[[list[str]], list[list[int]]], table: list[bytes], held: int = HELD):
+    def __init__(self, split: Callable[[str], list[str]], encode: Callable[[list[str]], list[list[int]]], table: list[bytes], before: str = "", held: int = HELD):
         self.lengths = np.array([len(x) for x in table], np.int32)
 
         def checked(words: list[str]) -> list[list[int]]:
             own = encode(words)
-            return [ids if b"".join([table[i] for i in ids]) == word.encode() else [BAD] for word, ids in zip(words, own)]
+            return [ids if b"".join([table[i] for i in ids]) == (before + word).encode() else [BAD] for word, ids in zip(words, own)]
 
         self.lexicon = Lexicon(split, checked, held)
 
@@ -78,7 +79,7 @@ def byte_level(path: str) -> tuple[Callable, list[bytes]]:
 
 
 def piece_level(path: str) -> tuple[Callable, list[bytes]]:
-    """encode and byte table of a sentencepiece model that puts a space before each text. Words given to encode start with one."""
+    """encode and byte table of a sentencepiece model that puts a space before each text, so words come to encode without theirs."""
     import sentencepiece
 
     own = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -86,30 +87,39 @@ def piece_level(path: str) -> tuple[Callable, list[bytes]]:
     table = [bytes([int(own.id_to_piece(i)[3:5], 16)]) if own.is_byte(i) else own.id_to_piece(i).replace("▁", " ").encode() for i in range(own.get_piece_size())]
 
     def encode(words: list[str]) -> list[list[int]]:
-        found = own.encode([w[1:] for w in words], num_threads=1)
-        return [ids if w != " " else [alone] for w, ids in zip(words, found)]
+        return [ids if w else [alone] for w, ids in zip(words, own.encode(words, num_threads=1))]
 
     return encode, table
 
 
-#: No piece of such a model has a space after anything else, so its merges stay within spaces and what follows them.
 SPACED = re.compile(" +[^ ]*")
 
 
+def spaced(text: str) -> list[str]:
+    """Spaces and what follows them, without the first space. No piece of such a model has a space after anything else, so merges stay
+    within these."""
+    if "  " not in text and text[-1:] != " ":
+        return text[1:].split(" ") if text else []
+    return [x[1:] for x in SPACED.findall(text)]
+
+
 @functools.lru_cache(maxsize=2)
 def sides(byte_path: str, piece_path: str, pattern: str) -> tuple[Side, Side]:
     """One of each per Python worker."""
-    return Side(splitter(pattern), *byte_level(byte_path)), Side(SPACED.findall, *piece_level(piece_path))
+    return Side(splitter(pattern), *byte_level(byte_path)), Side(spaced, *piece_level(piece_path), " ")
+
+
+COLUMNS = [f"{side}_{what}" for side in "ab" for what in ("ids", "sizes", "ends")]
 
 
 def tokenised(documents: DataFrame, byte_path: str, piece_path: str, pattern: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """id, a_ids, a_ends, b_ids, b_ends of each row; empty arrays for texts without tokens."""
+    """id, and of each side ids, sizes and ends of its tokens in bytes; empty arrays for texts without tokens."""
 
-    def lists(found: list[np.ndarray], lengths: np.ndarray) -> tuple[pa.Array, pa.Array]:
+    def lists(found: list[np.ndarray], lengths: np.ndarray) -> list[pa.Array]:
         offsets = pa.array(np.cumsum([0, *map(len, found)]), pa.int32())
-        ids = np.concatenate(found).astype(np.int32)
-        ends = np.concatenate([np.cumsum(lengths[x], dtype=np.int32) for x in found])
-        return pa.ListArray.from_arrays(offsets, pa.array(ids)), pa.ListArray.from_arrays(offsets, pa.array(ends))
+        sizes = [lengths[x] for x in found]
+        ends = np.concatenate([np.cumsum(x, dtype=np.int32) for x in sizes])
+        return [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (np.concatenate(found).astype(np.int32), np.concatenate(sizes), ends)]
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a_side, b_side = sides(byte_path, piece_path, pattern)
@@ -120,44 +130,39 @@ def tokenised(documents: DataFrame, byte_path: str, piece_path: str, pattern: st
                 spaced = [" " + t if t else "" for t in texts]
                 # An underline that stands for spaces would come out as one.
                 found = [(a, b) if a is not None and b is not None and "▁" not in t else (nothing, nothing) for t, a, b in zip(spaced, a_side(spaced), b_side(spaced))]
-                yield pa.RecordBatch.from_arrays([part["id"], *lists([a for a, _ in found], a_side.lengths), *lists([b for _, b in found], b_side.lengths)], names=["id", "a_ids", "a_ends", "b_ids", "b_ends"])
+                yield pa.RecordBatch.from_arrays([part["id"], *lists([a for a, _ in found], a_side.lengths), *lists([b for _, b in found], b_side.lengths)], names=["id", *COLUMNS])
 
     chosen = documents.select(F.col(id_column).cast("long").alias("id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
-    return chosen.mapInArrow(rows, "id long, a_ids array<int>, a_ends array<int>, b_ids array<int>, b_ends array<int>")
+    return chosen.mapInArrow(rows, "id long, " + ", ".join(f"{c} array<int>" for c in COLUMNS))
 
 
-def covering(ends: Column) -> Column:
-    """The number (from 1) of the token that covers each byte, from the tokens' ends."""
-    each = F.transform(ends, lambda e, i: F.array_repeat(i + 1, e - F.when(i > 0, F.get(ends, i - 1)).otherwise(0)))
-    return F.flatten(each)
+def numbers_at(common: str, sizes: str) -> Column:
+    """The numbers (from 0) of the tokens that end at each common end: of those that cover the byte before it."""
+    covering = F.flatten(F.zip_with(F.sequence(F.lit(0), F.size(sizes) - 1), sizes, lambda i, n: F.array_repeat(i, n)))
+    return let(covering, lambda own: F.transform(common, lambda e: F.get(own, e - 1)))
 
 
-def numbers_at(common: Column, ends: Column) -> Column:
-    """The numbers of the tokens that end at each common end."""
-    return let(covering(ends), lambda own: F.transform(common, lambda e: F.get(own, e - 1)))
-
-
-def part_of(ids: Column, at: Column, k: Column) -> Column:
-    """Ids (as strings) of group k, in decimal, with commas. at: numbers of the last token of each group."""
-    before = F.when(k > 0, F.get(at, k - 1)).otherwise(0)
-    return let(F.get(at, k) - before, lambda n: F.when(n == 1, F.get(ids, before)).otherwise(F.array_join(F.slice(ids, before + 1, n), ",")))
+def parts(ids: str, at: str) -> Column:
+    """Ids (as strings) of each group with commas. at: numbers of the last token of each group."""
+    before = F.slice(F.concat(F.array(F.lit(-1)), at), F.lit(1), F.size(at))
+    some = lambda low, high: F.array_join(F.slice(ids, low + 2, high - low), ",")
+    return F.zip_with(before, at, lambda low, high: F.when(high - low == 1, F.get(ids, high)).otherwise(some(low, high)))
 
 
 def aligned(tokens: DataFrame) -> DataFrame:
-    """id, n_a, n_b, links (array of a * PAIR + b) and groups (their text) of each row."""
-
-    def found(s: Column) -> Column:
-        text = lambda ids, at, k: part_of(ids, at, k)
-        joined = let(
-            F.struct(s["a_at"].alias("a_at"), s["b_at"].alias("b_at"), F.col("a_ids").cast("array<string>").alias("a"), F.col("b_ids").cast("array<string>").alias("b")),
-            lambda t: F.array_join(F.transform(t["a_at"], lambda _, k: F.concat(text(t["a"], t["a_at"], k), F.lit("|"), text(t["b"], t["b_at"], k))), ";"),
-        )
-        linked = F.zip_with(s["a_at"], s["b_at"], lambda i, j: F.get("a_ids", i - 1).cast("long") * PAIR + F.get("b_ids", j - 1))
-        return F.struct(linked.alias("links"), joined.alias("groups"))
+    """id, n_a, n_b, n (groups, links), links (array of a * PAIR + b) and groups (their text) of each row.
 
-    both = let(F.array_intersect("a_ends", "b_ends"), lambda c: F.struct(numbers_at(c, F.col("a_ends")).alias("a_at"), numbers_at(c, F.col("b_ends")).alias("b_at")))
-    whole = tokens.select("id", F.size("a_ids").cast("long").alias("n_a"), F.size("b_ids").cast("long").alias("n_b"), let(both, found).alias("found"))
-    return whole.select("id", "n_a", "n_b", "found.links", "found.groups")
+    In steps of which each uses what it needs of the one before more than once, so that Spark doesn't fold them into one expression
+    and work a part out anew for each element.
+    """
+    sizes = [F.size(f"{x}_ids").cast("long").alias(f"n_{x}") for x in "ab"]
+    now = tokens.select("id", *sizes, "a_ids", "b_ids", "a_sizes", "b_sizes", F.array_intersect("a_ends", "b_ends").alias("common"))
+    numbers = [numbers_at("common", f"{x}_sizes").alias(f"{x}_at") for x in "ab"]
+    now = now.select("id", "n_a", "n_b", F.size("common").cast("long").alias("n"), "a_ids", "b_ids", *numbers)
+    linked = F.zip_with("a_at", "b_at", lambda i, j: F.get("a_ids", i).cast("long") * PAIR + F.get("b_ids", j))
+    now = now.select("id", "n_a", "n_b", "n", "a_at", "b_at", linked.alias("links"), F.col("a_ids").cast("array<string>").alias("a_texts"), F.col("b_ids").cast("array<string>").alias("b_texts"))
+    groups = F.zip_with(parts("a_texts", "a_at"), parts("b_texts", "b_at"), lambda a, b: F.concat(a, F.lit("|"), b))
+    return now.select("id", "n_a", "n_b", "n", "links", F.array_join(groups, ";").alias("groups"))
 
 
 def pair_counts(links: DataFrame) -> DataFrame:
@@ -171,7 +176,7 @@ def summed(documents: DataFrame, byte_path: str, piece_path: str, pattern: str,
     """id, n_a, n_b, n_groups, n_links, n_best, count_sum and groups_sha256 of each row."""
     whole = aligned(tokenised(documents, byte_path, piece_path, pattern, id_column, text_column))
     digest = F.when(F.col("groups") == "", F.lit("")).otherwise(F.sha2("groups", 256))
-    whole = materialize(whole.select(F.monotonically_increasing_id().alias("row"), "id", "n_a", "n_b", "links", digest.alias("groups_sha256")), "aligned")
+    whole = materialize(whole.select(F.monotonically_increasing_id().alias("row"), "id", "n_a", "n_b", "n", "links", digest.alias("groups_sha256")), "aligned")
     links = whole.select("row", F.explode("links").alias("pair"))
     pairs = materialize(pair_counts(links), "pairs")
     distinct, total = pairs.agg(F.count("*"), F.sum("n")).first()
@@ -184,7 +189,6 @@ def summed(documents: DataFrame, byte_path: str, piece_path: str, pattern: str,
         rare = rare.join(pairs.where(F.col("n") < least), "pair")
         rare = rare.groupBy("row").agg(F.sum(F.col("n") * F.col("times")).alias("count_sum"), F.sum(F.col("best").cast("long") * F.col("times")).alias("n_best"))
         rows = rows.union(rare).groupBy("row").agg(F.sum("count_sum").alias("count_sum"), F.sum("n_best").alias("n_best"))
-    n = F.size("links").cast("long")
-    out = whole.join(rows, "row", "left")
+    out = whole.drop("links").join(rows, "row", "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)
-    return out.select(F.col("id").alias(id_column), "n_a", "n_b", n.alias("n_groups"), n.alias("n_links"), zero("n_best"), zero("count_sum"), "groups_sha256")
+    return out.select(F.col("id").alias(id_column), "n_a", "n_b", F.col("n").alias("n_groups"), F.col("n").alias("n_links"), zero("n_best"), zero("count_sum"), "groups_sha256")
