@@ -11,6 +11,7 @@ from conftest import DATA, same
 from test_llm_text import check_packing, near_classes
 
 from textloom.llm import boosting, dom, exact_topk, hnsw, html_text, near_dup, quality, queries, suffix_dedup, url_filter, warc
+from textloom.llm import vectors as vectors_module
 
 VECTORS = "vec_id long, embedding array<float>, rank int"
 
@@ -414,3 +415,15 @@ def test_pipeline_of_awkward_rows(spark, tmp_path):
             assert 1 in ids and 6 not in ids and 7 not in ids
         else:
             assert ids == set()
+
+
+@pytest.mark.parametrize("most", [1, 3000])
+def test_vector_tiles_give_the_same_rows(spark, monkeypatch, most):
+    """Many groups of queries, and one shard in several of them: what is held and what is met changes nothing."""
+    df, _ = vectors(spark)
+    whole = [sorted(map(tuple, exact_topk.top_k(exact_topk.chosen(df, "vec_id", 10), df, 5, 256.0, shard_rows=64, query_rows=7).collect()))]
+    graphs = hnsw.index(df, shard_rows=100)
+    whole.append(sorted(map(tuple, hnsw.nearest(exact_topk.chosen(df, "vec_id", 10), graphs, 5, query_rows=7).collect())))
+    monkeypatch.setattr(vectors_module, "QUERY_BYTES", most)
+    assert whole[0] == sorted(map(tuple, exact_topk.top_k(exact_topk.chosen(df, "vec_id", 10), df, 5, 256.0, shard_rows=64, query_rows=7).collect()))
+    assert whole[1] == sorted(map(tuple, hnsw.nearest(exact_topk.chosen(df, "vec_id", 10), graphs, 5, query_rows=7).collect()))

@@ -100,13 +100,16 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int, weight: float, id_c
     blocks = V.stored(V.blobs(queries, id_column, vector_column, query_rows, True, lambda ids, rows: (ids, sparse(floors(rows), False))), "queries")
     shards = V.stored(V.blobs(candidates, id_column, vector_column, shard_rows, True, postings), "shards")
 
-    def compare(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        ids, own, dim = V.ids_of(row["shard_ids"]), V.ids_of(row["ids"]), row["dim"]
-        scores = accumulate(lists_of(row["rows"], len(own), dim), lists_of(row["shard_rows"], dim, len(ids)), len(ids))
-        q, at, s = select(scores, ids, own, k)
+    def opened(row: dict) -> tuple[np.ndarray, list]:
+        ids = V.ids_of(row["ids"])
+        return ids, lists_of(row["rows"], row["dim"], len(ids))
+
+    def compare(query: dict, shard: tuple[np.ndarray, list]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        own, (ids, terms) = V.ids_of(query["ids"]), shard
+        q, at, s = select(accumulate(lists_of(query["rows"], len(own), query["dim"]), terms, len(ids)), ids, own, k)
         return own[q], ids[at], s
 
-    return V.search(blocks, shards, compare, k, "long", lambda s: s.desc())
+    return V.search(blocks, shards, opened, compare, k, "long", True)
 
 
 def chosen(df: DataFrame, id_column: Column | str, divisor: int) -> DataFrame:

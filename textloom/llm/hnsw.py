@@ -186,18 +186,20 @@ def nearest(queries: DataFrame, graphs: DataFrame, k: int, id_column: str = "vec
     """query_id, rank, vec_id, score: each query's k nearest found, by Euclidean distance. graphs: of index(), with keep > k."""
     blocks = V.stored(V.blobs(queries, id_column, vector_column, query_rows, False, as_doubles), "queries")
 
-    def compare(row: dict) -> tuple[list, list, list]:
-        dim, own, asked = row["dim"], V.ids_of(row["ids"]), V.rows_of(row["rows"], row["dim"], "<f8")
-        points, ids = V.rows_of(row["shard_rows"], dim, "<f8"), V.ids_of(row["shard_ids"])
-        ends = np.cumsum(np.frombuffer(row["shard_counts"], "<i4"))
-        graph = _unpacked(points, row["shard_flat"], row["shard_entry"], row["shard_layers"], m)
+    def opened(row: dict) -> tuple[Graph, np.ndarray, np.ndarray]:
+        graph = _unpacked(V.rows_of(row["rows"], row["dim"], "<f8"), row["flat"], row["entry"], row["layers"], m)
+        return graph, V.ids_of(row["ids"]), np.cumsum(np.frombuffer(row["counts"], "<i4"))
+
+    def compare(query: dict, shard: tuple[Graph, np.ndarray, np.ndarray]) -> tuple[list, list, list]:
+        graph, ids, ends = shard
+        own, asked = V.ids_of(query["ids"]), V.rows_of(query["rows"], query["dim"], "<f8")
         out: list[tuple[int, int, float]] = []
         for q_id, q in zip(own.tolist(), asked):
             entry = graph.descend(q, graph.entry, len(graph.layers) - 1, 1) if len(graph.layers) > 1 else graph.entry
             at = np.array([x for _, x in graph.around(q, entry, 0, max(ef, k + 1))])
-            far = np.sqrt(((points[at] - q) ** 2).sum(axis=1))
+            far = np.sqrt(((graph.points[at] - q) ** 2).sum(axis=1))
             found = sorted((d, i) for d, x in zip(far.tolist(), at.tolist()) for i in ids[(ends[x - 1] if x else 0) : ends[x]].tolist() if i != q_id)
             out += [(q_id, i, d) for d, i in found[:k]]
         return tuple(zip(*out)) if out else ([], [], [])
 
-    return V.search(blocks, graphs, compare, k, "double", lambda s: s.asc())
+    return V.search(blocks, graphs, opened, compare, k, "double", False)

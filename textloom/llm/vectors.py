@@ -1,23 +1,29 @@
 """Vectors in shards: what exact search and the neighbour graph share.
 
-Rows become blobs of at most `shard_rows` vectors within the tasks that scan them, so no key decides where a row goes.
-A query blob meets each shard blob once, through an equi-join on a cell number: shards are numbered, a cell each, and query
-blobs are repeated for every cell. That is a stated query set against all rows, in blocks. Each pair of blobs returns its best k
-rows, and a window over a query's partial lists keeps the best k of those.
+Rows become blobs of at most `shard_rows` vectors within the tasks that scan them, so no key decides where a row goes. Query
+blobs are dealt out to groups of about QUERY_BYTES, shards to cells; a tile is a group and a cell, and one task's work: it
+holds the group, meets the cell's shards one after another, and keeps the best k of each query over all of them before anything
+leaves it. That is a stated query set against all rows, in blocks. There are as many tiles as the cluster has slots, or as there are groups
+if that is more: a query travels once a cell, a shard once a group. So while all queries are one group, what moves grows with the
+rows, and beyond that with queries / QUERY_BYTES times the shards. A window over the tiles' lists keeps the best k of those.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.llm.shared import materialize
 
+#: Bytes of queries that a task holds.
+QUERY_BYTES = 64 << 20
+
 
 def batch_vectors(ids: pa.Array, vectors: pa.Array, zeros: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(ids, rows of float64) by dimension; without null ids or vectors, null or non-finite components, empty vectors and, unless `zeros`, zero vectors."""
@@ -70,34 +76,55 @@ def blobs(df: DataFrame, id_column: str, vector_column: str, most: int, zeros: b
     return chosen.mapInArrow(cut, "blob long, dim int, n int, ids binary, rows binary")
 
 
-def numbered(shards: DataFrame) -> tuple[DataFrame, int]:
-    """Shards with their cell, from 0 without gaps, and their number. Only the shards' keys go to the task that numbers them."""
-    cells = materialize(shards.select("blob", (F.row_number().over(Window.orderBy("blob")) - 1).alias("cell")), "cells")
-    return shards.join(cells, "blob").drop("blob"), cells.count()
+def best_of(q: np.ndarray, v: np.ndarray, s: np.ndarray, k: int, descending: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The best k of each query, ties to the smaller vec."""
+    order = np.lexsort((v, ~s if descending else s, q))
+    q, v, s = q[order], v[order], s[order]
+    first = np.searchsorted(q, q)
+    on = np.arange(len(q)) - first < k
+    return q[on], v[on], s[on]
 
 
-def search(queries: DataFrame, shards: DataFrame, compare: Callable, k: int, score: str, best: Callable[[Column], Column]) -> DataFrame:
-    """query_id, rank, vec_id, score: the best k of what compare(query blob, shard row) yields as (query, vec, score) arrays.
+def search(queries: DataFrame, shards: DataFrame, opened: Callable[[dict], object], compare: Callable, k: int, score: str, descending: bool) -> DataFrame:
+    """query_id, rank, vec_id, score: the best k of what compare(query row, opened shard) yields as (query, vec, score) arrays.
 
-    queries and shards: tables with blob, dim and what compare needs.
+    queries and shards: tables with blob, dim, ids, rows and what else opened() needs of a shard.
     """
-    placed, cells = numbered(shards)
-    spread = queries.drop("blob").withColumn("cell", F.explode(F.sequence(F.lit(0), F.lit(max(1, cells) - 1))))
-    placed = placed.select("dim", "cell", *[F.col(c).alias(f"shard_{c}") for c in placed.columns if c not in ("dim", "cell")])
-    pairs = spread.join(placed.hint("shuffle_hash"), ["cell", "dim"])
-
-    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64() if score == "double" else pa.int64())])
+    spark = queries.sparkSession
+    size = queries.agg(F.sum(F.length("ids") + F.length("rows"))).first()[0] or 0
+    groups = max(1, math.ceil(size / QUERY_BYTES))
+    cells = max(1, math.ceil(spark.sparkContext.defaultParallelism / groups))
+    dealt = lambda n: F.pmod(F.xxhash64("blob"), F.lit(n)).cast("int")
+    asked = queries.select("blob", "dim", "ids", "rows", F.lit(False).alias("is_shard"), dealt(groups).alias("group"), F.explode(F.sequence(F.lit(0), F.lit(cells - 1))).alias("cell"))
+    met = shards.select("*", F.lit(True).alias("is_shard"), dealt(cells).alias("cell"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group"))
+    rows = asked.unionByName(met, allowMissingColumns=True).withColumn("tile", F.col("group") * cells + F.col("cell")).drop("group", "cell")
+    kind = pa.float64() if score == "double" else pa.int64()
+    names = ("query_id", "vec_id", "score")
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Queries come first, so they are held when the first shard comes."""
+        held: list[dict] = []
+        best = tuple(np.empty(0, t) for t in (np.int64, np.int64, np.float64 if score == "double" else np.int64))
         for batch in batches:
             for i in range(batch.num_rows):
                 row = {c: batch[c][i].as_py() for c in batch.schema.names}
-                q, v, s = compare(row)
-                if len(q):
-                    yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(v, pa.int64()), pa.array(s, kinds.field("score").type)], schema=kinds)
-
-    found = pairs.mapInArrow(partial, f"query_id long, vec_id long, score {score}")
-    order = Window.partitionBy("query_id").orderBy(best(F.col("score")), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+                if not row["is_shard"]:
+                    held.append(row)
+                    continue
+                shard, parts = opened(row), [best]
+                for own in held:
+                    if own["dim"] == row["dim"]:
+                        q, v, x = compare(own, shard)
+                        if len(q):
+                            parts.append((np.asarray(q, np.int64), np.asarray(v, np.int64), np.asarray(x, best[2].dtype)))
+                best = best_of(*(np.concatenate(x) for x in zip(*parts)), k, descending)
+        if len(best[0]):
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(best, (pa.int64(), pa.int64(), kind))], names=list(names))
+
+    tiles = rows.repartitionById(groups * cells, "tile").sortWithinPartitions("is_shard", "blob")
+    lists = tiles.mapInArrow(found, f"query_id long, vec_id long, score {score}")
+    order = Window.partitionBy("query_id").orderBy(F.desc("score") if descending else F.asc("score"), "vec_id")
+    return lists.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
 def stored(df: DataFrame, what: str) -> DataFrame:

@@ -205,12 +205,12 @@ def write(pages: DataFrame, id_column: str = "page_id", payload_column: str = "h
     """Write a record per row and return the archives: path string, records long.
 
     Of rows with equal payloads of at least least_bytes bytes, those with the largest id are responses and the others
-    revisits of it. The largest id of a digest is looked up by ids and digests alone, and of a digest that many rows have by
+    revisits of it. Digests and ids are stored once; the largest id of a digest is looked up by them alone, and of a digest that many rows have by
     rows dealt out by id; payloads move by both, so one that a third of all rows share goes to all tasks.
     """
     rows = pages.select(F.col(id_column).cast("long").alias("id"), F.coalesce(F.col(payload_column), F.lit("")).cast("binary").alias("payload"))
     rows = rows.withColumn("sha1", F.sha1("payload"))
-    keys = rows.where(F.length("payload") >= least_bytes).select("sha1", "id").distinct()
+    keys = materialize(rows.where(F.length("payload") >= least_bytes).select("sha1", "id").distinct(), "keys")
     tops = looked_up(keys, "sha1", "id", F.max("id"), "top").toDF("top_sha1", "top_id", "top")
     paired = rows.join(tops.hint("shuffle_hash"), (F.col("sha1") == F.col("top_sha1")) & F.col("id").eqNullSafe(F.col("top_id")), "left").select("id", "payload", "sha1", "top")
     folder = new_path(pages.sparkSession, "warc")
