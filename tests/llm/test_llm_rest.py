@@ -5,6 +5,7 @@ import io
 import zipfile
 
 import numpy as np
+import other_pages
 import pytest
 from conftest import DATA, same
 
@@ -266,6 +267,14 @@ def test_html_made_up_pages():
     assert right / 150 > 0.9
 
 
+def test_html_pages_of_another_make():
+    """Lists, headings and bare text stay; what the pages were made to show, and most of those written later."""
+    lexicon, forest = html_text.model()
+    exact = lambda pages: [html_text.main_text([dom.read(h)], lexicon, forest)[0] == t for h, t in pages]
+    assert all(exact(other_pages.PAGES))
+    assert sum(exact(other_pages.FRESH)) >= 0.6 * len(other_pages.FRESH)
+
+
 def test_html_table(spark):
     good = "<html><body><nav><ul><li><a href='/'>Home</a></li></ul></nav><article><h1>Head</h1><p>One &amp; two,\n three.</p><p>More words here for the text.</p></article><footer>&copy; x</footer></body></html>"
     rows = [(1, "u", good), (2, None, None), (3, "u", ""), (1, "u", good), (4, "u", "<article>" + "<p>long words in a text, and more.</p>" * 3000 + "</article>")]

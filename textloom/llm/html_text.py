@@ -7,7 +7,8 @@ tree: on a path from the root, nodes are outside at first, may become content on
 no descendant of a cut node is content, and no second content begins under it.
 
 The trees are fitted here, on pages that a generator makes up with known answers: articles in various containers among
-menus, headers, sidebars, notices, adverts, forms, related links and reader comments. The generator is seeded, so every
+menus, headers, sidebars, notices, adverts, forms, related links and reader comments; right in the body or in no element
+at all; in cells of a table; under names that say nothing; with short lists and lone headings. The generator is seeded, so every
 fit gives the same trees; the first fit in a shared folder leaves them there for later ones.
 
 Cases: a null or empty page has an empty text; text outside any element hangs on the root; unclosed or crossed tags are
@@ -49,6 +50,8 @@ OTHER = {
     "share": "share social sharing social-share follow buttons tags meta byline author-bio",
 }
 MAIN = "content article post entry main story body text article-body post-content entry-content main-content story-body page-content blog-post articleBody".split()
+# Words that such parts begin with.
+TOLD = frozenset("sponsored advertisement advertisements ad ads promoted promotion copyright subscribe newsletter share follow tags related recommended trending comments comment replies reply cookies cookie login register ©".split())
 SEMANTIC = {"nav": "nav", "header": "header", "footer": "footer", "aside": "aside", "form": "form", "notice": "div", "ad": "div", "comments": "section", "share": "div"}
 
 
@@ -86,6 +89,10 @@ class Maker:
         extra = self.r.choice(["", "", f" {self.word()}", f" {self.word()}-{self.r.randint(1, 9)}", " block", " clearfix", " row"])
         return f' {self.r.choice(["class", "class", "id"])}="{name}{extra}"'
 
+    def unknown(self, chance: float = 0.5) -> str:
+        """An attribute that says nothing."""
+        return f' {self.r.choice(["class", "id"])}="{self.word()}{self.r.choice(["", "-" + self.word(), "_" + str(self.r.randint(1, 99))])}"' if self.r.random() < chance else ""
+
     def links(self, low: int, high: int) -> str:
         made = [f'<a href="/{self.word()}">{" ".join(self.word() for _ in range(self.r.choice((1, 1, 2, 4))))}</a>' for _ in range(self.r.randint(low, high))]
         how = self.r.random()
@@ -97,7 +104,7 @@ class Maker:
         r = self.r
         tag = SEMANTIC[kind] if r.random() < 0.65 else r.choice(["div", "div", "section"])
         bare = tag not in ("div", "section")
-        head = f"<{tag}{self.attribute(OTHER[kind].split(), 0.5 if bare else 1.0)}>"
+        head = f"<{tag}{self.attribute(OTHER[kind].split(), 0.5 if bare else 1.0) or self.unknown(0.3)}>"
         if kind in ("nav", "share"):
             body = self.links(3, 9)
         elif kind == "header":
@@ -115,6 +122,11 @@ class Maker:
             body = f"<h3>{self.words(1, 3)}</h3>" * (r.random() < 0.6) + (f"<ol>{each}</ol>" if item == "li" else each)
         else:
             body = r.choice([self.sentences(1, 3), f"<p>{self.sentences(1, 2)}</p>", f"<p>{self.words(3, 12)}</p><button>{self.word()}</button>", f"<a href='/x'>{self.words(2, 8)}</a>"])
+        if kind in ("ad", "aside", "form", "comments", "share") and r.random() < 0.35:
+            word = r.choice({"ad": ["Sponsored", "Advertisement", "Ad", "Promoted"], "aside": ["Related", "Recommended", "Trending"], "form": ["Subscribe", "Newsletter", "Login"], "comments": ["Comments", "Replies"], "share": ["Share", "Follow", "Tags"]}[kind])
+            body = r.choice([f"<h3>{word}</h3>{body}", f"{word}: {body}", f"<p>{word} {self.words(1, 4)}</p>{body}"])
+            if kind == "ad" and r.random() < 0.5:
+                return f"<div{self.unknown(0.6)}>{word}: {self.sentences(1, 2)}</div>"
         whole = f"{head}{body}</{tag}>"
         return f"<noscript>{whole}</noscript>" if kind == "notice" and r.random() < 0.15 else whole
 
@@ -126,10 +138,11 @@ class Maker:
         if kind < 0.72:
             return f"<p{y}>{self.word().capitalize()}.</p>"
         if kind < 0.82:
-            return f"<h{(h := r.choice('2234'))}{y}>{self.words(1, 8)}</h{h}>"
+            return f"<h{(h := r.choice('12234'))}{y}>{r.choice([self.words(1, 8), self.word().capitalize()])}</h{h}>"
         if kind < 0.87:
             tag = r.choice(["ul", "ol"])
-            return f"<{tag}{y}>" + "".join(f"<li{y}>{self.words(2, 14)}</li>" for _ in range(r.randint(2, 6))) + f"</{tag}>"
+            low, high = r.choice([(2, 14), (1, 1), (1, 3)])
+            return f"<{tag}{y}>" + "".join(f"<li{y}>{self.words(low, high) if high > 1 else self.word()}</li>" for _ in range(r.randint(1, 6))) + f"</{tag}>"
         if kind < 0.91:
             return f"<blockquote{y}>" + r.choice([f"<p{y}>{self.sentences(1, 4)}</p>", self.sentences(1, 4)]) + "</blockquote>"
         if kind < 0.93:
@@ -140,23 +153,50 @@ class Maker:
             return f"<noscript{y}><p{y}>{self.sentences(1, 6)}</p></noscript>"
         if kind < 0.97:
             return f"<figure{y}><img src='/i.png'><figcaption{y}>{self.words(2, 10)}</figcaption></figure>"
-        return f"<div{y}>{self.sentences(1, 6)}</div>"
+        return f"<div{y}>{self.sentences(1, 6)}{r.choice(['', f'<br>{self.sentences(1, 3)}'])}</div>"
 
-    def page(self) -> str:
+    def inside(self) -> tuple[str, list[str]]:
+        """A title, and blocks of main text with other parts among them."""
         r, y = self.r, " data-y"
         blocks = [self.main_block() for _ in range(r.choice((1, 2, 3, 5, 8, 12, 20)))]
         if r.random() < 0.4:
             blocks[0] = f"<p{y}><b>{self.sentences(1, 3)}<br>" + blocks[0]
         if r.random() < 0.15:
             blocks = [f"<p{y}>{r.choice(['<b>', ''])}{self.words(1, 7)}</p>"]
-        title = r.choice(["", f"<h1{y}>{self.words(2, 9)}</h1>", f"<h1{y}>{self.words(2, 9)}</h1>", f"<header{y}><h1{y}>{self.words(2, 9)}</h1></header>"])
-        for kind in r.sample(["ad", "share", "aside", "notice", "form", "comments"], r.choice((0, 0, 0, 1, 1, 2))):
-            blocks.insert(r.randint(1, len(blocks)), self.other(kind))
+        titles = ["", f"<h1{y}>{self.words(2, 9)}</h1>", f"<h1{y}>{self.words(2, 9)}</h1>", f"<h1{y}>{self.word().capitalize()}</h1>", f"<center{y}><h1{y}>{self.words(1, 5)}</h1></center>", f"<header{y}><h1{y}>{self.words(2, 9)}</h1></header>"]
+        return r.choice(titles), blocks
+
+    def mixed(self, blocks: list[str]) -> list[str]:
+        blocks = list(blocks)
+        for kind in self.r.sample(["ad", "share", "aside", "notice", "form", "comments"], self.r.choice((0, 0, 0, 1, 1, 2))):
+            blocks.insert(self.r.randint(1, len(blocks)), self.other(kind))
+        return blocks
+
+    def article(self) -> str:
+        """Main text in an element of its own; now and then in plain boxes without a name that says so, or with parts of it in boxes."""
+        r, y = self.r, " data-y"
+        title, blocks = self.inside()
+        blocks = self.mixed(blocks)
         tag = r.choice(["article", "article", "article", "main", "div", "div", "section"])
         inside = title + "".join(blocks)
         if r.random() < 0.3:
             inside = title + f"<div{self.attribute(MAIN)}{y}>" + "".join(blocks) + "</div>"
-        whole = f"<{tag}{self.attribute(MAIN, 0.3 if tag in ('article', 'main') else 1.0)}{y}>{inside}" + f"</{tag}>" * (r.random() < 0.97)
+        elif r.random() < 0.1:
+            cut = r.randint(0, len(blocks))
+            inside = title + "".join(blocks[:cut]) + f"<section{self.unknown()}{y}>" + "".join(blocks[cut:]) + "</section>"
+        name = self.attribute(MAIN, 0.3 if tag in ("article", "main") else 1.0) if r.random() < 0.75 else self.unknown()
+        return f"<{tag}{name}{y}>{inside}" + f"</{tag}>" * (r.random() < 0.97)
+
+    def page(self) -> str:
+        r = self.r
+        how = r.random()
+        if how < 0.14:
+            return self.flat()
+        if how < 0.2:
+            return self.laid_out()
+        if how < 0.215:
+            return "<!-- data-y -->" + r.choice([self.sentences(1, 4), f"{self.sentences(1, 2)}<p data-y>{self.sentences(1, 4)}</p>", f"{self.words(3, 9)}\n\n{self.sentences(1, 9)}"])
+        whole = self.article()
         after = "".join(self.other(k) for k in r.sample(["comments", "aside", "share", "ad", "form", "notice", "nav"], r.choice((0, 0, 1, 2, 3))))
         before = "".join(self.other(k) for k in r.sample(["nav", "notice", "ad", "share", "aside", "form"], r.choice((0, 0, 1, 2))))
         if r.random() < 0.45:
@@ -164,15 +204,42 @@ class Maker:
             whole = f"<{shell}{self.attribute(['container', 'wrapper', 'layout', 'page', 'site', 'inner'], 0.8)}>{before}{whole}{after}</{shell}>"
         else:
             whole = before + whole + after
+        return self.framed(whole)
+
+    def framed(self, whole: str, body: str = "") -> str:
+        r = self.r
         top = "".join(self.other(k) for k in r.choice((["nav"], ["nav"], ["header"], ["header", "nav"], ["nav", "ad"], ["notice", "header"], [])))
         end = "".join(self.other(k) for k in r.choice((["footer"], ["footer"], ["footer"], ["aside", "footer"], [], ["notice"])))
-        return f"<!DOCTYPE html><html><head><title>{self.words(2, 6)}</title><style>p{{}}</style></head><body>{top}{whole}{end}</body></html>"
+        return f"<!DOCTYPE html><html><head><title>{self.words(2, 6)}</title><style>p{{}}</style></head><body{body}>{top}{whole}{end}</body></html>"
+
+    def flat(self) -> str:
+        """Main text right in the body, some of it in no element at all."""
+        title, blocks = self.inside()
+        blocks = blocks if self.r.random() < 0.6 else blocks[: self.r.choice((1, 2, 2, 3))]
+        blocks = [b if self.r.random() < 0.75 else self.sentences(1, 4) for b in blocks]
+        if self.r.random() < 0.3:
+            blocks[0] = self.sentences(1, 4)
+        title = title if self.r.random() < 0.7 else ""
+        if self.r.random() < 0.4:
+            return f"<html><body data-y>{title}{''.join(blocks)}</body></html>"
+        return self.framed(title + "".join(self.mixed(blocks)), " data-y")
+
+    def laid_out(self) -> str:
+        """Columns as cells of a table."""
+        title, blocks = self.inside()
+        side = f"<td{self.unknown(0.3)}>{self.other(self.r.choice(['nav', 'aside', 'ad']))}</td>"
+        own = f"<td{self.unknown(0.3)} data-y>{title}{''.join(self.mixed(blocks))}</td>"
+        more = f"<tr><td>{self.other(self.r.choice(['ad', 'footer', 'nav']))}</td></tr>" if self.r.random() < 0.4 else ""
+        if self.r.random() < 0.3:
+            more = f"<tr><td>{self.r.choice(['Sponsored', 'Advertisement', 'Ad'])}: {self.sentences(1, 1)}</td></tr>"
+        return self.framed(f"<table><tr>{''.join(self.r.choice([[side, own], [own, side], [own], [side, own, side]]))}</tr>{more}</table>")
 
 
 def labelled(source: str) -> tuple[Page, np.ndarray]:
     """A made-up page and which of its nodes are main text: the attribute is read as a token, then taken away."""
     page = read(source.replace(" data-y", ' rel="isy"'))
     y = np.array(["isy" in t for t in page.tokens])
+    y[0] = source.startswith("<!-- data-y -->")  # a page without elements, whose text hangs on the root
     page.tokens = [tuple(x for x in t if x != "isy") for t in page.tokens]
     return page, y
 
@@ -221,7 +288,7 @@ def features(pages: list[Page], lexicon: Lexicon) -> np.ndarray:
             if p >= 0:
                 path_low[i], path_high[i] = min(path_low[p], low[i]), max(path_high[p], high[i])
                 path_tag_low[i], path_tag_high[i] = min(path_tag_low[p], tag[i]), max(path_tag_high[p], tag[i])
-        text, linked, marks, count, longest = np.zeros(n), np.zeros(n), np.zeros(n), np.zeros(n), np.zeros(n)
+        text, linked, marks, count, longest, told = np.zeros(n), np.zeros(n), np.zeros(n), np.zeros(n), np.zeros(n), np.zeros(n)
         for node, block, in_links in page.blocks:
             size = len(block)
             text[node] += size
@@ -229,6 +296,7 @@ def features(pages: list[Page], lexicon: Lexicon) -> np.ndarray:
             marks[node] += block.count(",") + block.count(".")
             count[node] += 1
             longest[node] = max(longest[node], size)
+            told[node] += block.split(None, 1)[0].strip(":.,!|").lower() in TOLD
 
         index = np.arange(n)
 
@@ -261,9 +329,9 @@ def features(pages: list[Page], lexicon: Lexicon) -> np.ndarray:
             tag, low, high, path_low, path_high, path_tag_low, path_tag_high, depth, place, family, place / np.maximum(1, family - 1), siblings,
             np.log1p(whole), whole / all_text, links / np.maximum(1, whole), (end - index) / (whole + 20), below(marks) / (whole + 20), below(count), whole / np.maximum(1, below(count)),
             np.log1p(text), np.log1p(longest), paragraphs, items, controls, (seen_before + whole / 2) / all_text, np.log1p(before), np.log1p(after),
-            links[up] / np.maximum(1, whole[up]), np.log1p(whole[up]), tag[up], low[up], high[up], paragraphs[up], controls[up],
+            links[up] / np.maximum(1, whole[up]), np.log1p(whole[up]), tag[up], low[up], high[up], paragraphs[up], controls[up], told, below(told) / np.maximum(1, below(count)),
         ], axis=1))
-    return np.concatenate(out) if out else np.empty((0, 34))
+    return np.concatenate(out) if out else np.empty((0, 36))
 
 
 def decode(page: Page, odds: np.ndarray) -> np.ndarray:
@@ -287,7 +355,7 @@ def decode(page: Page, odds: np.ndarray) -> np.ndarray:
 
 
 @functools.lru_cache(maxsize=2)
-def model(pages: int = 1000, seed: int = 11) -> tuple[Lexicon, boosting.Forest]:
+def model(pages: int = 2400, seed: int = 11) -> tuple[Lexicon, boosting.Forest]:
     """The lexicon from one half of the made-up pages, the trees from the other, so that unseen names occur there."""
     maker = Maker(seed)
     made = [labelled(maker.page()) for _ in range(pages)]
