@@ -239,18 +239,18 @@ RENAMES = (
     {"dp": "table"}, {"dist": "distances"}, {"ans": "final"}, {"cnt": "count"}, {"curr": "current"},
 )
 RESERVED = {
-    "python": "as async await case class def from import lambda match with yield",
-    "java": "abstract boolean byte char class double enum final float import int interface long package private protected public record short static void",
-    "cpp": "Vec auto char class enum int namespace private protected public struct template typename union virtual void",
-    "c": "auto char const double enum extern float int long register short signed static struct typedef union unsigned void volatile",
-    "csharp": "abstract class dynamic int interface namespace out readonly ref sealed string struct var void",
-    "go": "chan func go go_to map range type",
-    "javascript": "class const export extends function import let static var",
-    "typescript": "any class const export function import interface let module namespace never type unknown var void",
-    "php": "abstract class final function interface namespace private protected public static trait use",
-    "ruby": "begin class def do end if module rescue unless until while",
-    "rust": "Box Option Result Vec enum fn impl let loop match mod mut ref struct trait type use where",
-    "swift": "Self class deinit enum func guard init let protocol struct switch var where",
+    "python": {"as", "async", "await", "case", "class", "def", "from", "import", "lambda", "match", "with", "yield"},
+    "java": {"abstract", "boolean", "byte", "char", "class", "double", "enum", "final", "float", "import", "int", "interface", "long", "package", "private", "protected", "public", "record", "short", "static", "void"},
+    "cpp": {"Vec", "auto", "char", "class", "enum", "int", "namespace", "private", "protected", "public", "struct", "template", "typename", "union", "virtual", "void"},
+    "c": {"auto", "char", "const", "double", "enum", "extern", "float", "int", "long", "register", "short", "signed", "static", "struct", "typedef", "union", "unsigned", "void", "volatile"},
+    "csharp": {"abstract", "class", "dynamic", "int", "interface", "namespace", "out", "readonly", "ref", "sealed", "string", "struct", "var", "void"},
+    "go": {"chan", "func", "go", "go_to", "map", "range", "type"},
+    "javascript": {"class", "const", "export", "extends", "function", "import", "let", "static", "var"},
+    "typescript": {"any", "class", "const", "export", "function", "import", "interface", "let", "module", "namespace", "never", "type", "unknown", "var", "void"},
+    "php": {"abstract", "class", "final", "function", "interface", "namespace", "private", "protected", "public", "static", "trait", "use"},
+    "ruby": {"begin", "class", "def", "do", "end", "if", "module", "rescue", "unless", "until", "while"},
+    "rust": {"Box", "Option", "Result", "Vec", "enum", "fn", "impl", "let", "loop", "match", "mod", "mut", "ref", "struct", "trait", "type", "use", "where"},
+    "swift": {"Self", "class", "deinit", "enum", "func", "guard", "init", "let", "protocol", "struct", "switch", "var", "where"},
 }
 # Renames of templates, tried in this order; the first is the template itself.
 TEMPLATE_RENAMES = (
@@ -261,7 +261,7 @@ TEMPLATE_RENAMES = (
 
 def allowed(scheme: dict[str, str], language: str) -> dict[str, str]:
     """A scheme without renames to words that the language reserves."""
-    reserved = RESERVED.get(language, "").split()
+    reserved = RESERVED.get(language, set())
     return {old: new for old, new in scheme.items() if new not in reserved}
 
 

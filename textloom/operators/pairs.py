@@ -71,10 +71,12 @@ def cross_label(points: DataFrame, total: int, cap: int = 3000, seed: int = 42,
     Each attempt of a cell is a slot number. A side's row of a slot is the one at that place, modulo its rows, of the label's
     rows in hash order; attempts that break a rule are dropped, and the first quota of the others stay. So a row meets
     only as many others as it has slots, and only the first quota * 4 rows of a label take part. These few rows, without
-    their codes, are stored once for both sides. codes: whether code_a and code_b are joined to the pairs.
+    their codes, are stored once for both sides. codes: whether code_a and code_b are joined to the pairs; without
+    them, points may have the hash of their code, sha, instead.
     """
     slim = ["ord", "label", "tokens", "problem_id"]
-    rows = points.where(F.col("label").isNotNull()).select("split", "language", *slim, F.sha2("code", 256).alias("sha"), label_index(F.col("label")).alias("i"))
+    sha = F.col("sha") if "sha" in points.columns else F.sha2("code", 256)
+    rows = points.where(F.col("label").isNotNull()).select("split", "language", *slim, sha.alias("sha"), label_index(F.col("label")).alias("i"))
     rows = checkpointed(rows)
     most = quotas(rows, total, cap).withColumn("attempts", F.col("quota") * ATTEMPTS)
     sizes = rows.groupBy("split", "language", "i").agg(F.count("*").alias("n")).join(most, ["split", "language"])

@@ -67,11 +67,12 @@ OWN = {"trees": trees.Model, "perceptron": perceptron.Model}
 TREES: dict[str, trees.Settings] = {"lgbm": trees.LEAFWISE, "xgb": trees.DEPTHWISE}
 
 
-def fit(name: str, train: DataFrame, seed: int = 42, params: dict | None = None, val: DataFrame | None = None) -> Model | trees.Model | perceptron.Model:
-    """A head on rows (y, features), with the head's own settings but for `params`. val: rows that tell when to stop, for heads that can."""
+def fit(name: str, train: DataFrame, seed: int = 42, params: dict | None = None, val: DataFrame | None = None, watch: Callable[[int, float], None] | None = None) -> Model | trees.Model | perceptron.Model:
+    """A head on rows (y, features), with the head's own settings but for `params`. val: rows that tell when to stop, for heads that can;
+    watch is told the validation loss of each round of trees."""
     if name in TREES:
         rows = weighted(train).drop("vector")
-        return trees.fit(rows, replace(TREES[name], seed=seed, **(params or {})), None if val is None else weighted(val).drop("vector"))
+        return trees.fit(rows, replace(TREES[name], seed=seed, **(params or {})), None if val is None else weighted(val).drop("vector"), watch=watch)
     if name == "mlp":
         rows = weighted(train).drop("vector")
         return perceptron.fit(rows, perceptron.Settings(seed=seed, **(params or {})), None if val is None else weighted(val).drop("vector"))

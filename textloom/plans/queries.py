@@ -9,7 +9,7 @@ from textloom.functions import code as code_functions
 from textloom.functions import text as X
 from textloom.functions import vectors as V
 from textloom.functions.labels import normalized
-from textloom.operators import augment, counts, dedup, metrics, pairs, rank, select, sets
+from textloom.operators import augment, bloom, counts, dedup, metrics, pairs, rank, select, sets
 from textloom.operators.store import checkpointed
 from textloom.plans import adapters as A
 from textloom.plans.adapters import with_views
@@ -233,7 +233,7 @@ def whole_word(value: str, old: str, new: str) -> str:
     return once.format(once.format(value))
 
 
-#: Renames in the words of the test texts: short words of two languages, and one that is kept from going to a reserved word.
+#: Renames in the words of the test texts: short words of two languages. Their languages reserve no words.
 _SCHEMES = ({"a": "p", "the": "q"}, {"de": "final", "les": "xs"})
 
 
@@ -457,6 +457,17 @@ def resume_anti_join(spark, sf):
     return sets.remaining(A.table(spark, sf, "documents").select("doc_id"), A.table(spark, sf, "labels"), "doc_id")
 
 
+@query("""SELECT l_orderkey, l_linenumber FROM lineitem SEMI JOIN (SELECT o_orderkey AS l_orderkey FROM orders WHERE o_orderkey % 97 = 5) USING (l_orderkey)
+    UNION ALL SELECT o_orderkey, -1 FROM orders WHERE o_custkey NOT IN (SELECT user_id FROM events WHERE user_id IS NOT NULL)""")
+def filtered_joins(spark, sf):
+    """A semi and an anti join behind Bloom filters of their keys."""
+    orders = A.table(spark, sf, "orders")
+    few = orders.where("o_orderkey % 97 = 5").select(F.col("o_orderkey").alias("l_orderkey"))
+    lines = bloom.semi(A.table(spark, sf, "lineitem").select("l_orderkey", F.col("l_linenumber").cast("long").alias("l_linenumber")), few, ["l_orderkey"])
+    users = A.table(spark, sf, "events").select(F.col("user_id").alias("o_custkey"))
+    return lines.select("l_orderkey", "l_linenumber").union(bloom.anti(orders.select("o_orderkey", "o_custkey"), users, ["o_custkey"]).select("o_orderkey", F.lit(-1).cast("long")))
+
+
 @query("SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey FROM supplier")
 def set_intersection(spark, sf):
     return sets.shared(A.table(spark, sf, "customer").select(F.col("c_nationkey").alias("k")), A.table(spark, sf, "supplier").select(F.col("s_nationkey").alias("k")))

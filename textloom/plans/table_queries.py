@@ -128,9 +128,9 @@ def nested_report(spark, sf):
     """A report's map of metrics per language, one level down, as rows."""
     nation = A.table(spark, sf, "nation").select(F.col("n_nationkey").alias("s_nationkey"), F.col("n_name").alias("language"))
     rows = A.table(spark, sf, "supplier").join(nation, "s_nationkey").groupBy("language").agg(F.round(F.avg("s_acctbal"), 4).alias("accuracy"))
-    report = rows.agg(F.map_from_entries(F.collect_list(F.struct("language", F.struct("accuracy")))).alias("per_language")).select(F.to_json(F.struct(F.struct("per_language").alias("test"))).alias("value"))
+    report = rows.agg(F.map_from_entries(F.collect_list(F.struct("language", F.struct("accuracy")))).alias("per_language")).select(F.struct("per_language").alias("test"))
     path = place(spark, "nested")
-    report.coalesce(1).write.text(path)
+    sinks.report(report, path)
     return readers.nested_metrics(spark, path)
 
 
@@ -149,8 +149,10 @@ def run_folders(spark, sf):
 @query("SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'python' WHEN 1 THEN 'java' END AS language FROM documents")
 def language_by_file(spark, sf):
     """What a row's file is called says its language; a name that isn't in the table says nothing."""
-    rows = A.table(spark, sf, "documents").select("doc_id", F.element_at(F.array(*map(F.lit, ("mbpp", "mbjp", "other"))), (F.col("doc_id") % 3).cast("int") + 1).alias("file"))
-    return readers.named_table(rows, "file", {"mbpp": "python", "mbjp": "java"}, "language").select("doc_id", "language")
+    path, stem = place(spark, "named"), F.element_at(F.array(*map(F.lit, ("mbpp", "mbjp", "other"))), (F.col("doc_id") % 3).cast("int") + 1)
+    rows = A.table(spark, sf, "documents").select(F.concat(stem, F.lit("."), F.col("doc_id"), F.lit(".jsonl")).alias("name"), F.to_json(F.struct("doc_id", "source")).alias("document"))
+    sinks.files(rows, path)
+    return readers.file_table(spark.read.schema("doc_id long, source string").json(path), {"mbpp": "python", "mbjp": "java"}, "language").select("doc_id", "language")
 
 
 @query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'python' ELSE 'rust' END AS language, sha256(text) AS code_hash FROM documents WHERE text IS NOT NULL AND doc_id % 5 <> 0")
@@ -159,7 +161,8 @@ def source_files(spark, sf):
     path = place(spark, "files")
     ending = F.when(F.col("doc_id") % 5 == 0, ".txt").when(F.col("doc_id") % 2 == 0, ".py").otherwise(".rs")
     rows = A.table(spark, sf, "documents").where("text is not null").select(F.concat(F.lit("d"), F.col("doc_id"), ending).alias("name"), F.col("text").alias("document"))
-    found = readers.sources_of(rows.withColumn("path", F.concat(F.lit(path), F.lit("/"), F.col("name"))), ("python", "rust"))
+    sinks.files(rows, path)
+    found = readers.sources(spark, path, ("python", "rust"))
     return found.select(F.regexp_extract("path", r"d(\d+)\.", 1).cast("long").alias("doc_id"), "language", X.code_hash(F.col("code")).alias("code_hash"))
 
 

@@ -21,7 +21,7 @@ rounds are kept; a feature with one value is never split; an empty table, or one
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import asdict, dataclass, field, replace
 
 import numpy as np
@@ -359,8 +359,8 @@ def _value(sums: np.ndarray, settings: Settings) -> float:
     return float(-shrunk(g, settings.l1) / max(h + settings.l2, 1e-300) * settings.rate) if h + settings.l2 > 0 else 0.0
 
 
-def boosted(rows: Local | Spread, edges: list[list[float]], base: float, settings: Settings) -> Model:
-    """Rounds until `stop` of them in a row gave no smaller validation loss; then the trees up to the best round stay."""
+def boosted(rows: Local | Spread, edges: list[list[float]], base: float, settings: Settings, watch: Callable[[int, float], None] | None = None) -> Model:
+    """watch is told each round's validation loss, and may raise. Rounds until `stop` of them in a row gave no smaller validation loss; then the trees up to the best round stay."""
     model, since, losses = Model(edges, base, [], settings), [], []
     for number in range(settings.rounds + 1):
         if len(since) == RENEW:
@@ -368,6 +368,8 @@ def boosted(rows: Local | Spread, edges: list[list[float]], base: float, setting
         sums, (loss, weight) = rows.sums(since, Tree(), [(0, -1, 0, True)], settings, number, True)
         if weight > 0:
             losses.append(float(loss / weight))
+            if watch:
+                watch(number, losses[-1])
         best = int(np.argmin(losses)) if losses else 0
         if number == settings.rounds or settings.stop and losses and number - best >= settings.stop:
             break
@@ -403,8 +405,8 @@ def matrix(rows: list, features: int) -> np.ndarray:
     return np.array([[np.nan if x is None else x for x in row] for row in rows], np.float64).reshape(len(rows), features)
 
 
-def fit(train: DataFrame, settings: Settings, val: DataFrame | None = None, weight: str | None = "weight", block: int = BLOCK) -> Model:
-    """Trees on rows (features, y and, if weight is named and there, a weight). val: rows that tell when to stop."""
+def fit(train: DataFrame, settings: Settings, val: DataFrame | None = None, weight: str | None = "weight", block: int = BLOCK, watch: Callable[[int, float], None] | None = None) -> Model:
+    """Trees on rows (features, y and, if weight is named and there, a weight). val: rows that tell when to stop; watch: of boosted()."""
     spark = train.sparkSession
     own = lambda df, held: df.where("y is not null").select(F.col("features").cast("array<double>").alias("features"), F.col("y").cast("double").alias("y"), (F.col(weight).cast("double") if weight and weight in df.columns else F.lit(1.0)).alias("weight"), F.lit(held).alias("held"))
     fitted = own(train, False)
@@ -438,7 +440,7 @@ def fit(train: DataFrame, settings: Settings, val: DataFrame | None = None, weig
     rows = fitted if val is None else fitted.unionByName(own(val, True))
     spread = Spread(stored(rows.mapInArrow(blocks, KINDS), "blocks"), features)
     try:
-        return boosted(spread, edges, base, settings)
+        return boosted(spread, edges, base, settings, watch)
     finally:
         spread.blocks.unpersist()
 

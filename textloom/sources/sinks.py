@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textloom.schemas import PREDICTIONS, conform
-from textloom.sources.readers import exists
+from textloom.sources import chunks as chunked
 
 
 def jsonl(df: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -36,26 +37,32 @@ def table(df: DataFrame, path: str, by: tuple[str, ...] = (), mode: str = "overw
 
 
 def resumed(df: DataFrame, path: str, key: str, work: Callable[[DataFrame], DataFrame], chunks: int = 1) -> DataFrame:
-    """Work on the rows whose key the table doesn't have, chunk by chunk, and return the whole table.
-
-    Keys are dealt to chunks by hash. A chunk is appended as a whole or not at all, so a run that broke off goes on after
-    the last chunk that was written; what it had done of the next one is done again.
-    """
-    spark = df.sparkSession
-    for i in range(chunks):
-        rows = df.where(F.pmod(F.xxhash64(key), F.lit(chunks)) == i) if chunks > 1 else df
-        if exists(spark, f"{path}/_SUCCESS"):
-            rows = rows.join(spark.read.parquet(path).select(key), key, "left_anti")
-            if rows.isEmpty():
-                continue
-        work(rows).write.mode("append").option("compression", "zstd").parquet(path)
-    return spark.read.parquet(path)
-
-
-def cached(df: DataFrame, path: str, code: str, settings: str, work: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Work on the rows whose key isn't there yet, chunk by chunk, and return the results of all: see the module chunks."""
+    return chunked.worked(df, path, key, work, chunks)
+
+
+def cached(df: DataFrame, path: str, code: str, settings: str, work: Callable[[DataFrame], DataFrame], chunks: int = 1) -> DataFrame:
     """work's result per distinct code, kept under the hash of settings and code; known codes aren't worked on again."""
     keyed = df.withColumn("cache_key", F.sha2(F.concat(F.lit(f"{settings}|"), F.col(code)), 256))
-    return resumed(keyed.dropDuplicates(["cache_key"]), path, "cache_key", work)
+    return resumed(keyed, path, "cache_key", work, chunks)
+
+
+def files(df: DataFrame, path: str, name: str = "name", content: str = "document") -> int:
+    """A file per row, by the tasks that have the rows, in any file system that pyarrow knows by its address; returns how many. A task that is run again
+    writes its files again."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        system, root = fs.FileSystem.from_uri(path)
+        system.create_dir(root, recursive=True)
+        for batch in batches:
+            for own, text in zip(batch[name].to_pylist(), batch[content].to_pylist()):
+                with system.open_output_stream(f"{root}/{own}") as out:
+                    out.write((text or "").encode())
+            yield pa.RecordBatch.from_pydict({"n": pa.array([batch.num_rows], pa.int64())})
+
+    return df.select(name, content).mapInArrow(rows, "n long").agg(F.sum("n")).first()[0] or 0
 
 
 def predictions(pairs: DataFrame, path: str) -> DataFrame:
@@ -74,10 +81,12 @@ def csv(df: DataFrame, path: str) -> None:
     df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
 
 
-def markdown(df: DataFrame, most: int = 200) -> str:
-    """A report's first rows as a Markdown table."""
-    rows = [[str(x) for x in row] for row in df.limit(most).collect()]
-    lines = [df.columns, ["---"] * len(df.columns), *rows]
+def markdown(df: DataFrame, most: int = 10_000) -> str:
+    """A report as a Markdown table; it comes to the driver, so one of more than `most` rows is refused rather than cut."""
+    found = df.limit(most + 1).collect()
+    if len(found) > most:
+        raise ValueError(f"more than {most} rows: write a table instead")
+    lines = [df.columns, ["---"] * len(df.columns), *([str(x) for x in row] for row in found)]
     return "\n".join("| " + " | ".join(r) + " |" for r in lines)
 
 
