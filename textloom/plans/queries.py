@@ -712,6 +712,15 @@ def head_xgb_metrics(spark, sf):
     return _head(spark, sf, "xgb", {"rounds": 24, "rate": 0.2, "depth": 4, "stop": 5})
 
 
+@query()
+def sweep_metrics(spark, sf):
+    """Two heads and two seeds on each of three parts of the vectors, in one job."""
+    from textloom.plans import grouped
+
+    rows = _matrix(spark, sf).withColumn("language", F.concat(F.lit("part-"), F.col("id") % 3))
+    return grouped.swept(rows.where("id % 5 <> 0"), rows.where("id % 5 = 0"), ["logreg", "lgbm"], [1, 2], params={"lgbm": {"rounds": 10, "leaves": 8, "rate": 0.2}})
+
+
 @query()
 def head_stacked_metrics(spark, sf):
     from textloom.plans import heads
