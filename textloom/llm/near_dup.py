@@ -263,7 +263,8 @@ def tiles(members: DataFrame) -> DataFrame:
 
     A bucket's largest component and what is outside it are dealt out to parts of about CHUNK / 2 documents; a tile has two
     parts, at least one of them outside. Side 0 meets the whole tile, sides 1 and 2 meet each other. Rows stay if the
-    samples leave a pair with another component open.
+    samples leave a pair with another component open. A bucket of n documents, o of them outside, sends some n * o / most rows of
+    samples: with many components in one bucket that grows with n squared, over the 256 documents of a part.
     """
     most = max(1, CHUNK // 2)
     sizes = members.groupBy("key", "component").agg(F.count("*").alias("n"))

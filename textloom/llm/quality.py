@@ -173,7 +173,7 @@ def fit(rows: list[np.ndarray], y: np.ndarray, cost: float = 10.0, epochs: int =
 def train(documents: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE, id_column: str = "doc_id", text_column: str = "text", seed: int = 0) -> Model:
     """A model from at most `sample` labelled rows outside the held-out fold.
 
-    What is collected is bounded: a row for each sampled label, of at most 2**BITS places of 4 bytes, so at most 1 MB each.
+    Ids are whole numbers here (score() takes any). What is collected is bounded: a row for each sampled label, of at most 2**BITS places of 4 bytes, so at most 1 MB each.
     """
     known = labels.select(F.col(id_column).alias("id"), F.col(label).cast("int").alias("y")).where(F.col("y").isin(0, 1) & F.col("id").isNotNull() & ~held_out(F.col("id")))
     texts = documents.select(F.col(id_column).alias("id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
