@@ -15,7 +15,7 @@ from textloom.plans import adapters as A
 from textloom.plans import pipeline
 from textloom.plans.adapters import with_views
 from textloom.plans.registry import query, rounded
-from textloom.sources import readers, sinks
+from textloom.sources import lines, readers, sinks
 
 
 def place(spark: SparkSession, name: str) -> str:
@@ -49,6 +49,16 @@ def file_order(spark, sf):
     return rank.places(readers.jsonl(spark, path, _RECORD).select("doc_id", "ord"), ["ord"], "place").select("doc_id", "place")
 
 
+@query("""SELECT row_number() OVER (ORDER BY doc_id) - 1 AS place, CASE WHEN doc_id % 7 = 0 THEN NULL ELSE doc_id END AS doc_id, CASE WHEN doc_id % 7 = 0 THEN 'not JSON' END AS reason FROM documents""")
+def lines_by_place(spark, sf):
+    """Files of lines, some broken off, read as byte ranges: (file, at) gives back the order in which they were written."""
+    path, line = place(spark, "places"), F.to_json(F.struct("doc_id", "text", "source"))
+    rows = A.table(spark, sf, "documents").repartitionByRange(3, "doc_id").sortWithinPartitions("doc_id")
+    rows.select(F.when(F.col("doc_id") % 7 == 0, F.substring(line, 1, 9)).otherwise(line).alias("value")).write.text(path)
+    found = lines.jsonl(spark, path, _RECORD, 1 << 20).select("file", "at", "doc_id", "reason")
+    return rank.places(found, ["file", "at"], "place").select("place", "doc_id", "reason")
+
+
 @query(with_views("points") + "SELECT id, label FROM points WHERE split = 'val'")
 def table_by_split(spark, sf):
     path = place(spark, "points")
