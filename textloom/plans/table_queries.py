@@ -15,7 +15,7 @@ from textloom.plans import adapters as A
 from textloom.plans import pipeline
 from textloom.plans.adapters import with_views
 from textloom.plans.registry import query, rounded
-from textloom.sources import lines, readers, sinks
+from textloom.sources import destinations, lines, readers, sinks
 
 
 def place(spark: SparkSession, name: str) -> str:
@@ -85,6 +85,15 @@ def accepted_and_rejects(spark, sf):
     return kept.union(spark.read.schema("ord long, reject_reason string").json(bad).select("ord", F.lit(False), "reject_reason"))
 
 
+@query("SELECT doc_id, CASE WHEN coalesce(length(text), 0) < 200 THEN 'rejects' ELSE 'lang=' || lang END AS folder FROM documents")
+def routed_rows(spark, sf):
+    """Short texts to one folder and the others to one of their language, written in one pass; a row's folder is read from its file's path."""
+    path, rows = place(spark, "routed"), A.table(spark, sf, "documents").select("doc_id", "text", "lang")
+    destinations.write(rows, path, F.when(F.coalesce(F.length("text"), F.lit(0)) < 200, "rejects").otherwise(F.concat(F.lit("lang="), "lang")))
+    found = spark.read.schema("doc_id long").option("recursiveFileLookup", True).parquet(path)
+    return found.select("doc_id", F.regexp_extract(F.col("_metadata.file_path"), "/([^/]+)/[^/]+$", 1).alias("folder"))
+
+
 @query(with_views("snippets") + "SELECT id, language FROM snippets WHERE language IN ('en', 'de') AND coalesce(code, '') <> ''")
 def allowed_languages(spark, sf):
     return pipeline.allowed(A.snippets(spark, sf), ("en", "de")).where("code is not null and code <> ''").select("id", "language")
