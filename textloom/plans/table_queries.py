@@ -12,7 +12,7 @@ from textloom.functions import text as X
 from textloom.operators import rank
 from textloom.operators.store import checkpoint_folder
 from textloom.plans import adapters as A
-from textloom.plans import pipeline
+from textloom.plans import graph, pipeline
 from textloom.plans.adapters import with_views
 from textloom.plans.registry import query, rounded
 from textloom.sources import destinations, lines, readers, sinks
@@ -203,6 +203,24 @@ def log_appends(spark, sf):
     return spark.read.schema("doc_id long").json(path).agg(F.count("*").alias("n"), F.sum("doc_id").alias("ids"))
 
 
+def _sized(rows):
+    return rows.select("doc_id", "lang", F.length("text").alias("n"))
+
+
+def _longest(rows, most):
+    return rows.where(F.col("n") <= most).groupBy("lang").agg(F.max(F.struct("n", (-F.col("doc_id")).alias("less"))).alias("top")).select("lang", F.col("top.n").cast("long").alias("n"), (-F.col("top.less")).alias("doc_id"))
+
+
+@query("SELECT lang, CAST(n AS BIGINT) AS n, min(doc_id) AS doc_id, CAST(1 AS BIGINT) AS again FROM (SELECT lang, doc_id, length(text) AS n, max(length(text)) OVER (PARTITION BY lang) AS m FROM documents WHERE length(text) <= 5000) WHERE n = m GROUP BY lang, n")
+def build_graph(spark, sf):
+    """Two stages on all documents; with another setting only the second is run again."""
+    path, source = place(spark, "graph"), {"documents": f"{sf}/documents.parquet"}
+    made = lambda most: graph.build(spark, [graph.Stage("sized", _sized, ("documents",)), graph.Stage("longest", _longest, ("sized",), {"most": most})], source, path)
+    made(1000)
+    last = made(5000)
+    return last.rows("longest").select("lang", "n", "doc_id", F.lit(len(last.ran)).cast("long").alias("again"))
+
+
 @query()
 def dataset_build(spark, sf):
     """The whole build, from raw records to points and pairs, on documents as programs: sizes by split."""
