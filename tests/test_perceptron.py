@@ -26,7 +26,7 @@ def test_gradient_is_the_slope():
 def test_any_number_of_tasks_gives_the_same_weights(spark):
     x, y = made(400, 4, 1)
     other, truth = made(200, 4, 2)
-    s = perceptron.Settings(width=16, epochs=4, batch=128, rate=0.01)
+    s = perceptron.Settings(width=16, epochs=3, batch=256, rate=0.01)
     models = [perceptron.fit(frame(spark, x, y, n), s, frame(spark, other, truth, n), key="id", tasks=n) for n in (1, 4)]
     assert all((a == b).all() for a, b in zip(models[0].weights, models[1].weights)) and models[0].accuracies == models[1].accuracies
     again = perceptron.Model.from_json(models[0].to_json())

@@ -68,7 +68,7 @@ def scores(name: str, seed: int, params: dict, x: np.ndarray, y: np.ndarray, oth
         x, other = (np.where(np.isfinite(v), v, 0.0) for v in (x, other))
         number = np.arange(len(y)) % perceptron.SHARDS
         shards = [perceptron.Shard(int(i), x[number == i], y[number == i].astype(int), weight[number == i], np.zeros((number == i).sum(), bool)) for i in np.unique(number)]
-        model = perceptron.trained(shards, x.shape[1], perceptron.Settings(seed=seed, **params), perceptron.Gathered(lambda own: [own]))
+        model = perceptron.trained(shards, x.shape[1], perceptron.Settings(seed=seed, **params), perceptron.Alone())
         return model.scores(other)
     raise ValueError(f"no head {name} for rows of a task")
 

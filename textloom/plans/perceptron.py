@@ -1,11 +1,11 @@
-"""A perceptron trained by all tasks of a barrier stage in mini-batches, with gathered gradients, dropout and early stopping.
+"""A perceptron trained by all tasks of a barrier stage in mini-batches, with summed gradients, dropout and early stopping.
 
 Rows are dealt to SHARDS logical shards by a hash of their key and ordered in them; a task holds the shards that hash to it, as
 arrays, so a task's memory bounds its share of the rows, and more tasks hold more rows. A step takes an even share of the batch from each
-shard, in an order of the shard's own for each epoch. Each task sums the gradients of its rows as integers (fixed point), all
-tasks gather the sums, and each makes the same step of AdamW. Sums of integers don't depend on their order, and orders and dropout
-follow from (seed, epoch, step, shard), so any number of tasks gives the same weights to the last bit. What is gathered is a
-gradient a task, so it doesn't grow with the rows.
+shard, in an order of the shard's own for each epoch. Each task sums the gradients of its rows as integers (fixed point), the
+sums are added along a tree of tasks, and each makes the same step of AdamW. Sums of integers don't depend on their order, and orders and dropout
+follow from (seed, epoch, step, shard), so any number of tasks gives the same weights to the last bit. What travels is a
+gradient a task and step, so it doesn't grow with the rows.
 
 A lost executor fails the stage, and Spark starts all its tasks again, which come to the same result.
 
@@ -17,6 +17,8 @@ from __future__ import annotations
 
 import base64
 import json
+import socket
+import uuid
 from collections.abc import Iterator
 from dataclasses import asdict, dataclass
 
@@ -135,17 +137,70 @@ class Shard:
     held: np.ndarray
 
 
-class Gathered:
-    """Sums over all tasks of integers, by all tasks."""
-
-    def __init__(self, gather):
-        self.gather = gather
+class Alone:
+    """The sums of a single task."""
 
     def __call__(self, own: np.ndarray) -> np.ndarray:
-        return sum(np.frombuffer(base64.b64decode(x), "<i8") for x in self.gather(base64.b64encode(own.astype("<i8").tobytes()).decode()))
+        return own
+
+    def close(self) -> None:
+        pass
+
+
+class Tree:
+    """Sums of integers over all tasks of a barrier stage, along a binary tree of sockets: up by partial sums, down by the total.
+
+    The stage's own gathering, which waits a second each time, only tells the tasks' addresses, with a secret that a child must know. A task that
+    is lost breaks the connections, so the stage fails as a whole and is run again.
+    """
+
+    def __init__(self, context, seconds: float = 900.0):
+        rank, infos = context.partitionId(), context.getTaskInfos()
+        self.children, self.parent = [], None
+        mine = [c for c in (2 * rank + 1, 2 * rank + 2) if c < len(infos)]
+        secret, server = uuid.uuid4().hex, socket.create_server(("", 0), backlog=4)
+        server.settimeout(seconds)
+        about = [json.loads(x) for x in context.allGather(json.dumps([infos[rank].address.rsplit(":", 1)[0], server.getsockname()[1], secret]))]
+        if rank:
+            host, port, known = about[(rank - 1) // 2]
+            self.parent = socket.create_connection((host, port), seconds)
+            self.parent.sendall(known.encode())
+        while len(self.children) < len(mine):
+            child, _ = server.accept()
+            child.settimeout(seconds)
+            if self._read(child, len(secret)) == secret.encode():
+                self.children.append(child)
+            else:
+                child.close()
+        server.close()
 
+    @staticmethod
+    def _read(source: socket.socket, size: int) -> bytes:
+        out = bytearray()
+        while len(out) < size:
+            part = source.recv(min(1 << 20, size - len(out)))
+            if not part:
+                raise ConnectionError("a task is gone")
+            out += part
+        return bytes(out)
 
-def trained(shards: list[Shard], features: int, settings: Settings, total: Gathered) -> Model:
+    def __call__(self, own: np.ndarray) -> np.ndarray:
+        total = own.astype("<i8")
+        for child in self.children:
+            total = total + np.frombuffer(self._read(child, total.nbytes), "<i8")
+        if self.parent:
+            self.parent.sendall(total.tobytes())
+            total = np.frombuffer(self._read(self.parent, total.nbytes), "<i8")
+        for child in self.children:
+            child.sendall(total.tobytes())
+        return total
+
+    def close(self) -> None:
+        for x in [*self.children, *([self.parent] if self.parent else [])]:
+            x.close()
+
+
+def trained(shards: list[Shard], features: int, settings: Settings, total: Alone | Tree) -> Model:
     """What each task runs on its shards."""
     weights, fits = begun(features, settings), [s for s in shards if not s.held.all()]
     optimizer, share = AdamW(weights, settings), -(-settings.batch // SHARDS)
@@ -222,7 +277,11 @@ def fit(train: DataFrame, settings: Settings, val: DataFrame | None = None, key:
                 on = shard == number
                 parts.setdefault(int(number), []).append((x[on], y[on], w[on], held[on]))
         shards = [Shard(number, *(np.concatenate(c) for c in zip(*own))) for number, own in sorted(parts.items())]
-        model = trained(shards, features, settings, Gathered(context.allGather))
+        total = Tree(context)
+        try:
+            model = trained(shards, features, settings, total)
+        finally:
+            total.close()
         if context.partitionId() == 0:
             yield pa.RecordBatch.from_pydict({"model": [model.to_json()]}, pa.schema([("model", pa.string())]))
 
