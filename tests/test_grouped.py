@@ -61,3 +61,35 @@ def test_logistic_is_the_least_point():
     w = grouped.logistic(x, y, weight)
     p = trees.sigmoid(x @ w[:-1] + w[-1])
     assert np.abs(x.T @ (weight * (p - y)) + w[:-1]).max() < 1e-6 and abs((weight * (p - y)).sum()) < 1e-6
+
+
+def peak(work) -> int:
+    """Bytes held at once beside what was there, by Python and numpy."""
+    import tracemalloc
+
+    tracemalloc.start()
+    try:
+        work()
+        return tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+
+
+def test_logistic_reads_rows_in_parts():
+    x, y = made(100_000, 16, 5)
+    weight = grouped.balanced(y)
+    assert peak(lambda: grouped.logistic(x, y, weight)) < x.nbytes / 2
+
+
+def test_matrices_hold_no_object_a_number():
+    import pyarrow as pa
+
+    want = np.arange(40_000 * 16, dtype=float).reshape(-1, 16)
+    want[3, 5], want[7] = np.nan, np.nan
+    rows = pa.array([None if i == 7 else [None if v != v else v for v in row] for i, row in enumerate(want.tolist())], pa.list_(pa.float64()))
+    got = []
+    assert peak(lambda: got.append(trees.matrix(rows, 16))) < 2 * want.nbytes
+    assert np.array_equal(got[0], want, equal_nan=True)
+    order = np.random.default_rng(1).permutation(len(want))
+    assert peak(lambda: got.append(trees.matrix_in_order(pa.chunked_array([rows[:999], rows[999:]]), order))) < 2 * want.nbytes
+    assert np.array_equal(got[1], want[order], equal_nan=True)

@@ -16,6 +16,7 @@ from dataclasses import replace
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -26,6 +27,8 @@ from textloom.plans import heads, perceptron, trees
 
 #: Bytes of a group's matrix that a task may hold.
 MOST = 128 << 20
+#: Rows of a matrix that are worked on at once.
+ROWS = 8192
 
 
 def balanced(y: np.ndarray) -> np.ndarray:
@@ -35,19 +38,29 @@ def balanced(y: np.ndarray) -> np.ndarray:
 
 
 def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float = 1.0, steps: int = 100) -> np.ndarray:
-    """Weights and a free intercept by Newton's steps, halved while they don't help; half the squared weights over c against summed losses."""
-    x = np.concatenate([np.where(np.isfinite(x), x, 0.0), np.ones((len(x), 1))], axis=1)
-    penalty = np.append(np.full(x.shape[1] - 1, 1.0 / c), 0.0)
-    loss = lambda w: float((weight * (np.logaddexp(0, x @ w) - y * (x @ w))).sum() + (penalty * w * w).sum() / 2)
-    w = np.zeros(x.shape[1])
+    """Weights and a free intercept by Newton's steps, halved while they don't help; half the squared weights over c against summed losses. Rows are read in
+    parts, so that what is made beside them is small."""
+    parts = [slice(i, i + ROWS) for i in range(0, len(x), ROWS)]
+    own = lambda at: np.concatenate([np.where(np.isfinite(x[at]), x[at], 0.0), np.ones((len(x[at]), 1))], axis=1)
+    penalty = np.append(np.full(x.shape[1], 1.0 / c), 0.0)
+
+    def loss(w: np.ndarray) -> float:
+        margins = ((at, own(at) @ w) for at in parts)
+        return sum(float((weight[at] * (np.logaddexp(0, z) - y[at] * z)).sum()) for at, z in margins) + float((penalty * w * w).sum() / 2)
+
+    w = np.zeros(x.shape[1] + 1)
+    now = loss(w)
     for _ in range(steps):
-        p = trees.sigmoid(x @ w)
-        slope = x.T @ (weight * (p - y)) + penalty * w
-        bend = (x * (weight * p * (1 - p))[:, None]).T @ x + np.diag(penalty + 1e-9)
+        slope, bend = penalty * w, np.diag(penalty + 1e-9)
+        for at in parts:
+            rows = own(at)
+            p = trees.sigmoid(rows @ w)
+            slope += rows.T @ (weight[at] * (p - y[at]))
+            bend += (rows * (weight[at] * p * (1 - p))[:, None]).T @ rows
         step, size = np.linalg.solve(bend, slope), 1.0
-        while loss(w - size * step) > loss(w) and size > 1e-8:
+        while (then := loss(w - size * step)) > now and size > 1e-8:
             size /= 2
-        w = w - size * step
+        w, now = w - size * step, then
         if np.abs(size * step).max() < 1e-10:
             break
     return w
@@ -60,7 +73,7 @@ def scores(name: str, seed: int, params: dict, x: np.ndarray, y: np.ndarray, oth
     weight = balanced(y)
     if name == "logreg":
         w = logistic(x, y, weight, **params)
-        return trees.sigmoid(np.where(np.isfinite(other), other, 0.0) @ w[:-1] + w[-1])
+        return np.concatenate([trees.sigmoid(np.where(np.isfinite(own), own, 0.0) @ w[:-1] + w[-1]) for i in range(0, max(1, len(other)), ROWS) for own in [other[i : i + ROWS]]])
     if name in heads.TREES:
         model = trees.fit_local(x, y, replace(heads.TREES[name], seed=seed, **params), weight)
         return trees.sigmoid(model.margins(other))
@@ -88,18 +101,19 @@ def fitted(rows: DataFrame, keys: list[str], names: Iterable[str], seeds: Iterab
 
     def group(table: pa.Table) -> pa.Table:
         name, seed = table["head"][0].as_py(), table["seed"][0].as_py()
-        table = table.sort_by("id")  # one order, however rows come
-        held = table["held"].to_numpy()
-        own = {k: table[k][0].as_py() for k in keys}
-        x = [[np.nan if v is None else v for v in row] for row in table["features"].to_pylist()]
-        y, ids, error, p = table["y"].to_numpy(), table["id"].filter(pa.array(held)).to_pylist(), None, None
+        order = pc.sort_indices(table.select(["held", "id"]), [("held", "ascending"), ("id", "ascending")]).to_numpy()  # one order, however rows come
+        n = len(order) - pc.sum(table["held"]).as_py()  # rows to fit, which come first
+        y, ids, error, p = table["y"].to_numpy()[order], table["id"].take(pa.array(order[n:])), None, None
         try:
-            x = np.array(x, np.float64)
-            p = scores(name, seed, params.get(name, {}), x[~held], y[~held].astype(float), x[held]).tolist()
+            x = trees.matrix_in_order(table["features"], order)
+            p = scores(name, seed, params.get(name, {}), x[:n], y[:n].astype(float), x[n:])
         except Exception as failed:  # noqa: BLE001  a failed fit is a row
             error = str(failed)[:500]
-        out = [own | {"head": name, "seed": seed, "id": i, "y": int(t), "p": v, "pred": int(v >= 0.5), "error": None} for i, t, v in zip(ids, y[held].tolist(), p)] if error is None else [own | {"head": name, "seed": seed, "error": error}]
-        return pa.Table.from_pylist([{c: r.get(c) for c in shape.names} for r in out], shape)
+        m = len(order) - n if error is None else 1
+        nothing = {c: pa.nulls(m, shape.field(c).type) for c in shape.names}
+        own = {c: pa.repeat(pa.scalar(v, shape.field(c).type), m) for c, v in {**{k: table[k][0].as_py() for k in keys}, "head": name, "seed": seed, "error": error}.items()}
+        found = {} if error is not None else {"id": ids.cast(shape.field("id").type), "y": pa.array(y[n:], pa.int32()), "p": pa.array(p, pa.float64()), "pred": pa.array((p >= 0.5).astype(np.int32))}
+        return pa.table(nothing | own | found, schema=shape)
 
     out = here.withColumn("spec", spec).select(*keys, "spec.head", "spec.seed", "id", "features", "y", "held").groupBy(*keys, "head", "seed").applyInArrow(group, schema)
     for key in large:

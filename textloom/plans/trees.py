@@ -25,7 +25,6 @@ from collections.abc import Callable, Iterator
 from dataclasses import asdict, dataclass, field, replace
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -401,8 +400,29 @@ def base_of(y: float, weight: float) -> float:
     return float(np.log(share / (1 - share)))
 
 
-def matrix(rows: list, features: int) -> np.ndarray:
-    return np.array([[np.nan if x is None else x for x in row] for row in rows], np.float64).reshape(len(rows), features)
+def matrix(lists: pa.Array | pa.ChunkedArray, features: int) -> np.ndarray:
+    """Arrow lists of doubles as rows of numbers, without an object a number; nulls, and rows that are null, aren't numbers."""
+    out, at = np.full((len(lists), features), np.nan), 0
+    for own in lists.chunks if isinstance(lists, pa.ChunkedArray) else [lists]:
+        there = own.is_valid().to_numpy(zero_copy_only=False)
+        if (own.value_lengths().drop_null().to_numpy() != features).any():
+            raise ValueError(f"features of another length than {features}")
+        out[at : at + len(own)][there] = own.flatten().to_numpy(zero_copy_only=False).reshape(-1, features)
+        at += len(own)
+    return out
+
+
+def matrix_in_order(lists: pa.ChunkedArray, order: np.ndarray, most: int = 8192) -> np.ndarray:
+    """matrix() of the rows in an order, made in parts of at most `most` rows, so that nothing of its size is held beside it."""
+    features = next((len(x) for x in lists if x.is_valid), 0)
+    out, place, at = np.empty((len(lists), features)), np.empty(len(order), np.int64), 0
+    place[order] = np.arange(len(order))
+    for chunk in lists.chunks:
+        for i in range(0, len(chunk), most):
+            own = chunk.slice(i, most)
+            out[place[at : at + len(own)]] = matrix(own, features)
+            at += len(own)
+    return out
 
 
 def fit(train: DataFrame, settings: Settings, val: DataFrame | None = None, weight: str | None = "weight", block: int = BLOCK, watch: Callable[[int, float], None] | None = None) -> Model:
@@ -424,7 +444,7 @@ def fit(train: DataFrame, settings: Settings, val: DataFrame | None = None, weig
         def made(batch: pa.RecordBatch) -> pa.RecordBatch:
             nonlocal number
             n = batch.num_rows
-            x = binned(matrix(batch["features"].to_pylist(), features), edges)
+            x = binned(matrix(batch["features"], features), edges)
             b = Block(number, x, batch["y"].to_numpy(), batch["weight"].to_numpy(), np.full(n, base), batch["held"].to_numpy(zero_copy_only=False))
             number += 1
             return pa.RecordBatch.from_pylist([_row(b)], SCHEMA)
@@ -465,11 +485,10 @@ def with_scores(model: Model, df: DataFrame) -> DataFrame:
     """Adds p (of class 1) and pred. Scored in Arrow batches; a null array of features has the scores of nulls."""
     text, width = model.to_json(), len(model.edges)
 
-    @F.pandas_udf("double")
-    def score(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("double")
+    def score(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = Model.from_json(text)
         for rows in parts:
-            x = [[None] * width if r is None else r for r in rows]
-            yield pd.Series(sigmoid(own.margins(matrix(x, width))))
+            yield pa.array(sigmoid(own.margins(matrix(rows, width))), pa.float64())
 
     return df.withColumn("p", score(F.col("features").cast("array<double>"))).withColumn("pred", (F.col("p") >= 0.5).cast("int"))
