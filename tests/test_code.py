@@ -64,3 +64,18 @@ def test_memory_offsets():
     at = K.memory_offsets(code, "python")
     assert at == [9, raw.index(b"1\n") + 1] and all(raw[i : i + 1] == b"\n" for i in at)
     assert K.memory_offsets("def f(:", "python") == [] and K.memory_offsets(None, "java") == []
+
+
+def test_structure_features_make_no_copy_of_a_batch():
+    """Texts of a batch stay in Arrow: what is held beside it is one text and the features."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    code = pa.array(["def f(n):\n    return n\n# " + "x" * 50_000 + "\n", None] * 500)
+    language = pa.array(["python"] * 1000)
+    tracemalloc.start()
+    found = K._structure(code, language)
+    held = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert held < code.nbytes / 2 and found.field("ok").to_pylist() == [True, False] * 500 and found.field("noOfMethods").to_pylist() == [1.0, 0.0] * 500
