@@ -8,6 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from conftest import DATA
@@ -188,6 +189,16 @@ def test_alignment_awkward(spark, awkward, frequent):
         assert alignment.summed(awkward.limit(0), BYTES, PIECES, P.PATTERN).collect() == []
 
 
+def test_each_byte_knows_its_token_and_the_next_ones_text():
+    """One number a byte, so that Spark finds what ends somewhere in one step; texts without tokens are empty."""
+    lengths, decimal = np.array([1, 3, 2], np.int32), pa.array([b"0,", b"1,", b"2,"])
+    found = [np.array(x, np.uint32) for x in ([], [1, 0], [], [2, 2, 1], [])]
+    ends, texts, ids, following = (x.to_pylist() for x in alignment.laid_out(found, lengths, decimal))
+    assert ends == [[], [3, 4], [], [2, 4, 7], []] and texts == [b"", b"1,0,", b"", b"2,2,1,", b""]
+    assert ids == [[], [0, 1, 1, 1, 0], [], [0, 2, 2, 2, 2, 1, 1, 1], []]
+    assert following == [[], [1, 3, 3, 3, 5], [], [1, 3, 3, 5, 5, 7, 7, 7], []]
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.text(st.one_of(st.sampled_from(" \n\tabeE'.,1é▁ <s>"), st.characters(exclude_categories=["Cs"])), max_size=40))
 def test_sides_encode_as_the_libraries_do(text):

@@ -1,13 +1,13 @@
 """Alignment of two tokenizers: where their tokens of one text end together, and which ids such ends link.
 
-Tokenising is the only work in Python: ids and byte ends of both tokenizers' tokens, each distinct pre-token encoded once per
-lexicon (`pretokens`). What follows is higher-order functions of Spark:
+Tokenising is the only work in Python, for each side by itself: each distinct pre-token is encoded once per lexicon (`pretokens`), and a side's
+tokens come as arrays (`COLUMNS`). What puts the sides together is higher-order functions of Spark:
 
-1. Python gives each token's size in bytes beside its end. The ends in common are the array_intersect of both arrays of ends. They cut a text into groups.
-2. An array with a token's number at each byte it covers (array_repeat over a sequence of tokens, flattened) gives the number of the
-   token that ends at a common end in one step, so the work is linear in bytes and tokens, however long the text.
-3. Groups are slices between such numbers; links are the two ids at each common end. Tokens are never empty, so one token of
-   each side ends there.
+1. The ends in common are the array_intersect of both arrays of ends. They cut a text into groups.
+2. A side has a number for each byte: the id of the token that covers it, and where the next one begins in the text of the ids. So what ends
+   at a common end is found in one step, and the work is linear in bytes and tokens, however long the text.
+3. Links are the two ids at each common end (transform), groups the texts between two of them (zip_with). Tokens are never empty, so one
+   token of each side ends there.
 
 Corpus counts of id pairs are a partial aggregate over all links. To look them up, pairs with at least `total / FREQUENT`
 links are broadcast: their counts add up to no more than `total`, so they are FREQUENT at most, whatever the corpus. Links of
@@ -47,6 +47,7 @@ class Side:
 
     def __init__(self, split: Callable[[str], list[str]], encode: Callable[[list[str]], list[list[int]]], table: list[bytes], before: str = "", held: int = HELD):
         self.lengths = np.array([len(x) for x in table], np.int32)
+        self.decimal = pa.array([f"{i},".encode() for i in range(len(table))], pa.binary())
 
         def checked(words: list[str]) -> list[list[int]]:
             own = encode(words)
@@ -75,7 +76,13 @@ def byte_level(path: str) -> tuple[Callable, list[bytes]]:
     table = [b""] * own.get_vocab_size()
     for token, i in own.get_vocab().items():
         table[i] = bytes(letters[c] for c in token) if all(c in letters for c in token) else token.encode()
-    return lambda words: [x.ids for x in own.encode_batch_fast(words, add_special_tokens=False)], table
+    # The model alone, on words as byte-level letters: they are pre-tokens already.
+    model, own_letters = own.model, {b: c for c, b in letters.items()}
+
+    def encode(words: list[str]) -> list[list[int]]:
+        return [[x.id for x in model.tokenize(word.encode().decode("latin-1").translate(own_letters))] for word in words]
+
+    return encode, table
 
 
 def piece_level(path: str) -> tuple[Callable, list[bytes]]:
@@ -109,60 +116,74 @@ def sides(byte_path: str, piece_path: str, pattern: str) -> tuple[Side, Side]:
     return Side(splitter(pattern), *byte_level(byte_path)), Side(spaced, *piece_level(piece_path), " ")
 
 
-COLUMNS = [f"{side}_{what}" for side in "ab" for what in ("ids", "sizes", "ends")]
+#: Of each side: ids and ends of tokens; the ids in decimal, each with a comma; and for each byte the id of the token that covers
+#: it, and where the text of the next one begins. These two have a number more: the first is for the place before the text.
+COLUMNS = {f"{side}_{what}": kind for side in "ab" for what, kind in (("ends", "array<int>"), ("texts", "binary"), ("id_at", "array<int>"), ("next_at", "array<int>"))}
+
+
+def laid_out(found: list[np.ndarray], lengths: np.ndarray, decimal: pa.Array) -> list[pa.Array]:
+    """COLUMNS of one side. found: ids of each text; decimal: each id with a comma."""
+    sizes = [lengths[x] for x in found]
+    ends = np.concatenate([np.cumsum(x, dtype=np.int32) for x in sizes])
+    counts = np.fromiter(map(len, found), np.int64, len(found))
+    stops = np.cumsum(counts)
+    ids = np.concatenate(found).astype(np.int32)
+    texts = decimal.take(pa.array(ids))
+    places = np.frombuffer(texts.buffers()[1], np.int32, len(texts) + 1, 4 * texts.offset)
+    bounds = np.concatenate([[0], stops])
+    whole = pa.BinaryArray.from_buffers(pa.binary(), len(found), [None, pa.py_buffer(np.ascontiguousarray(places[bounds])), texts.buffers()[2]])
+    # A token of one byte before each text that has any stands for its beginning.
+    some = np.flatnonzero(counts)
+    before = bounds[some]
+    first = places[bounds[:-1]]
+    each = np.insert(np.concatenate(sizes), before, 1)
+    following = np.insert(places[1:] - np.repeat(first, counts) + 1, before, 1)
+    at = np.concatenate([[0], np.cumsum([int(x.sum()) + 1 if len(x) else 0 for x in sizes])])
+    lists = lambda offsets, values: pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, pa.int32()))
+    return [lists(bounds, ends), whole, lists(at, np.repeat(np.insert(ids, before, 0), each)), lists(at, np.repeat(following, each))]
 
 
 def tokenised(documents: DataFrame, byte_path: str, piece_path: str, pattern: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """id, and of each side ids, sizes and ends of its tokens in bytes; empty arrays for texts without tokens."""
-
-    def lists(found: list[np.ndarray], lengths: np.ndarray) -> list[pa.Array]:
-        offsets = pa.array(np.cumsum([0, *map(len, found)]), pa.int32())
-        sizes = [lengths[x] for x in found]
-        ends = np.concatenate([np.cumsum(x, dtype=np.int32) for x in sizes])
-        return [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (np.concatenate(found).astype(np.int32), np.concatenate(sizes), ends)]
+    """id, and of each side the COLUMNS of its tokens; empty for texts without tokens."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a_side, b_side = sides(byte_path, piece_path, pattern)
         nothing = np.empty(0, np.uint32)
         for batch in batches:
-            for part in pieces(batch, "text", 1 << 20):
+            for part in pieces(batch, "text", 1 << 19):
                 texts = part["text"].to_pylist()
                 spaced = [" " + t if t else "" for t in texts]
                 # An underline that stands for spaces would come out as one.
                 found = [(a, b) if a is not None and b is not None and "▁" not in t else (nothing, nothing) for t, a, b in zip(spaced, a_side(spaced), b_side(spaced))]
-                yield pa.RecordBatch.from_arrays([part["id"], *lists([a for a, _ in found], a_side.lengths), *lists([b for _, b in found], b_side.lengths)], names=["id", *COLUMNS])
+                columns = [x for i, side in enumerate((a_side, b_side)) for x in laid_out([y[i] for y in found], side.lengths, side.decimal)]
+                yield pa.RecordBatch.from_arrays([part["id"], *columns], names=["id", *COLUMNS])
 
     chosen = documents.select(F.col(id_column).cast("long").alias("id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
-    return chosen.mapInArrow(rows, "id long, " + ", ".join(f"{c} array<int>" for c in COLUMNS))
-
-
-def numbers_at(common: str, sizes: str) -> Column:
-    """The numbers (from 0) of the tokens that end at each common end: of those that cover the byte before it."""
-    covering = F.flatten(F.zip_with(F.sequence(F.lit(0), F.size(sizes) - 1), sizes, lambda i, n: F.array_repeat(i, n)))
-    return let(covering, lambda own: F.transform(common, lambda e: F.get(own, e - 1)))
+    return chosen.mapInArrow(rows, "id long, " + ", ".join(f"{c} {kind}" for c, kind in COLUMNS.items()))
 
 
-def parts(ids: str, at: str) -> Column:
-    """Ids (as strings) of each group with commas. at: numbers of the last token of each group."""
-    before = F.slice(F.concat(F.array(F.lit(-1)), at), F.lit(1), F.size(at))
-    some = lambda low, high: F.array_join(F.slice(ids, low + 2, high - low), ",")
-    return F.zip_with(before, at, lambda low, high: F.when(high - low == 1, F.get(ids, high)).otherwise(some(low, high)))
+def bound(columns: list[str], body: Callable[..., Column]) -> Column:
+    """body of columns that are read from the row once, however many elements body looks at."""
+    return body() if not columns else let(F.col(columns[0]), lambda own: bound(columns[1:], functools.partial(body, own)))
 
 
 def aligned(tokens: DataFrame) -> DataFrame:
     """id, n_a, n_b, n (groups, links), links (array of a * PAIR + b) and groups (their text) of each row.
 
-    In steps of which each uses what it needs of the one before more than once, so that Spark doesn't fold them into one expression
-    and work a part out anew for each element.
+    A group's ids are a stretch of its side's text, as bytes: their places are bytes of the text then, found without counting code points.
     """
-    sizes = [F.size(f"{x}_ids").cast("long").alias(f"n_{x}") for x in "ab"]
-    now = tokens.select("id", *sizes, "a_ids", "b_ids", "a_sizes", "b_sizes", F.array_intersect("a_ends", "b_ends").alias("common"))
-    numbers = [numbers_at("common", f"{x}_sizes").alias(f"{x}_at") for x in "ab"]
-    now = now.select("id", "n_a", "n_b", F.size("common").cast("long").alias("n"), "a_ids", "b_ids", *numbers)
-    linked = F.zip_with("a_at", "b_at", lambda i, j: F.get("a_ids", i).cast("long") * PAIR + F.get("b_ids", j))
-    now = now.select("id", "n_a", "n_b", "n", "a_at", "b_at", linked.alias("links"), F.col("a_ids").cast("array<string>").alias("a_texts"), F.col("b_ids").cast("array<string>").alias("b_texts"))
-    groups = F.zip_with(parts("a_texts", "a_at"), parts("b_texts", "b_at"), lambda a, b: F.concat(a, F.lit("|"), b))
-    return now.select("id", "n_a", "n_b", "n", "links", F.array_join(groups, ";").alias("groups"))
+    sizes = [F.size(f"{x}_ends").cast("long").alias(f"n_{x}") for x in "ab"]
+    now = tokens.select("*", *sizes, F.array_intersect("a_ends", "b_ends").alias("common"))
+    before = F.slice(F.concat(F.array(F.lit(0)), "common"), F.lit(1), F.size("common"))
+
+    def own(texts: Column, following: Column, low: Column, high: Column) -> Column:
+        """The ids between two ends: their text without its last comma."""
+        return F.substring(texts, F.get(following, low), F.get(following, high) - F.get(following, low) - 1)
+
+    links = bound(["a_id_at", "b_id_at"], lambda a, b: F.transform("common", lambda e: F.get(a, e).cast("long") * PAIR + F.get(b, e)))
+    group = lambda a, a_next, b, b_next: F.zip_with(before, "common", lambda low, high: F.concat(own(a, a_next, low, high), F.lit(b"|"), own(b, b_next, low, high)))
+    groups = bound(["a_texts", "a_next_at", "b_texts", "b_next_at"], group)
+    return now.select("id", "n_a", "n_b", F.size("common").cast("long").alias("n"), links.alias("links"), F.array_join(groups.cast("array<string>"), ";").alias("groups"))
 
 
 def pair_counts(links: DataFrame) -> DataFrame:
