@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import fnmatch
 import json
 import re
+from collections.abc import Callable, Iterator
+from urllib.parse import quote
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,10 +32,79 @@ def first_existing(spark: SparkSession, paths: list[str]) -> str:
     raise FileNotFoundError(", ".join(paths))
 
 
+#: Bytes of files that a task sends on at once.
+BATCH = 4 << 20
+
+
 def documents(spark: SparkSession, paths: list[str] | str, pattern: str = "*") -> DataFrame:
-    """path, name, document: whole text files under the roots whose name fits the pattern."""
-    found = spark.read.text(paths, wholetext=True, pathGlobFilter=pattern, recursiveFileLookup=True)
-    return found.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias("name"), F.col("value").alias("document"))
+    """path, name, document: whole text files under the roots whose name fits the pattern; hidden ones are left out.
+
+    A folder of a root is listed and read by one task, as files that are small cost a scan more than their bytes: it counts each as 4 MB. An empty file
+    is a row with an empty text. Paths with wildcards go through Spark's scan, which leaves empty files out.
+    """
+    roots = [paths] if isinstance(paths, str) else list(paths)
+    if any(c in root for root in roots for c in "*?[{"):
+        found = spark.read.text(roots, wholetext=True, pathGlobFilter=pattern, recursiveFileLookup=True)
+        return found.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias("name"), F.col("value").alias("document"))
+    places = [x for root in roots for x in top(root)]
+    listed = spark.createDataFrame(pa.table({"place": pa.array(places, pa.string())})).repartition(max(1, min(len(places), 16 * spark.sparkContext.defaultParallelism)))
+    found = listed.mapInArrow(under(pattern), "path string, name string, content binary")
+    return found.select("path", "name", F.col("content").cast("string").alias("document"))
+
+
+def shown(name: str) -> bool:
+    return not name.startswith(("_", "."))
+
+
+def address(system: str, path: str) -> str:
+    """As Spark writes it."""
+    return f"file:{quote(path)}" if system == "file" else f"{system}://{quote(path)}"
+
+
+def top(root: str) -> list[str]:
+    """Addresses of the folders and files that lie in a root, or of a root that is a file."""
+    from pyarrow import fs
+
+    own = root if re.match(r"[A-Za-z][\w+.-]*:", root) else f"file://{quote(root)}"
+    system, place = fs.FileSystem.from_uri(own)
+    kind = system.get_file_info(place).type
+    if kind == fs.FileType.NotFound:
+        raise FileNotFoundError(root)
+    return [own] if kind == fs.FileType.File else [address(own.split(":", 1)[0], x.path) for x in system.get_file_info(fs.FileSelector(place)) if shown(x.base_name)]
+
+
+def under(pattern: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """path, name, content of files, and of those in folders, some at a time."""
+    kinds = pa.schema([("path", pa.string()), ("name", pa.string()), ("content", pa.binary())])
+    fits = re.compile("|".join(fnmatch.translate(x) for x in alternatives(pattern)))
+    batch_of = lambda held: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held), kinds.types)], schema=kinds)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        held, size = [], 0
+        for own in (x for batch in batches for x in batch["place"].to_pylist()):
+            system, place = fs.FileSystem.from_uri(own)
+            info = system.get_file_info(place)
+            for x in [info] if info.type == fs.FileType.File else system.get_file_info(fs.FileSelector(place, recursive=True)):
+                if x.type != fs.FileType.File or not fits.match(x.base_name) or not all(map(shown, x.path[len(place) + 1 :].split("/"))):
+                    continue
+                with system.open_input_stream(x.path) as source:
+                    held.append((address(own.split(":", 1)[0], x.path), x.base_name, source.read()))
+                size += len(held[-1][2])
+                if size >= BATCH or len(held) == 4096:
+                    yield batch_of(held)
+                    held, size = [], 0
+        if held:
+            yield batch_of(held)
+
+    return rows
+
+
+def alternatives(pattern: str) -> list[str]:
+    """A pattern with {a,b} as patterns without."""
+    found = re.search(r"\{([^{}]*)\}", pattern)
+    return [x for own in found[1].split(",") for x in alternatives(pattern[: found.start()] + own + pattern[found.end() :])] if found else [pattern]
 
 
 def sources(spark: SparkSession, paths: list[str] | str, languages: tuple[str, ...] = tuple(EXTENSIONS)) -> DataFrame:
@@ -88,8 +161,9 @@ def wide_vectors(df: DataFrame, prefix: str, name: str = "vec", keys: tuple[str,
 
 
 def file_table(df: DataFrame, mapping: dict[str, str], name: str) -> DataFrame:
-    """Adds what the row's file name, without its ending, is mapped to."""
-    stem = df.withColumn("_stem", F.regexp_extract(F.col("_metadata.file_name"), r"^([^.]+)", 1))
+    """Adds what the row's file name (of documents(), or of a scan), without its ending, is mapped to."""
+    file = F.col("name") if "name" in df.columns else F.col("_metadata.file_name")
+    stem = df.withColumn("_stem", F.regexp_extract(file, r"^([^.]+)", 1))
     return named_table(stem, "_stem", mapping, name).drop("_stem")
 
 

@@ -47,22 +47,30 @@ def cached(df: DataFrame, path: str, code: str, settings: str, work: Callable[[D
     return resumed(keyed, path, "cache_key", work, chunks)
 
 
-def files(df: DataFrame, path: str, name: str = "name", content: str = "document") -> int:
+def files(df: DataFrame, path: str, name: str = "name", content: str = "document", each: int | None = None) -> int:
     """A file per row, by the tasks that have the rows, in any file system that pyarrow knows by its address; returns how many. A task that is run again
-    writes its files again."""
+    writes its files again. each: rows are dealt by name to folders of about so many files, one a task, so that no task has more and tasks don't wait
+    for each other in one folder."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
+        from pyspark import TaskContext
 
         system, root = fs.FileSystem.from_uri(path)
+        if each:
+            root = f"{root}/{TaskContext.get().partitionId():06d}"
         system.create_dir(root, recursive=True)
         for batch in batches:
             for own, text in zip(batch[name].to_pylist(), batch[content].to_pylist()):
-                with system.open_output_stream(f"{root}/{own}") as out:
+                with system.open_output_stream(f"{root}/{own}", compression=None) as out:
                     out.write((text or "").encode())
             yield pa.RecordBatch.from_pydict({"n": pa.array([batch.num_rows], pa.int64())})
 
-    return df.select(name, content).mapInArrow(rows, "n long").agg(F.sum("n")).first()[0] or 0
+    chosen = df.select(name, content)
+    if each:
+        slots = df.sparkSession.sparkContext.defaultParallelism
+        chosen = chosen.repartition(max(2 * slots, -(-df.count() // each)), name)
+    return chosen.mapInArrow(rows, "n long").agg(F.sum("n")).first()[0] or 0
 
 
 def predictions(pairs: DataFrame, path: str) -> DataFrame:
