@@ -199,6 +199,22 @@ def test_each_byte_knows_its_token_and_the_next_ones_text():
     assert following == [[], [1, 3, 3, 3, 5], [], [1, 3, 3, 5, 5, 7, 7, 7], []]
 
 
+def test_a_side_encodes_each_of_many_words_once_and_knows_bad_ones():
+    """300,000 words are held; words whose ids' bytes are others' only in a row are told."""
+    asked = []
+
+    def encode(words):
+        asked.extend(words)
+        return [[0] if w == "ab" else [1, 2] if w == "c" else [3] * len(w) for w in words]
+
+    side = alignment.Side(str.split, encode, [b"a", b"b", b"c", b"x"])
+    assert side.lexicon.encode(["ab", "bc"]) == [[alignment.BAD]] * 2
+    assert side.lexicon.encode(["ab", "c"]) == [[alignment.BAD]] * 2 and side.lexicon.encode(["x", "xx"]) == [[3], [3, 3]]
+    asked.clear()
+    texts = [" ".join(f"w{i}" for i in range(k, k + 50_000)) for k in range(0, 300_000, 50_000)]
+    assert list(side(texts * 2)) == [None] * 12 and len(asked) == 300_000
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.text(st.one_of(st.sampled_from(" \n\tabeE'.,1é▁ <s>"), st.characters(exclude_categories=["Cs"])), max_size=40))
 def test_sides_encode_as_the_libraries_do(text):

@@ -21,8 +21,10 @@ empty result; columns besides the id and the text aren't read. Texts are whole,
 from __future__ import annotations
 
 import functools
+import gc
 import re
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +36,7 @@ from textloom.llm.pretokens import Lexicon, splitter
 from textloom.llm.shared import materialize, pieces
 
 #: Pairs that may be broadcast, and pre-tokens that each lexicon holds.
-FREQUENT, HELD = 1 << 20, 250_000
+FREQUENT, HELD = 1 << 20, 500_000
 #: What stands for a pre-token whose ids don't give its bytes again.
 BAD = 0xFFFFFFFF
 #: A pair is a * PAIR + b.
@@ -50,8 +52,14 @@ class Side:
         self.decimal = pa.array([f"{i},".encode() for i in range(len(table))], pa.binary())
 
         def checked(words: list[str]) -> list[list[int]]:
-            own = encode(words)
-            return [ids if b"".join([table[i] for i in ids]) == (before + word).encode() else [BAD] for word, ids in zip(words, own)]
+            own, wanted = encode(words), [(before + word).encode() for word in words]
+            # All at once: the same bytes in a row, and as many for each word.
+            ids = np.fromiter(chain.from_iterable(own), np.int32)
+            ends = np.cumsum(np.fromiter(map(len, own), np.int64, len(own)))
+            sizes = np.diff(np.concatenate([[0], np.cumsum(self.lengths[ids], dtype=np.int64)])[ends], prepend=0)
+            if (sizes == np.fromiter(map(len, wanted), np.int64, len(wanted))).all() and b"".join([table[i] for i in ids.tolist()]) == b"".join(wanted):
+                return own
+            return [x if b"".join([table[i] for i in x]) == word else [BAD] for word, x in zip(wanted, own)]
 
         self.lexicon = Lexicon(split, checked, held)
 
@@ -78,6 +86,7 @@ def byte_level(path: str) -> tuple[Callable, list[bytes]]:
         table[i] = bytes(letters[c] for c in token) if all(c in letters for c in token) else token.encode()
     # The model alone, on words as byte-level letters: they are pre-tokens already.
     model, own_letters = own.model, {b: c for c, b in letters.items()}
+    model._resize_cache(0)  # a lexicon asks for each word once
 
     def encode(words: list[str]) -> list[list[int]]:
         return [[x.id for x in model.tokenize(word.encode().decode("latin-1").translate(own_letters))] for word in words]
@@ -149,6 +158,7 @@ def tokenised(documents: DataFrame, byte_path: str, piece_path: str, pattern: st
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a_side, b_side = sides(byte_path, piece_path, pattern)
         nothing = np.empty(0, np.uint32)
+        gc.disable()  # lists of words and ids hold no cycles, and are many
         for batch in batches:
             for part in pieces(batch, "text", 1 << 19):
                 texts = part["text"].to_pylist()
@@ -174,14 +184,14 @@ def aligned(tokens: DataFrame) -> DataFrame:
     """
     sizes = [F.size(f"{x}_ends").cast("long").alias(f"n_{x}") for x in "ab"]
     now = tokens.select("*", *sizes, F.array_intersect("a_ends", "b_ends").alias("common"))
-    before = F.slice(F.concat(F.array(F.lit(0)), "common"), F.lit(1), F.size("common"))
+    now = now.withColumn("before", F.slice(F.concat(F.array(F.lit(0)), "common"), F.lit(1), F.size("common")))  # compiled here, not beside inner functions
 
     def own(texts: Column, following: Column, low: Column, high: Column) -> Column:
         """The ids between two ends: their text without its last comma."""
         return F.substring(texts, F.get(following, low), F.get(following, high) - F.get(following, low) - 1)
 
     links = bound(["a_id_at", "b_id_at"], lambda a, b: F.transform("common", lambda e: F.get(a, e).cast("long") * PAIR + F.get(b, e)))
-    group = lambda a, a_next, b, b_next: F.zip_with(before, "common", lambda low, high: F.concat(own(a, a_next, low, high), F.lit(b"|"), own(b, b_next, low, high)))
+    group = lambda a, a_next, b, b_next: F.zip_with("before", "common", lambda low, high: F.concat(own(a, a_next, low, high), F.lit(b"|"), own(b, b_next, low, high)))
     groups = bound(["a_texts", "a_next_at", "b_texts", "b_next_at"], group)
     return now.select("id", "n_a", "n_b", F.size("common").cast("long").alias("n"), links.alias("links"), F.array_join(groups.cast("array<string>"), ";").alias("groups"))
 
