@@ -3,6 +3,7 @@
 from dataclasses import replace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -159,3 +160,20 @@ def test_heads(spark):
         model = heads.fit(name, df.where("id % 3 > 0"), params={"rounds": 12, "rate": 0.2}, val=df.where("id % 3 = 0"))
         row = heads.evaluated(heads.scored(model, df.where("id % 3 = 0"))).first()
         assert row.roc_auc > 0.85, (name, row)
+
+
+def test_blocks_hold_bins_and_few_rows_as_numbers(monkeypatch):
+    """However many rows a block has, the features of PART rows are numbers at once; blocks are as if they were made whole."""
+    monkeypatch.setattr(trees, "PART", 100, raising=False)
+    sizes, own = [], trees.matrix
+    monkeypatch.setattr(trees, "matrix", lambda lists, d: sizes.append(len(lists)) or own(lists, d))
+    x = np.random.default_rng(1).normal(size=(1000, 3))
+    edges = [[-0.5, 0.0, 0.5]] * 3
+    lists = [None if i % 7 == 0 else v for i, v in enumerate(x.tolist())]
+    whole = pa.record_batch([pa.array(lists, pa.list_(pa.float64())), pa.array(np.arange(1000.0)), pa.array(np.full(1000, 2.0)), pa.array(np.arange(1000) % 2 == 0)], names=["features", "y", "weight", "held"])
+    batches = [whole.slice(0, 250), whole.slice(250, 0), whole.slice(250, 350), whole.slice(600)]
+    found = list(trees.blocked(batches, 5, edges, 0.25, 500))
+    assert [(b.number, len(b.y)) for b in found] == [(5, 600), (6, 400)] and max(sizes) <= 100
+    want = trees.binned(own(whole["features"], 3), edges)
+    assert (np.concatenate([b.bins for b in found]) == want).all() and (want[0] == 3).all()
+    assert np.concatenate([b.y for b in found]).tolist() == list(range(1000)) and all((b.margin == 0.25).all() and (b.weight == 2).all() and (b.held == (b.y % 2 == 0)).all() for b in found)

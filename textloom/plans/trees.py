@@ -21,7 +21,7 @@ rounds are kept; a feature with one value is never split; an empty table, or one
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import asdict, dataclass, field, replace
 
 import numpy as np
@@ -32,6 +32,8 @@ from pyspark.sql import functions as F
 from textloom.operators.store import stored
 
 BINS, BLOCK, RENEW = 256, 1 << 15, 16
+#: Rows whose features a task has as numbers at once.
+PART = 1 << 12
 
 
 @dataclass(frozen=True)
@@ -246,9 +248,9 @@ class Spread:
             """Rows come by leaf, feature and first block, so sums are made in one order."""
             held: dict[tuple[int, int], np.ndarray] = {}
             for batch in batches:
-                for row in batch.to_pylist():
-                    x, key = np.frombuffer(row["x"]), (row["leaf"], row["feature"])
-                    held[key] = held[key] + x if key in held else x
+                for key, own in zip(zip(batch["leaf"].to_pylist(), batch["feature"].to_pylist()), batch["x"]):
+                    x = np.frombuffer(own.as_buffer())
+                    held[key] = held[key] + x if key in held else x.copy()
             if held:
                 yield pa.RecordBatch.from_pylist([{"leaf": k, "feature": f, "first": 0, "x": x.tobytes()} for (k, f), x in held.items()], schema)
 
@@ -425,6 +427,26 @@ def matrix_in_order(lists: pa.ChunkedArray, order: np.ndarray, most: int = 8192)
     return out
 
 
+def blocked(batches: Iterable[pa.RecordBatch], number: int, edges: list[list[float]], base: float, block: int) -> Iterator[Block]:
+    """Blocks of at least `block` rows (features, y, weight, held), but for the last, counted from number. Rows wait as bins, a byte a feature; their numbers are there
+    for PART rows at a time, and nothing keeps a batch."""
+    waiting: list[tuple[np.ndarray, ...]] = []
+
+    def made() -> Block:
+        x, y, weight, held = (np.concatenate(own) for own in zip(*waiting))
+        waiting.clear()
+        return Block(number, x, y, weight, np.full(len(y), base), held)
+
+    for batch in batches:
+        x = np.concatenate([binned(matrix(batch["features"].slice(i, PART), len(edges)), edges) for i in range(0, max(1, batch.num_rows), PART)])
+        waiting.append((x, batch["y"].to_numpy().copy(), batch["weight"].to_numpy().copy(), batch["held"].to_numpy(zero_copy_only=False)))
+        if sum(len(y) for _, y, _, _ in waiting) >= block:
+            yield made()
+            number += 1
+    if waiting:
+        yield made()
+
+
 def fit(train: DataFrame, settings: Settings, val: DataFrame | None = None, weight: str | None = "weight", block: int = BLOCK, watch: Callable[[int, float], None] | None = None) -> Model:
     """Trees on rows (features, y and, if weight is named and there, a weight). val: rows that tell when to stop; watch: of boosted()."""
     spark = train.sparkSession
@@ -439,23 +461,8 @@ def fit(train: DataFrame, settings: Settings, val: DataFrame | None = None, weig
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        number, held = TaskContext.get().partitionId() << 32, []
-
-        def made(batch: pa.RecordBatch) -> pa.RecordBatch:
-            nonlocal number
-            n = batch.num_rows
-            x = binned(matrix(batch["features"], features), edges)
-            b = Block(number, x, batch["y"].to_numpy(), batch["weight"].to_numpy(), np.full(n, base), batch["held"].to_numpy(zero_copy_only=False))
-            number += 1
-            return pa.RecordBatch.from_pylist([_row(b)], SCHEMA)
-
-        for batch in batches:
-            held.append(batch)
-            if sum(b.num_rows for b in held) >= block:
-                yield made(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
-                held = []
-        if held:
-            yield made(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
+        for own in blocked(batches, TaskContext.get().partitionId() << 32, edges, base, block):
+            yield pa.RecordBatch.from_pylist([_row(own)], SCHEMA)
 
     rows = fitted if val is None else fitted.unionByName(own(val, True))
     spread = Spread(stored(rows.mapInArrow(blocks, KINDS), "blocks"), features)
@@ -489,6 +496,6 @@ def with_scores(model: Model, df: DataFrame) -> DataFrame:
     def score(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = Model.from_json(text)
         for rows in parts:
-            yield pa.array(sigmoid(own.margins(matrix(rows, width))), pa.float64())
+            yield pa.array(np.concatenate([sigmoid(own.margins(matrix(rows.slice(i, PART), width))) for i in range(0, max(1, len(rows)), PART)]), pa.float64())
 
     return df.withColumn("p", score(F.col("features").cast("array<double>"))).withColumn("pred", (F.col("p") >= 0.5).cast("int"))
