@@ -1,6 +1,7 @@
 """Grouped fits: the same scores as a fit alone, keys too large for a task, failures, folds that don't see their group."""
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from textloom.plans import grouped, trees
@@ -43,6 +44,19 @@ def test_large_keys_are_fitted_by_spark(spark):
     assert small.keys() == large.keys() and max(abs(small[k] - large[k]) for k in small) < 1e-9
 
 
+def test_failures_are_no_results(spark):
+    df, _, _ = table(spark, 60)
+    train, test = df.where("id % 3 > 0"), df.where("id % 3 = 0")
+    failing = [(train, ["logreg", "none"], "no head none"), (train.where("language = 'b'"), ["logreg"], "no rows to fit")]
+    huge = train.withColumn("features", F.expr("transform(features, x -> x * 1e300)"))
+    failing += [(huge, ["logreg"], "finite|ingular"), (train.withColumn("features", F.slice("features", 1, F.when(F.col("id") == 1, 3).otherwise(4))), ["logreg"], "another length")]
+    for rows, names, why in failing:
+        with pytest.raises(Exception, match=why):
+            grouped.swept(rows.where("language <> 'c'"), test.where("language <> 'c'"), names, [1]).collect()
+    found = grouped.fitted(df.withColumn("held", F.lit(True)), ["language"], ["logreg"], [1]).collect()
+    assert {(r.language, r.p, r.error) for r in found} == {(lang, None, "no rows to fit") for lang in "abc"}
+
+
 def test_out_of_fold(spark):
     df, x, y = table(spark)
     out = grouped.out_of_fold(df.where("y is not null"), "problem", 4, ["logreg"], [1]).collect()

@@ -2,8 +2,8 @@
 
 Rows are dealt out by a key (a language, or none) and repeated for each head, seed and fold, so that a group is one fit; Spark shuffles groups to
 tasks and each task fits its own, in numpy, with the code that heads use in their tasks. A key whose rows take more than `most` bytes as a matrix
-doesn't fit a task: its fits are made by heads.fit, which is a Spark job a fit, and its scores are added. A fit that fails gives a row with its error instead of
-scores, and doesn't stop the others.
+doesn't fit a task: its fits are made by heads.fit, which is a Spark job a fit, and its scores are added. A fit that fails, or whose scores aren't finite, fails the
+job. What is known to have no fit (a head that tasks don't have, no rows to fit) gives a row with that error in place of scores; a sweep fails on it.
 
 Cases: rows without y or features take no part; components that are null or not finite are as the head takes them; a group with one class gives its share as
 the score of every row; a group without held rows gives nothing.
@@ -31,6 +31,10 @@ MOST = 128 << 20
 ROWS = 8192
 
 
+class Unfit(ValueError):
+    """There is no fit to make, whatever the machine."""
+
+
 def balanced(y: np.ndarray) -> np.ndarray:
     """Weight of each row: rows over twice its class's rows."""
     counts = np.bincount(y.astype(int), minlength=2)
@@ -68,8 +72,10 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float = 1.0, s
 
 def scores(name: str, seed: int, params: dict, x: np.ndarray, y: np.ndarray, other: np.ndarray) -> np.ndarray:
     """Fit a head on rows of a task and score others."""
+    if not len(y):
+        raise Unfit("no rows to fit")
     if len(np.unique(y)) < 2:
-        return np.full(len(other), float(y.mean()) if len(y) else 0.5)
+        return np.full(len(other), float(y.mean()))
     weight = balanced(y)
     if name == "logreg":
         w = logistic(x, y, weight, **params)
@@ -83,7 +89,7 @@ def scores(name: str, seed: int, params: dict, x: np.ndarray, y: np.ndarray, oth
         shards = [perceptron.Shard(int(i), x[number == i], y[number == i].astype(int), weight[number == i], np.zeros((number == i).sum(), bool)) for i in np.unique(number)]
         model = perceptron.trained(shards, x.shape[1], perceptron.Settings(seed=seed, **params), perceptron.Alone())
         return model.scores(other)
-    raise ValueError(f"no head {name} for rows of a task")
+    raise Unfit(f"no head {name} for rows of a task")
 
 
 def fitted(rows: DataFrame, keys: list[str], names: Iterable[str], seeds: Iterable[int], params: dict[str, dict] | None = None, most: int = MOST) -> DataFrame:
@@ -104,11 +110,13 @@ def fitted(rows: DataFrame, keys: list[str], names: Iterable[str], seeds: Iterab
         order = pc.sort_indices(table.select(["held", "id"]), [("held", "ascending"), ("id", "ascending")]).to_numpy()  # one order, however rows come
         n = len(order) - pc.sum(table["held"]).as_py()  # rows to fit, which come first
         y, ids, error, p = table["y"].to_numpy()[order], table["id"].take(pa.array(order[n:])), None, None
+        x = trees.matrix_in_order(table["features"], order)
         try:
-            x = trees.matrix_in_order(table["features"], order)
             p = scores(name, seed, params.get(name, {}), x[:n], y[:n].astype(float), x[n:])
-        except Exception as failed:  # noqa: BLE001  a failed fit is a row
-            error = str(failed)[:500]
+        except Unfit as known:
+            error = str(known)
+        if error is None and not np.isfinite(p).all():
+            raise ValueError(f"scores of {name}, seed {seed}, {', '.join(f'{k} {table[k][0].as_py()}' for k in keys)} aren't finite")
         m = len(order) - n if error is None else 1
         nothing = {c: pa.nulls(m, shape.field(c).type) for c in shape.names}
         own = {c: pa.repeat(pa.scalar(v, shape.field(c).type), m) for c, v in {**{k: table[k][0].as_py() for k in keys}, "head": name, "seed": seed, "error": error}.items()}
@@ -128,10 +136,11 @@ def fitted(rows: DataFrame, keys: list[str], names: Iterable[str], seeds: Iterab
 
 
 def swept(train: DataFrame, test: DataFrame, names: Iterable[str], seeds: Iterable[int], key: str = "language", params: dict[str, dict] | None = None, most: int = MOST) -> DataFrame:
-    """Metrics of each key, head and seed on the test rows, from one job for all keys that fit a task."""
+    """Metrics of each key, head and seed on the test rows, from one job for all keys that fit a task. A key without a fit is an error."""
     rows = train.withColumn("held", F.lit(False)).unionByName(test.withColumn("held", F.lit(True)))
     found = fitted(rows, [key], names, seeds, params, most)
-    return metrics.binary(found.where("error is null"), keys=(key, "head", "seed"))
+    failed = F.raise_error(F.concat_ws(" ", F.lit("no fit:"), F.col(key).cast("string"), "head", F.col("seed").cast("string"), "error"))
+    return metrics.binary(found.withColumn("y", F.when(F.col("error").isNull(), F.col("y")).otherwise(failed.cast("int"))), keys=(key, "head", "seed"))
 
 
 def out_of_fold(df: DataFrame, group: str, k: int, names: Iterable[str], seeds: Iterable[int], key: str = "language", seed: int = 42, params: dict[str, dict] | None = None, most: int = MOST) -> DataFrame:
